@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from rowsieve.config import REVIEW_TIMEOUT_SECONDS
 from rowsieve.functions.text import render, shown
 from rowsieve.operators.groups import PIECE_ROWS, value_before
-from rowsieve.operators.validate import ROW_KEY
+from rowsieve.operators.validate import ROW_KEY, tally
 
 # --- fixed values -----------------------------------------------------------
 INTEGER_PATTERN = r"^\s*[+-]?[0-9]+\s*\z"
@@ -260,21 +260,10 @@ def _answer_order(kind: str) -> Column:
 
 
 def _answer_counts(applied: DataFrame, skipped: DataFrame, pending: DataFrame) -> DataFrame:
-    parts = [("applied_count", applied), ("skipped_count", skipped), ("pending_count", pending)]
-    counted = [
-        part.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n")
-        for name, part in parts
-    ]
-    return (
-        counted[0]
-        .union(counted[1])
-        .union(counted[2])
-        .agg(
-            *[
-                F.sum(F.when(F.col("what") == name, F.col("n"))).alias(name)
-                for name, _ in parts
-            ]
-        )
+    return tally(
+        (applied, {"applied_count": F.count("*")}),
+        (skipped, {"skipped_count": F.count("*")}),
+        (pending, {"pending_count": F.count("*")}),
     )
 
 

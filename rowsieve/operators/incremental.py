@@ -129,7 +129,10 @@ def cache_of(states: DataFrame, rules: RuleSet, row_key: Sequence[str] = ROW_KEY
 
 
 def invalidate_cache(
-    cache: DataFrame, fixed: DataFrame | None = None, skipped: DataFrame | None = None
+    cache: DataFrame,
+    rules: RuleSet,
+    fixed: DataFrame | None = None,
+    skipped: DataFrame | None = None,
 ) -> DataFrame:
     """Forget the old fingerprints of fixed rows; mark those of skipped rows as not valid.
 
@@ -139,9 +142,8 @@ def invalidate_cache(
         cache = cache.join(fixed.select("row_fp"), "row_fp", "left_anti")
     if skipped is not None:
         marks = skipped.select("row_fp").distinct()
-        hashes = cache.select("ruleset_hash").distinct()
-        bad = marks.join(F.broadcast(hashes.limit(1)), how="left", on=F.lit(True)).select(
-            "row_fp", F.lit(False).alias("is_valid"), "ruleset_hash"
+        bad = marks.withColumns(
+            {"is_valid": F.lit(False), "ruleset_hash": F.lit(rules.digest())}
         )
         cache = cache.join(marks, "row_fp", "left_anti").unionByName(bad)
     return cache

@@ -14,19 +14,33 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowsieve.config import RunConfig
 from rowsieve.functions.text import as_date, as_number, is_blank, render, shown
 
 
 class Cells:
-    """Access to the cells of a row; a column the table lacks reads as a literal."""
+    """Access to the cells of a row; a column the table lacks reads as a literal.
+
+    Text is parsed under a guard; columns that already have the type are used as they are.
+    """
 
     def __init__(self, df: DataFrame) -> None:
-        self._names = set(df.columns)
+        self._types = {f.name: f.dataType for f in df.schema.fields}
 
     def __call__(self, name: str, absent: str | None = "") -> Column:
-        return F.col(name) if name in self._names else F.lit(absent).cast("string")
+        return F.col(name) if name in self._types else F.lit(absent).cast("string")
+
+    def number(self, name: str, absent: str | None) -> Column:
+        if isinstance(self._types.get(name), T.NumericType):
+            return F.col(name).cast("double")
+        return as_number(self(name, absent))
+
+    def date(self, name: str) -> Column:
+        if isinstance(self._types.get(name), (T.DateType, T.TimestampType, T.TimestampNTZType)):
+            return F.col(name).cast("date")
+        return as_date(self(name))
 
 
 @dataclass(frozen=True)
@@ -93,7 +107,7 @@ class RangeRule(RowRule):
     invalid_text: str
 
     def parsed(self, cells: Cells) -> Column:
-        return as_number(cells(self.field, absent="0"))
+        return cells.number(self.field, absent="0")
 
     def violation(self, cells: Cells) -> Column:
         too_low = self.value <= self.low if self.low_open else self.value < self.low
@@ -115,7 +129,7 @@ class DateRule(RowRule):
     invalid_text: str
 
     def parsed(self, cells: Cells) -> Column:
-        return as_date(cells(self.field))
+        return cells.date(self.field)
 
     def violation(self, cells: Cells) -> Column:
         return self.value.isNull() | (self.value > F.lit(self.as_of))
@@ -157,7 +171,7 @@ class RequiredWhenRule(RowRule):
     invalid_text: str
 
     def parsed(self, cells: Cells) -> Column:
-        return as_number(cells(self.field, absent=None))
+        return cells.number(self.field, absent=None)
 
     def violation(self, cells: Cells) -> Column:
         applies = F.coalesce(cells(self.when_field).isin(*self.when_values), F.lit(False))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rowsieve.config import NEXT_STATUSES, TERMINAL_STATUSES
 from rowsieve.operators.groups import PIECE_ROWS, value_before
+from rowsieve.operators.validate import tally
 
 SUMMARY_COLUMNS = 50
 SUMMARY_ERRORS = 5
@@ -68,52 +69,20 @@ def run_summary(
 ) -> DataFrame:
     """One row about a run: size, columns, error count and the first queued errors."""
     columns = [c for c in df.columns if c != "row_index"]
-    first = pending.orderBy("row_index", "rule_no").limit(SUMMARY_ERRORS)
-    line = F.struct("row_index", "rule_no", "field", "current_value", "error_message")
-    parts = (
-        df.agg(F.count("*").alias("row_count"))
-        .select("row_count", _no_count("all_errors"), _no_count("pending_review"), _no_lines())
-        .unionByName(
-            ledger.agg(F.count("*").alias("all_errors")).select(
-                _no_count("row_count"), "all_errors", _no_count("pending_review"), _no_lines()
-            )
-        )
-        .unionByName(
-            pending.agg(F.count("*").alias("pending_review")).select(
-                _no_count("row_count"), _no_count("all_errors"), "pending_review", _no_lines()
-            )
-        )
-        .unionByName(
-            first.agg(F.sort_array(F.collect_list(line)).alias("first_errors")).select(
-                _no_count("row_count"),
-                _no_count("all_errors"),
-                _no_count("pending_review"),
-                "first_errors",
-            )
-        )
+    counts = tally(
+        (df, {"row_count": F.count("*")}),
+        (ledger, {"all_errors": F.count("*")}),
+        (pending, {"pending_review": F.count("*")}),
     )
-    return parts.agg(
-        F.sum("row_count").alias("row_count"),
-        F.sum("all_errors").alias("all_errors"),
-        F.sum("pending_review").alias("pending_review"),
-        F.max_by("first_errors", F.size("first_errors")).alias("first_errors"),
-    ).select(
+    line = F.struct("row_index", "rule_no", "field", "current_value", "error_message")
+    first = pending.orderBy("row_index", "rule_no").limit(SUMMARY_ERRORS)
+    lines = first.agg(F.sort_array(F.collect_list(line)).alias("first_errors"))
+    return counts.select(
         F.lit(status).alias("status"),
         F.lit(file_name).alias("file_name"),
         "row_count",
         F.array(*[F.lit(c) for c in columns[:SUMMARY_COLUMNS]]).alias("columns"),
         "all_errors",
         "pending_review",
-        "first_errors",
+        lines.scalar().alias("first_errors"),
     )
-
-
-def _no_count(name: str) -> Column:
-    return F.lit(0).cast("long").alias(name)
-
-
-def _no_lines() -> Column:
-    return F.expr(
-        "CAST(array() AS array<struct<row_index: bigint, rule_no: int, field: string,"
-        " current_value: string, error_message: string>>)"
-    ).alias("first_errors")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rowsieve.config import REVIEW_BATCH_ROWS
@@ -103,43 +103,50 @@ def error_ledger(
     return exclude_rows(ledger, skipped, row_key)
 
 
+def tally(*parts: tuple[DataFrame, dict[str, Column]]) -> DataFrame:
+    """One row of counts over several DataFrames.
+
+    Each is reduced to one row of partial counts; those few rows are then added up.
+    """
+    names = [name for _, aggs in parts for name in aggs]
+    reduced = None
+    for df, aggs in parts:
+        row = df.agg(*[agg.alias(name) for name, agg in aggs.items()]).select(
+            *[(F.col(n) if n in aggs else F.lit(0)).cast("long").alias(n) for n in names]
+        )
+        reduced = row if reduced is None else reduced.union(row)
+    return reduced.agg(*[F.sum(n).alias(n) for n in names])
+
+
 def validation_summary(
     df: DataFrame,
     ledger: DataFrame,
-    skipped_unchanged: DataFrame | None = None,
+    unchecked: DataFrame | None = None,
     batch_rows: int = REVIEW_BATCH_ROWS,
     max_errors: int = 8,
     row_key: Sequence[str] = ROW_KEY,
 ) -> DataFrame:
-    """One row of counts. ``skipped_unchanged`` holds one row per row that was not checked.
-
-    Each side is reduced to a single row of partial counts before they meet.
-    """
-    batch = review_batch(ledger, batch_rows, max_errors, row_key)
+    """One row of counts. ``unchecked`` holds the rows the pass did not check."""
+    distinct_rows = F.countDistinct(*row_key)
     parts = [
-        df.agg(F.count("*").alias("n")).select(F.lit("total").alias("what"), "n"),
-        ledger.agg(F.countDistinct(*row_key).alias("n")).select(F.lit("errors"), "n"),
-        batch.agg(F.count("*").alias("n")).select(F.lit("pending"), "n"),
-        batch.agg(F.countDistinct(*row_key).alias("n")).select(F.lit("batch"), "n"),
+        (df, {"total_rows": F.count("*")}),
+        (ledger, {"error_count": distinct_rows}),
+        (
+            review_batch(ledger, batch_rows, max_errors, row_key),
+            {"pending_review_count": F.count("*"), "batch_size": distinct_rows},
+        ),
     ]
-    if skipped_unchanged is not None:
-        counted = skipped_unchanged.agg(F.count("*").alias("n"))
-        parts.append(counted.select(F.lit("unchanged"), "n"))
-    counts = parts[0]
-    for part in parts[1:]:
-        counts = counts.union(part)
-
-    def total(what: str):
-        picked = F.sum(F.when(F.col("what") == what, F.col("n")))
-        return F.coalesce(picked, F.lit(0)).cast("long")
-
-    return counts.agg(
-        total("total").alias("total_rows"),
-        (total("total") - total("errors")).alias("valid_count"),
-        total("errors").alias("error_count"),
-        total("unchanged").alias("skipped_unchanged"),
-        total("pending").alias("pending_review_count"),
-        total("batch").alias("batch_size"),
+    if unchecked is not None:
+        parts.append((unchecked, {"skipped_unchanged": F.count("*")}))
+    counts = tally(*parts)
+    unchanged = F.col("skipped_unchanged") if unchecked is not None else F.lit(0).cast("long")
+    return counts.select(
+        "total_rows",
+        (F.col("total_rows") - F.col("error_count")).alias("valid_count"),
+        "error_count",
+        unchanged.alias("skipped_unchanged"),
+        "pending_review_count",
+        "batch_size",
     )
 
 
@@ -189,16 +196,10 @@ def completion_metrics(df: DataFrame, pending: DataFrame, skipped: DataFrame) ->
 
     Errors are the queued errors while any are queued, else the skipped rows.
     """
-    counts = (
-        df.agg(F.count("*").alias("n"))
-        .select(F.lit("total").alias("what"), "n")
-        .union(pending.agg(F.count("*").alias("n")).select(F.lit("pending"), "n"))
-        .union(skipped.agg(F.count("*").alias("n")).select(F.lit("skipped"), "n"))
-        .agg(
-            F.sum(F.when(F.col("what") == "total", F.col("n"))).alias("total_rows"),
-            F.sum(F.when(F.col("what") == "pending", F.col("n"))).alias("fixed_count"),
-            F.sum(F.when(F.col("what") == "skipped", F.col("n"))).alias("skipped_rows"),
-        )
+    counts = tally(
+        (df, {"total_rows": F.count("*")}),
+        (pending, {"fixed_count": F.count("*")}),
+        (skipped, {"skipped_rows": F.count("*")}),
     )
     errors = F.when(F.col("fixed_count") > 0, F.col("fixed_count")).otherwise(
         F.col("skipped_rows")
