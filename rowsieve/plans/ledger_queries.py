@@ -20,12 +20,48 @@ BATCH = "SELECT * FROM ledger WHERE row_index IN (SELECT DISTINCT row_index FROM
 SKIPS = "SELECT row_index FROM x WHERE amount = 'n/a'"
 
 
-def sample_fixes(spark, x: DataFrame) -> DataFrame:
-    return spark.sql(twins.FIXES, x=x)
+def sample_fixes(x: DataFrame) -> DataFrame:
+    """Fixes a person might send, in one scan: good ones, repeats, nulls and bad row numbers."""
+    row = F.col("row_index")
+    typed = row.cast("string")
+    spent = F.col("spend_date")
+    iso = F.concat_ws(
+        "-", F.substring(spent, 7, 4), F.substring(spent, 1, 2), F.substring(spent, 4, 2)
+    )
+    padded = F.concat(F.lit("9"), F.lpad(typed, 14, "0"))
+    cases = [
+        (F.col("dept") == "SALES", typed, "dept", F.lit("HR")),
+        (F.col("amount") == "-5", typed, "amount", F.lit("abc")),
+        (F.col("amount") == "-5", typed, "amount", F.lit("5")),
+        (F.col("currency") == "JPY", F.concat(F.lit(" "), typed), "currency", F.lit("USD")),
+        (spent.contains("/"), typed, "spend_date", iso),
+        (F.col("vendor") == "", typed, "vendor", F.lit("Vendor UNKNOWN")),
+        (F.col("vendor") == "   ", typed, "vendor", F.lit(None).cast("string")),
+        (F.col("employee_id").startswith("emp"), typed, "note", F.lit("check id")),
+        (F.col("amount") == "n/a", F.concat(F.lit("row "), typed), "dept", F.lit("HR")),
+        (F.col("fx_rate") == "abc", padded, "dept", F.lit("HR")),
+    ]
+    entries = [
+        F.when(
+            applies,
+            F.struct(
+                (row * 10 + i).alias("seq"),
+                target.alias("row_index"),
+                F.lit(field).alias("field"),
+                value.alias("new_value"),
+            ),
+        )
+        for i, (applies, target, field, value) in enumerate(cases)
+    ]
+    return (
+        x.select(F.explode(F.array(*entries)).alias("fix"))
+        .filter(F.col("fix").isNotNull())
+        .select("fix.*")
+    )
 
 
-def fixed_expenses(spark, x: DataFrame) -> DataFrame:
-    good = accepted_fixes(sample_fixes(spark, x), x)
+def fixed_expenses(x: DataFrame) -> DataFrame:
+    good = accepted_fixes(sample_fixes(x), x)
     return apply_fixes(x, good, new_fields=["note"])
 
 
@@ -165,7 +201,7 @@ FROM x JOIN (SELECT row_index, {twins.fingerprint(EXPENSE_COLUMNS)} AS fp FROM y
 )
 def changed_rows(spark, sf_dir: str) -> DataFrame:
     x = expenses(spark, sf_dir)
-    fixed = fixed_expenses(spark, x).drop("note")
+    fixed = fixed_expenses(x).drop("note")
     return incremental.changed_rows(x, fixed).select("row_index", "change")
 
 
@@ -214,7 +250,7 @@ FROM y7 JOIN y_prev ON y7.row_index = y_prev.row_index""".replace(
 
 def _second_pass(spark, sf_dir: str) -> DataFrame:
     x = expenses(spark, sf_dir)
-    fixed = fixed_expenses(spark, x).drop("note")
+    fixed = fixed_expenses(x).drop("note")
     return incremental.row_states(
         fixed, RULES, skipped=sample_skips(x), cache=_first_pass_cache(x)
     )
@@ -278,7 +314,7 @@ def cache_rewrite(spark, sf_dir: str) -> DataFrame:
 def cache_invalidate(spark, sf_dir: str) -> DataFrame:
     x = expenses(spark, sf_dir)
     prints = with_fingerprint(x).select("row_index", "row_fp")
-    good = accepted_fixes(sample_fixes(spark, x), x)
+    good = accepted_fixes(sample_fixes(x), x)
     kept = incremental.invalidate_cache(
         _first_pass_cache(x),
         RULES,

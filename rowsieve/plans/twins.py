@@ -1,7 +1,6 @@
 """SQL texts shared by the twins of several queries.
 
-These restate the semantics independently of the DataFrame operators. Texts that only
-build inputs (the expense view, the sample fixes) also run in Spark SQL.
+These restate the semantics independently of the DataFrame operators.
 """
 
 from __future__ import annotations
@@ -99,43 +98,42 @@ def with_x(**ctes: str) -> str:
     return "WITH " + ",\n".join(named) + "\n"
 
 
-# Sample fixes over the expense table, built the same way in both engines. ``{x}`` is the
-# table; seq is unique; row_index is text as a person would send it.
+# Sample fixes over the expense table; seq is unique; row_index is text as a person types it.
 FIXES = """
 SELECT row_index * 10 AS seq, CAST(row_index AS STRING) AS row_index, 'dept' AS field,
-  'HR' AS new_value FROM {x} WHERE dept = 'SALES'
+  'HR' AS new_value FROM x WHERE dept = 'SALES'
 UNION ALL
-SELECT row_index * 10 + 1, CAST(row_index AS STRING), 'amount', 'abc' FROM {x}
+SELECT row_index * 10 + 1, CAST(row_index AS STRING), 'amount', 'abc' FROM x
 WHERE amount = '-5'
 UNION ALL
-SELECT row_index * 10 + 2, CAST(row_index AS STRING), 'amount', '5' FROM {x} WHERE amount = '-5'
+SELECT row_index * 10 + 2, CAST(row_index AS STRING), 'amount', '5' FROM x WHERE amount = '-5'
 UNION ALL
-SELECT row_index * 10 + 3, ' ' || CAST(row_index AS STRING), 'currency', 'USD' FROM {x}
+SELECT row_index * 10 + 3, ' ' || CAST(row_index AS STRING), 'currency', 'USD' FROM x
 WHERE currency = 'JPY'
 UNION ALL
 SELECT row_index * 10 + 4, CAST(row_index AS STRING), 'spend_date',
   substr(spend_date, 7, 4) || '-' || substr(spend_date, 1, 2) || '-' || substr(spend_date, 4, 2)
-FROM {x} WHERE spend_date LIKE '%/%'
+FROM x WHERE spend_date LIKE '%/%'
 UNION ALL
-SELECT row_index * 10 + 5, CAST(row_index AS STRING), 'vendor', 'Vendor UNKNOWN' FROM {x}
+SELECT row_index * 10 + 5, CAST(row_index AS STRING), 'vendor', 'Vendor UNKNOWN' FROM x
 WHERE vendor = ''
 UNION ALL
-SELECT row_index * 10 + 6, CAST(row_index AS STRING), 'vendor', CAST(NULL AS STRING) FROM {x}
+SELECT row_index * 10 + 6, CAST(row_index AS STRING), 'vendor', CAST(NULL AS STRING) FROM x
 WHERE vendor = '   '
 UNION ALL
-SELECT row_index * 10 + 7, CAST(row_index AS STRING), 'note', 'check id' FROM {x}
+SELECT row_index * 10 + 7, CAST(row_index AS STRING), 'note', 'check id' FROM x
 WHERE employee_id LIKE 'emp%'
 UNION ALL
-SELECT row_index * 10 + 8, 'row ' || CAST(row_index AS STRING), 'dept', 'HR' FROM {x}
+SELECT row_index * 10 + 8, 'row ' || CAST(row_index AS STRING), 'dept', 'HR' FROM x
 WHERE amount = 'n/a'
 UNION ALL
 SELECT row_index * 10 + 9, '9' || lpad(CAST(row_index AS STRING), 14, '0'), 'dept', 'HR'
-FROM {x} WHERE fx_rate = 'abc'
+FROM x WHERE fx_rate = 'abc'
 """
 # The part of FIXES that can be applied.
 GOOD_FIXES = f"""
 SELECT seq, try_cast(row_index AS BIGINT) AS row_index, field, new_value
-FROM ({FIXES.format(x="x")}) WHERE row_index NOT LIKE 'row %' AND length(row_index) < 15
+FROM ({FIXES}) WHERE row_index NOT LIKE 'row %' AND length(row_index) < 15
 """
 
 
