@@ -235,15 +235,7 @@ def apply_answers(
             df, add_skips(skipped, active), left, _answer_counts(df.limit(0), active, left)
         )
 
-    cell_fixes = answers.filter(F.col("kind") == "fix").drop("fixes", "kind")
-    row_fixes = answers.filter(F.col("kind") == "row_fix").drop("field", "new_value", "kind")
-    cells = accepted_fixes(cell_fixes, df).select(
-        _answer_order("fix"), "row_index", "field", "new_value"
-    )
-    rows = expand_row_fixes(accepted_fixes(row_fixes, df)).select(
-        _answer_order("row_fix"), "row_index", "field", "new_value"
-    )
-    applied = cells.union(rows)
+    applied = answered_cells(answers, df)
     wanted = answers.filter(F.col("kind") == "skip").select("row_index")
     taken = skippable_rows(wanted, ledger)
     left = pop_review(pending, applied.select("row_index").union(taken))
@@ -255,6 +247,19 @@ def apply_answers(
     )
 
 
+def answered_cells(answers: DataFrame, df: DataFrame) -> DataFrame:
+    """The cell changes of an answer set; ``seq`` is (phase, seq), in the order they apply."""
+    cell_fixes = answers.filter(F.col("kind") == "fix").drop("fixes", "kind")
+    row_fixes = answers.filter(F.col("kind") == "row_fix").drop("field", "new_value", "kind")
+    cells = accepted_fixes(cell_fixes, df).select(
+        _answer_order("fix"), "row_index", "field", "new_value"
+    )
+    rows = expand_row_fixes(accepted_fixes(row_fixes, df)).select(
+        _answer_order("row_fix"), "row_index", "field", "new_value"
+    )
+    return cells.union(rows)
+
+
 def _answer_order(kind: str) -> Column:
     return F.struct(F.lit(ANSWER_PHASES[kind]).alias("phase"), F.col("seq")).alias("seq")
 

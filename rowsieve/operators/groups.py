@@ -112,6 +112,11 @@ def _look_back(value: Column, window, skip_nulls: bool) -> Column:
     )
 
 
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` marked for broadcast when it has at most ``rows`` rows (counted), else as it is."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def lookup_join(
     left: DataFrame,
     right: DataFrame,

@@ -12,9 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowsieve.functions.fingerprint import with_fingerprint
-from rowsieve.operators.groups import PIECE_ROWS, lookup_join
+from rowsieve.functions.text import shown
+from rowsieve.operators.groups import PIECE_ROWS, if_small, lookup_join
 from rowsieve.operators.rules import RuleSet
-from rowsieve.operators.validate import LEDGER_FIELDS, ROW_KEY, duplicate_errors
+from rowsieve.operators.validate import (
+    LEDGER_FIELDS,
+    ROW_KEY,
+    duplicate_errors,
+    exclude_rows,
+    row_errors,
+)
 
 USER_SKIPPED = "user_skipped"
 UNCHANGED = "unchanged"
@@ -166,3 +173,46 @@ def changed_rows(
         .otherwise("same")
     )
     return old.join(new, key, "full_outer").withColumn("change", change)
+
+
+def refresh_ledger(
+    before: DataFrame,
+    after: DataFrame,
+    changed: DataFrame,
+    ledger: DataFrame,
+    rules: RuleSet,
+    skipped: DataFrame | None = None,
+    row_key: Sequence[str] = ROW_KEY,
+    piece_rows: int = PIECE_ROWS,
+) -> DataFrame:
+    """The ledger of ``after``, from the ledger of ``before`` and the rows that changed.
+
+    Row rules run on changed rows only. The duplicate check runs on the rows that have a key
+    a changed row had or has now. With few changes the table is scanned, not shuffled.
+    """
+    key = list(row_key)
+    scope = key[:-1]
+    marks = if_small(changed.select(*key).distinct())
+    now = after.join(marks, key, "left_semi")
+    if rules.unique is None:
+        kept = ledger.join(marks, key, "left_anti").select(*key, *LEDGER_FIELDS)
+        return exclude_rows(kept.unionByName(row_errors(now, rules, key)), skipped, key)
+
+    def keyed(df: DataFrame) -> DataFrame:
+        texts = [shown(F.col(c)).alias(f"_key_{c}") for c in rules.unique.columns]
+        return df.select(*key, *rules.unique.columns, *texts)
+
+    on = scope + [f"_key_{c}" for c in rules.unique.columns]
+    moved = keyed(before).join(marks, key, "left_semi").unionByName(keyed(now))
+    touched_keys = if_small(moved.select(*on).distinct())
+    recheck = keyed(after).join(touched_keys, on, "left_semi")
+
+    by_row = ledger.filter(F.col("rule_no") != rules.unique.rule_no)
+    by_key = ledger.filter(F.col("rule_no") == rules.unique.rule_no)
+    kept = by_row.unionByName(
+        by_key.join(recheck.select(*key), key, "left_anti")
+    ).join(marks, key, "left_anti")
+    # A changed row drops all its old errors; a touched key drops its old repeats.
+    repeats = duplicate_errors(recheck, rules.unique, key, piece_rows).drop("prev_row")
+    fresh = row_errors(now, rules, key).unionByName(repeats)
+    return exclude_rows(kept.select(*key, *LEDGER_FIELDS).unionByName(fresh), skipped, key)

@@ -5,6 +5,7 @@ from rowsieve.plans import (  # noqa: F401
     ingest_queries,
     ledger_queries,
     rule_queries,
+    streaming_queries,
     transform_queries,
 )
 from rowsieve.plans.registry import ORACLES, QUERIES

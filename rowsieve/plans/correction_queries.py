@@ -20,6 +20,8 @@ from rowsieve.plans.ledger_queries import (
 from rowsieve.plans.registry import query
 from rowsieve.plans.rule_queries import RULES
 from rowsieve.plans.transform_queries import ENRICHED
+from rowsieve.plans.workflow import run_review
+from rowsieve.session import scratch_path, settle
 from rowsieve.sources.tables import EXPENSE_AS_OF, expenses, table
 
 CONFIG = RunConfig(as_of=EXPENSE_AS_OF)
@@ -391,6 +393,45 @@ def package_counts(spark, sf_dir: str) -> DataFrame:
     return package.package_counts(x, sample_skips(x))
 
 
+def _run_through(spark, sf_dir: str) -> str:
+    """Land the expenses, send the sample fixes, let the second review time out."""
+    path = scratch_path(spark, "run")
+    landed = settle(expenses(spark, sf_dir), "landed")
+    no_map = F.lit(None).cast("map<string,string>").alias("fixes")
+    replies = sample_fixes(landed).select(
+        "seq", F.lit("fix").alias("kind"), "row_index", "field", "new_value", no_map
+    )
+    run_review(landed, CONFIG, lambda n, queue: replies if n == 1 else None, path, "1")
+    return path
+
+
+OPEN_AGAIN = {
+    **FIXED,
+    "again": twins.ledger("y"),
+    "e": ENRICHED.replace("FROM x", "FROM y"),
+}
+
+
+@query(
+    "run_to_success",
+    twins.with_x(**OPEN_AGAIN)
+    + "SELECT * FROM e WHERE row_index NOT IN (SELECT row_index FROM again)",
+)
+def run_to_success(spark, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{_run_through(spark, sf_dir)}/success/run_id=1")
+
+
+@query(
+    "run_to_errors",
+    twins.with_x(**OPEN_AGAIN)
+    + """SELECT e.*, r.error_reason FROM e JOIN (
+  SELECT row_index, string_agg(error_message, '; ' ORDER BY rule_no) AS error_reason
+  FROM again GROUP BY row_index) r ON e.row_index = r.row_index""",
+)
+def run_to_errors(spark, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{_run_through(spark, sf_dir)}/errors/run_id=1")
+
+
 # --- run log ----------------------------------------------------------------
 
 # The event table read as a run log: a user is a run, an event type a status.

@@ -288,6 +288,19 @@ def incremental_summary(spark, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "refresh_ledger",
+    twins.with_x(**FIXED, again=twins.ledger("y")) + "SELECT * FROM again",
+)
+def refresh_ledger(spark, sf_dir: str) -> DataFrame:
+    """The ledger after the fixes, worked out from the old one and the fixed rows."""
+    x = expenses(spark, sf_dir)
+    good = accepted_fixes(sample_fixes(x), x)
+    return incremental.refresh_ledger(
+        x, fixed_expenses(x), good, validate.error_ledger(x, RULES), RULES
+    )
+
+
 @query(
     "cache_rewrite",
     twins.with_x(**SECOND_PASS)

@@ -87,8 +87,9 @@ def too_long(names: list[str], sep: str) -> Column:
     """True for a line with more cells than the header; a shorter line is padded with nulls."""
     unquoted = F.regexp_replace(CORRUPT, '"([^"]|"")*"', "")
     cells = F.size(F.split(unquoted, f"\\Q{sep}\\E", -1))
-    # Always true of an over-long line; Spark refuses to scan for the raw line alone.
-    has_rest = F.length(CORRUPT) > F.coalesce(F.length(names[0]), F.lit(0))
+    # Always true of an over-long line. It keeps all columns in the scan: the reader only
+    # notices extra cells when it parses every column.
+    has_rest = F.length(CORRUPT) > F.length(F.concat_ws("", *names))
     return F.coalesce((cells > len(names)) & has_rest, F.lit(False))
 
 
