@@ -16,6 +16,7 @@ from rowsieve.session import scratch_path
 from rowsieve.sources.delimited import ingest_delimited
 from rowsieve.sources.dispatch import with_route
 from rowsieve.sources.sinks import write_rows
+from rowsieve.sources.workbook import ingest_workbooks, pack_workbooks
 from rowsieve.sources.tables import EXPENSE_AS_OF, expenses, table
 
 NA_LIST = ", ".join("'" + w.replace("'", "''") + "'" for w in NA_WORDS)
@@ -166,3 +167,22 @@ def reingest_ledger(spark, sf_dir: str) -> DataFrame:
     landed = ingest_delimited(spark, f"{path}/run_id=1").table
     found = validate.row_errors(landed, RULES)
     return found.groupBy("rule_no").agg(F.count("*").alias("errors"))
+
+
+@query("workbook_round_trip", twins.with_x() + CLEANED + " FROM x")
+def workbook_round_trip(spark, sf_dir: str) -> DataFrame:
+    """The expense table packed into workbooks and read back."""
+    books = pack_workbooks(expenses(spark, sf_dir), "expenses", rows_per_book=5_000)
+    return ingest_workbooks(books).table
+
+
+@query(
+    "workbook_sizes",
+    twins.with_x()
+    + """SELECT 'expenses-' || lpad(CAST(row_index // 5000 AS VARCHAR), 8, '0') || '.xlsx'
+  AS file_name, count(*) AS row_count FROM x GROUP BY 1""",
+)
+def workbook_sizes(spark, sf_dir: str) -> DataFrame:
+    """Rows per workbook, from the ingest summary."""
+    books = pack_workbooks(expenses(spark, sf_dir), "expenses", rows_per_book=5_000)
+    return ingest_workbooks(books).summary.select("file_name", "row_count")

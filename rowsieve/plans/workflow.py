@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from rowsieve.config import REVIEW_BATCH_ROWS, RunConfig
 from rowsieve.operators import corrections, incremental, package, validate
 from rowsieve.operators.rules import RuleSet, expense_rules
-from rowsieve.session import settle
+from rowsieve.session import scratch_path, settle
 from rowsieve.sources.landing import confirm_rows
 from rowsieve.sources.sinks import write_results
 
@@ -23,7 +23,7 @@ Reviewer = Callable[[int, DataFrame], DataFrame | None]
 
 @dataclass
 class RunReport:
-    """What a run did: its status log, passes, counts and the ledger of every pass."""
+    """What a run did: its status log, number of passes and output sizes."""
 
     run_id: str
     log: list[tuple[str, int, dt.datetime, str]] = field(default_factory=list)
@@ -80,54 +80,46 @@ def _review(
     report: RunReport,
 ) -> None:
     spark = base.sparkSession
+    work = scratch_path(spark, "review")
     table = base
-    fixes = spark.createDataFrame(
-        [], "seq struct<pass_no: int, phase: int, seq: bigint>, row_index bigint,"
-        " field string, new_value string"
-    )
     skipped = spark.createDataFrame([], "row_index bigint")
-    ledger = settle(validate.error_ledger(base, rules), "ledger")
-    history = ledger.withColumn("pass_no", F.lit(1))
+    ledger = settle(validate.error_ledger(base, rules), "ledger", f"{work}/ledger/pass_no=1")
     pending = ledger.limit(0)
 
     for pass_no in range(1, max_passes + 1):
         report.passes = pass_no
         if ledger.isEmpty():
             report.enter("VALIDATING")
-            pending = ledger
             break
         report.enter("WAITING_FOR_USER")
         queue = validate.review_batch(ledger, REVIEW_BATCH_ROWS, rules.size)
         answers = reviewer(pass_no, settle(queue, "queue"))
-        everything = answers is None or not answers.filter("kind = 'skip_all'").isEmpty()
-        if everything:
+        if answers is None or not answers.filter("kind = 'skip_all'").isEmpty():
             active = corrections.active_error_rows(table, ledger, skipped)
             skipped = settle(corrections.add_skips(skipped, active), "skips")
             report.enter("RUNNING")
-            pending = ledger.limit(0)
             break
-        cells = corrections.answered_cells(answers, table).select(
-            F.struct(F.lit(pass_no).alias("pass_no"), "seq.phase", "seq.seq").alias("seq"),
-            "row_index",
-            "field",
-            "new_value",
+        changed = settle(
+            corrections.answered_cells(answers, table), "fixes", f"{work}/fixes/pass_no={pass_no}"
         )
-        taken = corrections.skippable_rows(
-            answers.filter("kind = 'skip'").select("row_index"), ledger
-        )
-        new_cells = settle(cells, "fixes")
-        fixes = settle(fixes.unionByName(new_cells), "overlay")
+        asked = answers.filter("kind = 'skip'").select("row_index")
+        taken = corrections.skippable_rows(asked, ledger)
         skipped = settle(corrections.add_skips(skipped, taken), "skips")
+        # All fixes so far, later passes over earlier ones, laid over the landed table.
+        fixes = spark.read.parquet(f"{work}/fixes").withColumn(
+            "seq", F.struct("pass_no", "seq.phase", "seq.seq")
+        )
         before, table = table, corrections.apply_fixes(base, fixes)
         ledger = settle(
-            incremental.refresh_ledger(before, table, new_cells, ledger, rules, skipped),
+            incremental.refresh_ledger(before, table, changed, ledger, rules, skipped),
             "ledger",
+            f"{work}/ledger/pass_no={pass_no + 1}",
         )
-        history = history.unionByName(ledger.withColumn("pass_no", F.lit(pass_no + 1)))
         report.enter("RUNNING")
     else:
         pending = ledger
 
+    history = spark.read.parquet(f"{work}/ledger")
     package.check_ready(report.status, pending, table, ledger, skipped)
     report.enter("PACKAGING")
     success, errors = package.split_rows(table, skipped, history, config)
