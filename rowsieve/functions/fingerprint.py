@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # --- fixed values -----------------------------------------------------------
-CELL_SEPARATOR = "\x1f"
 NULL_MARK = "~"
 VALUE_MARK = "="
+LENGTH_END = ":"
 FLOAT_PLACES = 6
 # --- end of fixed values ----------------------------------------------------
 
@@ -22,18 +22,17 @@ def _cell_text(field: T.StructField) -> Column:
         # NaN and null count as the same value; adding 0.0 folds -0.0 into 0.0.
         cell = F.when(~F.isnan(cell), F.round(cell.cast("double"), FLOAT_PLACES) + F.lit(0.0))
     text = cell.cast("string")
-    escaped = F.replace(
-        F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit(CELL_SEPARATOR), F.lit("\\u")
-    )
-    return F.coalesce(F.concat(F.lit(VALUE_MARK), escaped), F.lit(NULL_MARK))
+    # The length in front makes cells unambiguous without escaping them.
+    length = F.length(text).cast("string")
+    valued = F.concat(F.lit(field.name + VALUE_MARK), length, F.lit(LENGTH_END), text)
+    return F.coalesce(valued, F.lit(field.name + NULL_MARK))
 
 
 def canonical_row(df: DataFrame, exclude: Iterable[str] = ("row_index",)) -> Column:
     """One text per row: cells in column-name order, unambiguous for any content."""
     skip = set(exclude)
     fields = sorted((f for f in df.schema.fields if f.name not in skip), key=lambda f: f.name)
-    cells = [F.concat(F.lit(f.name), _cell_text(f)) for f in fields]
-    return F.concat_ws(CELL_SEPARATOR, *cells)
+    return F.concat(*[_cell_text(f) for f in fields])
 
 
 def row_fingerprint(df: DataFrame, exclude: Iterable[str] = ("row_index",)) -> Column:

@@ -47,7 +47,7 @@ def as_date(cell: Column) -> Column:
     """Date of a YYYY-M-D text that exists in the calendar, else null."""
     text = cell.cast("string")
     well_formed = text.rlike(DATE_PATTERN) & ~text.startswith("0000-")
-    return F.when(well_formed, F.try_to_date(text, "yyyy-M-d"))
+    return F.when(well_formed, text.try_cast("date"))
 
 
 def na_to_null(cell: Column) -> Column:

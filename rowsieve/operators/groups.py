@@ -67,15 +67,14 @@ def value_before(
     earlier non-null value is taken. Null keys form a group of their own.
     """
     hot = hot_keys(df, keys, piece_rows) if hot is None else hot
+    if not hot:
+        window = Window.partitionBy(*keys).orderBy(order)
+        return df.withColumn(name, _look_back(value, window, skip_nulls))
+
     # Boxed, so that "no earlier row" and "an earlier row holding null" stay apart.
     boxed = F.struct(value.alias("v"))
     if skip_nulls:
         boxed = F.when(value.isNotNull(), boxed)
-
-    if not hot:
-        window = Window.partitionBy(*keys).orderBy(order)
-        return df.withColumn(name, _look_back(boxed, window, skip_nulls)["v"])
-
     piece = F.when(hot.test(keys), F.floor(F.col(order) / piece_rows).cast("long"))
     boxed_rows = df.withColumn("_piece", F.coalesce(piece, F.lit(-1))).withColumn("_boxed", boxed)
     window = Window.partitionBy(*keys, "_piece").orderBy(order)

@@ -13,14 +13,17 @@ from pyspark.sql import functions as F
 
 from rowsieve.functions.fingerprint import with_fingerprint
 from rowsieve.functions.text import shown
-from rowsieve.operators.groups import PIECE_ROWS, if_small, lookup_join
+from rowsieve.operators.groups import PIECE_ROWS, hot_keys, if_small, lookup_join
 from rowsieve.operators.rules import RuleSet
 from rowsieve.operators.validate import (
     LEDGER_FIELDS,
     ROW_KEY,
+    duplicate_entry,
     duplicate_errors,
     exclude_rows,
+    key_texts,
     row_errors,
+    with_previous_row,
 )
 
 USER_SKIPPED = "user_skipped"
@@ -43,14 +46,19 @@ def row_states(
     """
     row_key = list(row_key)
     typed = rules.with_parsed(with_fingerprint(df, exclude=row_key))
+    keys = key_texts(df, rules.unique.columns) if rules.unique else {}
     rows = typed.select(
-        *row_key, "row_fp", F.array_compact(rules.errors(typed)).alias("row_errors")
+        *row_key,
+        "row_fp",
+        F.array_compact(rules.errors(typed)).alias("row_errors"),
+        *[text.alias(name) for name, text in keys.items()],
     )
     if rules.unique is not None:
-        repeats = duplicate_errors(df, rules.unique, row_key, piece_rows).select(
-            *row_key, "prev_row", F.struct(*LEDGER_FIELDS).alias("repeat_error")
-        )
-        rows = rows.join(repeats, row_key, "left")
+        # Looked for on the key columns alone, so the sketch does not pay for the rules.
+        scope = row_key[:-1]
+        narrow = df.select(*scope, *[text.alias(name) for name, text in keys.items()])
+        hot = hot_keys(narrow, [*scope, *keys], piece_rows)
+        rows = with_previous_row(rows, list(keys), row_key, piece_rows, hot)
     else:
         rows = rows.withColumn("prev_row", F.lit(None).cast("long"))
 
@@ -68,8 +76,10 @@ def row_states(
     )
     found = F.col("row_errors")
     if rules.unique is not None:
+        entry = duplicate_entry(rules.unique)
+        repeat = F.struct(*[value.alias(name) for name, value in entry.items()])
         found = F.when(
-            F.col("prev_row").isNotNull(), F.concat(found, F.array("repeat_error"))
+            F.col("prev_row").isNotNull(), F.concat(found, F.array(repeat))
         ).otherwise(found)
     return (
         rows.withColumn("state", state)
@@ -213,6 +223,6 @@ def refresh_ledger(
         by_key.join(recheck.select(*key), key, "left_anti")
     ).join(marks, key, "left_anti")
     # A changed row drops all its old errors; a touched key drops its old repeats.
-    repeats = duplicate_errors(recheck, rules.unique, key, piece_rows).drop("prev_row")
+    repeats = duplicate_errors(recheck, rules.unique, key, piece_rows)
     fresh = row_errors(now, rules, key).unionByName(repeats)
     return exclude_rows(kept.select(*key, *LEDGER_FIELDS).unionByName(fresh), skipped, key)

@@ -30,6 +30,13 @@ def row_errors(df: DataFrame, rules: RuleSet, row_key: Sequence[str] = ROW_KEY)
     )
 
 
+def key_texts(df: DataFrame, columns: Sequence[str]) -> dict[str, Column]:
+    """Key cells as text, so null and the word "None" meet, as in the messages."""
+    return {
+        f"key_{c}": shown(F.col(c)) if c in df.columns else F.lit("") for c in columns
+    }
+
+
 def repeated_rows(
     df: DataFrame,
     columns: Sequence[str],
@@ -37,24 +44,36 @@ def repeated_rows(
     piece_rows: int = PIECE_ROWS,
     hot: HotKeys | None = None,
 ) -> DataFrame:
-    """Rows that have an earlier row with the same ``columns``, with its index as ``prev_row``.
+    """Rows that have an earlier row with the same ``columns``, with its index as ``prev_row``."""
+    keys = key_texts(df, columns)
+    narrow = df.select(*row_key, *[text.alias(name) for name, text in keys.items()])
+    seen = with_previous_row(narrow, list(keys), row_key, piece_rows, hot)
+    return seen.filter(F.col("prev_row").isNotNull())
 
-    Keys are compared as text, so null and the word "None" meet, as in the messages.
-    """
-    scope, index = list(row_key[:-1]), row_key[-1]
-    names = [c for c in columns if c in df.columns]
-    narrow = df.select(
-        *row_key,
-        *[
-            (shown(F.col(c)) if c in names else F.lit("")).alias(f"key_{c}")
-            for c in columns
-        ],
-    )
-    keys = scope + [f"key_{c}" for c in columns]
-    seen = value_before(
-        narrow, keys, index, F.col(index), "prev_row", piece_rows=piece_rows, hot=hot
+
+def with_previous_row(
+    df: DataFrame,
+    keys: Sequence[str],
+    row_key: Sequence[str],
+    piece_rows: int = PIECE_ROWS,
+    hot: HotKeys | None = None,
+) -> DataFrame:
+    """Add ``prev_row``, the closest earlier row with the same keys; one shuffle by key."""
+    *scope, index = row_key
+    return value_before(
+        df, [*scope, *keys], index, F.col(index), "prev_row", piece_rows=piece_rows, hot=hot
     )
-    return seen.filter(F.col("prev_row").isNotNull())
+
+
+def duplicate_entry(rule: UniqueRule) -> dict[str, Column]:
+    """Ledger fields of a repeat, from its key texts and ``prev_row``."""
+    cells = {c: F.col(f"key_{c}") for c in rule.columns}
+    return {
+        "rule_no": F.lit(rule.rule_no),
+        "field": F.lit(rule.field),
+        "current_value": cells[rule.field],
+        "error_message": render(rule.text, previous=F.col("prev_row").cast("string"), **cells),
+    }
 
 
 def duplicate_errors(
@@ -64,19 +83,10 @@ def duplicate_errors(
     piece_rows: int = PIECE_ROWS,
     hot: HotKeys | None = None,
 ) -> DataFrame:
-    """Ledger rows of the unique rule, plus ``prev_row``."""
+    """Ledger rows of the unique rule."""
     repeats = repeated_rows(df, rule.columns, row_key, piece_rows, hot)
-    cells = {c: F.col(f"key_{c}") for c in rule.columns}
-    return repeats.select(
-        *row_key,
-        F.lit(rule.rule_no).alias("rule_no"),
-        F.lit(rule.field).alias("field"),
-        cells[rule.field].alias("current_value"),
-        render(rule.text, previous=F.col("prev_row").cast("string"), **cells).alias(
-            "error_message"
-        ),
-        "prev_row",
-    )
+    entry = [value.alias(name) for name, value in duplicate_entry(rule).items()]
+    return repeats.select(*row_key, *entry)
 
 
 def exclude_rows(df: DataFrame, rows: DataFrame | None, row_key: Sequence[str] = ROW_KEY):
@@ -98,7 +108,7 @@ def error_ledger(
     """
     ledger = row_errors(df, rules, row_key)
     if rules.unique is not None:
-        repeats = duplicate_errors(df, rules.unique, row_key, piece_rows).drop("prev_row")
+        repeats = duplicate_errors(df, rules.unique, row_key, piece_rows)
         ledger = ledger.unionByName(repeats)
     return exclude_rows(ledger, skipped, row_key)
 

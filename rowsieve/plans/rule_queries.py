@@ -16,7 +16,7 @@ from rowsieve.operators.rules import (
     RuleSet,
     expense_rules,
 )
-from rowsieve.operators.validate import repeated_rows, row_errors
+from rowsieve.operators.validate import duplicate_errors, repeated_rows, row_errors
 from rowsieve.plans import twins
 from rowsieve.plans.registry import query
 from rowsieve.sources.tables import EXPENSE_AS_OF, expenses, table
@@ -54,8 +54,6 @@ for _name, _no in (
     + "SELECT row_index, field, current_value, error_message FROM ledger WHERE rule_no = 8",
 )
 def rule_unique(spark, sf_dir: str) -> DataFrame:
-    from rowsieve.operators.validate import duplicate_errors
-
     found = duplicate_errors(expenses(spark, sf_dir), RULES.unique)
     return found.select("row_index", "field", "current_value", "error_message")
 

@@ -86,10 +86,10 @@ FROM (SELECT row_index, {text('employee_id')} AS e, {text('spend_date')} AS s FR
 def fingerprint(columns: tuple[str, ...]) -> str:
     """Digest over name-value pairs in name order."""
     pairs = [
-        f"'{c}' || coalesce('=' || replace(replace({c}, '\\', '\\\\'), chr(31), '\\u'), '~')"
+        f"coalesce('{c}=' || CAST(length({c}) AS VARCHAR) || ':' || {c}, '{c}~')"
         for c in sorted(columns)
     ]
-    return f"sha256(concat_ws(chr(31), {', '.join(pairs)}))"
+    return f"sha256({' || '.join(pairs)})"
 
 
 def with_x(**ctes: str) -> str:

@@ -22,6 +22,8 @@ def build_session(app: str = "rowsieve", master: str | None = None, **conf: str)
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # Recording the Python call site of every column costs more than building it.
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         # Merge session windows before the shuffle so one busy run stays small.
         "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
         **conf,
