@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rowsieve.config import REVIEW_TIMEOUT_SECONDS
 from rowsieve.functions.text import render, shown
-from rowsieve.operators.groups import PIECE_ROWS, value_before
+from rowsieve.operators.groups import PIECE_ROWS, hot_keys, value_before
 from rowsieve.operators.validate import ROW_KEY, tally
 
 # --- fixed values -----------------------------------------------------------
@@ -282,20 +282,34 @@ def idle_runs(
 
 
 def review_sessions(
-    actions: DataFrame, timeout_seconds: int = REVIEW_TIMEOUT_SECONDS
+    actions: DataFrame,
+    timeout_seconds: int = REVIEW_TIMEOUT_SECONDS,
+    piece_rows: int = PIECE_ROWS,
+    piece_hours: int = 24,
 ) -> DataFrame:
-    """Stretches of actions of a run with no pause of the timeout; each ends in an auto-skip.
+    """Stretches of actions of a run with no pause above the timeout; each ends in an auto-skip.
 
-    The same call serves a batch table and, after ``withWatermark``, a stream.
+    ``actions`` holds ``run_id, ts``. A busy run is cut into pieces of ``piece_hours``, and
+    counting is combined per task, so no task holds a whole run.
     """
-    session = F.session_window("ts", f"{timeout_seconds} seconds")
+    hot = hot_keys(actions.select("run_id"), ["run_id"], piece_rows)
+    width = piece_hours * 3_600_000_000
+    pieces = {"piece_rows": width, "hot": hot}
+    timeout = timeout_seconds * 1_000_000
+    rows = actions.select("run_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    seen = value_before(rows, ["run_id"], "at", F.col("at"), "before", **pieces)
+    opens = F.col("before").isNull() | (F.col("at") - F.col("before") > timeout)
+    start = F.when(opens, F.col("at"))
+    marked = value_before(
+        seen, ["run_id"], "at", start, "opened", skip_nulls=True, **pieces
+    ).withColumn("opened", F.coalesce(start, "opened"))
     return (
-        actions.groupBy("run_id", session.alias("session"))
-        .agg(F.count("*").alias("n_actions"))
+        marked.groupBy("run_id", "opened")
+        .agg(F.max("at").alias("last_at"), F.count("*").alias("n_actions"))
         .select(
             "run_id",
-            F.col("session.start").alias("started"),
-            F.col("session.end").alias("timed_out"),
+            F.timestamp_micros("opened").alias("started"),
+            F.timestamp_micros(F.col("last_at") + timeout).alias("timed_out"),
             "n_actions",
         )
     )

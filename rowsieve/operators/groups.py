@@ -63,7 +63,8 @@ def value_before(
 ) -> DataFrame:
     """Add ``name``: the value of the closest earlier row (by ``order``) with the same keys.
 
-    ``order`` is a whole number, unique within a key. With ``skip_nulls`` the closest
+    ``order`` is a whole number; a hot key is cut where it passes a multiple of
+    ``piece_rows``. Rows of equal order come in any order. With ``skip_nulls`` the closest
     earlier non-null value is taken. Null keys form a group of their own.
     """
     hot = hot_keys(df, keys, piece_rows) if hot is None else hot

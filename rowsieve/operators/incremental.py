@@ -13,7 +13,13 @@ from pyspark.sql import functions as F
 
 from rowsieve.functions.fingerprint import with_fingerprint
 from rowsieve.functions.text import shown
-from rowsieve.operators.groups import PIECE_ROWS, hot_keys, if_small, lookup_join
+from rowsieve.operators.groups import (
+    BROADCAST_ROWS,
+    PIECE_ROWS,
+    hot_keys,
+    if_small,
+    lookup_join,
+)
 from rowsieve.operators.rules import RuleSet
 from rowsieve.operators.validate import (
     LEDGER_FIELDS,
@@ -38,6 +44,7 @@ def row_states(
     cache: DataFrame | None = None,
     row_key: Sequence[str] = ROW_KEY,
     piece_rows: int = PIECE_ROWS,
+    broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """What one pass decides about every row: ``state``, ``errors``, ``is_valid``.
 
@@ -68,7 +75,7 @@ def row_states(
     else:
         rows = rows.withColumn("is_skipped", F.lit(None).cast("boolean"))
 
-    rows = _with_cache_hit(rows, rules, cache, row_key, piece_rows)
+    rows = _with_cache_hit(rows, rules, cache, row_key, piece_rows, broadcast_rows)
     state = (
         F.when(F.col("is_skipped"), F.lit(USER_SKIPPED))
         .when(F.col("is_cached") & F.col("prev_row").isNull(), F.lit(UNCHANGED))
@@ -100,6 +107,7 @@ def _with_cache_hit(
     cache: DataFrame | None,
     row_key: Sequence[str],
     piece_rows: int,
+    broadcast_rows: int,
 ) -> DataFrame:
     if cache is None:
         return rows.withColumn("is_cached", F.lit(False))
@@ -108,9 +116,9 @@ def _with_cache_hit(
     )
     if rules.unique is None:
         # Copies of one row share a fingerprint and may be many: salted lookup.
+        probed = rows.withColumn("probe", F.col("row_fp"))
         return lookup_join(
-            rows.withColumn("probe", F.col("row_fp")), valid, "probe", row_key,
-            piece_rows=piece_rows,
+            probed, valid, "probe", row_key, broadcast_rows, piece_rows
         ).drop("probe")
     # Copies of one row repeat its key, so only the first of them can hit the cache. The
     # others get a probe that matches nothing, which keeps the probes unique and evenly spread.

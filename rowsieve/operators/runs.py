@@ -21,10 +21,11 @@ def latest_per_run(log: DataFrame) -> DataFrame:
 
 
 def list_runs(log: DataFrame) -> DataFrame:
-    """All runs with their current status; only the light columns are read."""
-    light = [c for c in ("run_id", "seq", "ts", "status", "file_name") if c in log.columns]
-    first = log.groupBy("run_id").agg(F.min("ts").alias("created"))
-    return latest_per_run(log.select(*light)).join(first, "run_id")
+    """All runs with their current status and start; only the light columns are read."""
+    light = [c for c in ("seq", "ts", "status", "file_name") if c in log.columns]
+    newest = F.max_by(F.struct(*light), F.col("seq")).alias("last")
+    listed = log.groupBy("run_id").agg(newest, F.min("ts").alias("created"))
+    return listed.select("run_id", *[f"last.{c}" for c in light], "created")
 
 
 def run_detail(log: DataFrame, run_id) -> DataFrame:

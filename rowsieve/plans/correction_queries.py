@@ -283,7 +283,7 @@ SESSIONS = """SELECT user_id AS run_id, epoch_us(min(ts)) AS started_us,
   epoch_us(max(ts)) + 300000000 AS timed_out_us, count(*) AS n_actions
 FROM (SELECT user_id, ts, sum(is_new) OVER (PARTITION BY user_id ORDER BY ts) AS no
       FROM (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL
-              OR ts - lag(ts) OVER w >= INTERVAL 300 SECOND THEN 1 ELSE 0 END AS is_new
+              OR ts - lag(ts) OVER w > INTERVAL 300 SECOND THEN 1 ELSE 0 END AS is_new
             FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)))
 GROUP BY user_id, no"""
 
@@ -299,8 +299,15 @@ def session_rows(sessions: DataFrame) -> DataFrame:
 
 @query("review_sessions", SESSIONS)
 def review_sessions(spark, sf_dir: str) -> DataFrame:
-    log = actions(spark, sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    return session_rows(corrections.review_sessions(log))
+    return session_rows(corrections.review_sessions(actions(spark, sf_dir)))
+
+
+@query("review_sessions_hot", SESSIONS)
+def review_sessions_hot(spark, sf_dir: str) -> DataFrame:
+    """The same with every run above 20 actions cut into pieces of six hours."""
+    return session_rows(
+        corrections.review_sessions(actions(spark, sf_dir), piece_rows=20, piece_hours=6)
+    )
 
 
 @query(

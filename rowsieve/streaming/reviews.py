@@ -6,13 +6,29 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rowsieve.config import REVIEW_TIMEOUT_SECONDS
-from rowsieve.operators.corrections import review_sessions
 from rowsieve.operators.runs import latest_per_run
 from rowsieve.streaming.files import append_available, each_available
 
 MERGE_LOCALLY = "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition"
 
 
+def session_windows(
+    actions: DataFrame, timeout_seconds: int = REVIEW_TIMEOUT_SECONDS
+) -> DataFrame:
+    """The built-in form of :func:`rowsieve.operators.corrections.review_sessions`."""
+    session = F.session_window("ts", f"{timeout_seconds} seconds")
+    return (
+        actions.groupBy("run_id", session.alias("session"))
+        .agg(F.count("*").alias("n_actions"))
+        .select(
+            "run_id",
+            F.col("session.start").alias("started"),
+            F.col("session.end").alias("timed_out"),
+            "n_actions",
+        )
+    )
+
+
 def timed_out_sessions(
     actions: DataFrame,
     path: str,
@@ -29,7 +45,7 @@ def timed_out_sessions(
     before = spark.conf.get(MERGE_LOCALLY)
     spark.conf.set(MERGE_LOCALLY, "true")
     try:
-        sessions = review_sessions(actions.withWatermark("ts", lateness), timeout_seconds)
+        sessions = session_windows(actions.withWatermark("ts", lateness), timeout_seconds)
         return append_available(sessions, path, checkpoint)
     finally:
         spark.conf.set(MERGE_LOCALLY, before)
