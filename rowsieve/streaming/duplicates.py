@@ -21,6 +21,8 @@ from rowsieve.session import settle
 from rowsieve.streaming.files import append_available, each_available, folder_stream
 
 STATE = "last_row long, last_batch long"
+# Batches may be read out of order by this much.
+CLOCK_SLACK = "1 hour"
 
 
 def repeats_across_batches(
@@ -29,6 +31,7 @@ def repeats_across_batches(
     work: str,
     order: str = "row_index",
     ttl_ms: int | None = None,
+    clock_slack: str = CLOCK_SLACK,
     piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
     """Rows whose key was seen before, with the index of the last row that had it.
@@ -48,7 +51,7 @@ def repeats_across_batches(
         found.write.mode("overwrite").parquet(f"{work}/inside/batch={batch_id}")
         spans = rows.groupBy(*keys).agg(
             F.min(order).alias("first_row"), F.max(order).alias("last_row")
-        )
+        ).withColumn("seen_at", F.current_timestamp())
         spans.write.mode("overwrite").parquet(f"{work}/spans/batch={batch_id}")
 
     each_available(narrow, handle, f"{work}/checkpoint-rows")
@@ -56,11 +59,16 @@ def repeats_across_batches(
     span_schema = T.StructType(
         [T.StructField(k, T.StringType()) for k in keys]
         + [T.StructField(n, T.LongType()) for n in ("first_row", "last_row", "batch")]
+        + [T.StructField("seen_at", T.TimestampType())]
     )
-    spans = folder_stream(spark, f"{work}/spans", span_schema)
-    timeout = (
-        GroupStateTimeout.NoTimeout if ttl_ms is None else GroupStateTimeout.ProcessingTimeTimeout
+    spans = folder_stream(spark, f"{work}/spans", span_schema).withColumn(
+        "seen_ms", F.unix_millis("seen_at")
     )
+    timeout = GroupStateTimeout.NoTimeout
+    if ttl_ms is not None:
+        # Event time is the time a batch was read, so the wait ends with the data at hand.
+        spans = spans.withWatermark("seen_at", clock_slack)
+        timeout = GroupStateTimeout.EventTimeTimeout
 
     def chain(
         key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
@@ -70,8 +78,9 @@ def repeats_across_batches(
             return
         last_row, last_batch = state.get if state.exists else (None, -1)
         found = []
-        arrived = (p[["batch", "first_row", "last_row"]].to_numpy().tolist() for p in parts)
-        for batch, first, last in sorted(span for part in arrived for span in part):
+        fields = ["batch", "first_row", "last_row", "seen_ms"]
+        arrived = (part[fields].to_numpy().tolist() for part in parts)
+        for batch, first, last, seen_ms in sorted(span for part in arrived for span in part):
             if batch <= last_batch:
                 continue  # a batch that was written again after a failure
             if last_row is not None:
@@ -79,7 +88,7 @@ def repeats_across_batches(
             last_row, last_batch = last, batch
         state.update((last_row, last_batch))
         if ttl_ms is not None:
-            state.setTimeoutDuration(ttl_ms)
+            state.setTimeoutTimestamp(seen_ms + ttl_ms)
         if found:
             yield pd.DataFrame(found, columns=[order, "prev_row"], dtype="int64")
 

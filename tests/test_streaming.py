@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from rowsieve.operators import validate as batch
 from rowsieve.streaming import duplicates, reviews, validate
 from rowsieve.streaming.files import folder_stream
-from tests.helpers import RULES, collect, random_rows, table
+from tests.helpers import RULES, collect, random_rows, row, table
 
 
 def deliver(df, path, *conditions):
@@ -37,16 +37,26 @@ def test_repeats_across_batches_equal_the_batch_result(spark, tmp_path):
     assert collect(found) == collect(expected)
 
 
-def test_state_forgets_after_its_time_to_live(spark, tmp_path):
-    df = table(spark, random_rows(1, 1) * 2)
-    arrivals, work = str(tmp_path / "in"), str(tmp_path / "work")
-    columns = ["employee_id", "spend_date"]
+def three_deliveries(spark, tmp_path, **options):
+    """Rows 0 and 2 share a key; row 1 comes between them."""
+    rows = [row(), row(employee_id="EMP002"), row()]
+    df = table(spark, rows)
     found = None
-    for part in range(2):
-        deliver(df, arrivals, f"row_index = {part}")
-        stream = folder_stream(spark, arrivals, df.schema)
-        found = duplicates.repeats_across_batches(stream, columns, work)
-    assert collect(found) == [(1, 0)]
+    for part in range(3):
+        deliver(df, str(tmp_path / "in"), f"row_index = {part}")
+        stream = folder_stream(spark, str(tmp_path / "in"), df.schema)
+        found = duplicates.repeats_across_batches(
+            stream, ["employee_id", "spend_date"], str(tmp_path / "work"), **options
+        )
+    return collect(found)
+
+
+def test_state_survives_restarts(spark, tmp_path):
+    assert three_deliveries(spark, tmp_path) == [(2, 0)]
+
+
+def test_state_forgets_after_its_time_to_live(spark, tmp_path):
+    assert three_deliveries(spark, tmp_path, ttl_ms=1, clock_slack="0 seconds") == []
 
 
 def test_revalidation_against_a_cache(spark, tmp_path):

@@ -94,7 +94,7 @@ def test_cost_center_and_approval(spark):
     rows = [row(dept="FIN", amount="50001"), row(dept="FIN", amount="50000"),
             row(dept="HR", amount="90000"), row(dept="SALES"), row(dept=None)]
     out = transform.enrich(table(spark, rows), RunConfig(cost_center_map={"FIN": "111", "SALES": "5"}))
-    assert column(out, "cost_center") == ["111", "200", "200", "5", "UNMAPPED"]
+    assert column(out, "cost_center") == ["111", "111", "200", "5", "UNMAPPED"]
     assert column(out, "approval_required") == ["YES", "NO", "NO", "NO", "NO"]
     assert set(COST_CENTERS) == set(DEPARTMENTS)
 
