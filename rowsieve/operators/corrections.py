@@ -123,7 +123,10 @@ def fix_audit(
     order: str = "seq",
     piece_rows: int = PIECE_ROWS,
 ) -> DataFrame:
-    """Old and new value of every accepted fix; a second fix of a cell sees the first."""
+    """Old and new value of every accepted fix; a second fix of a cell sees the first.
+
+    ``order`` is a whole number, unique per cell.
+    """
     key = list(row_key)
     boxed = F.struct(F.col("new_value").alias("text"))
     chained = value_before(

@@ -38,9 +38,12 @@ def unique_names(header: list[str]) -> list[str]:
     return names
 
 
-def read_header(spark: SparkSession, path: str, header_row: int, sep: str) -> list[str]:
+def read_header(
+    spark: SparkSession, path: str, header_row: int, sep: str, pattern: str = "*"
+) -> list[str]:
     """The header of the first file, taken from its first ``header_row + 1`` non-empty lines."""
-    first = spark.read.format("binaryFile").load(path).agg(F.min("path")).first()[0]
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path)
+    first = files.agg(F.min("path")).first()[0]
     if first is None:
         raise FileNotFoundError(path)
     lines = (
@@ -57,13 +60,14 @@ def scan_delimited(
     header_row: int = 0,
     sep: str = ",",
     multi_line: bool = False,
+    pattern: str = "*",
 ) -> DataFrame:
     """Lazy scan: all columns text, plus where each row came from.
 
     With ``header_row`` 0 the header lines are left out by the reader. Otherwise they are
     still among the rows; :func:`rowsieve.sources.landing.after_header` removes them.
     """
-    header = read_header(spark, path, header_row, sep)
+    header = read_header(spark, path, header_row, sep, pattern)
     names = unique_names(header)
     schema = T.StructType([T.StructField(n, T.StringType()) for n in [*names, CORRUPT]])
     reader = (
@@ -76,6 +80,7 @@ def scan_delimited(
         .option("columnNameOfCorruptRecord", CORRUPT)
         .option("escape", '"')
         .option("multiLine", multi_line)
+        .option("pathGlobFilter", pattern)
     )
     return reader.csv(path).select(
         *names, CORRUPT, F.col("_metadata.file_path").alias(FILE),
@@ -99,9 +104,10 @@ def ingest_delimited(
     header_row: int = 0,
     sep: str = ",",
     multi_line: bool = False,
+    pattern: str = "*",
 ) -> Landed:
     """Read files, set over-long lines aside, number the rows and write them once."""
-    scan = scan_delimited(spark, path, header_row, sep, multi_line)
+    scan = scan_delimited(spark, path, header_row, sep, multi_line, pattern)
     names = [c for c in scan.columns if c not in (CORRUPT, FILE, "_block")]
     if header_row:
         scan = after_header(stage(scan, "lines"), header_row + 1)

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowsieve.config import ACCEPTED_SUFFIXES
 from rowsieve.functions.text import render
+from rowsieve.sources.delimited import ingest_delimited
+from rowsieve.sources.landing import Landed
+from rowsieve.sources.workbook import ingest_workbooks, scan_workbook_folder
 
 # --- fixed values -----------------------------------------------------------
 UNSUPPORTED_TEXT = "Unsupported file type: {suffix}"
@@ -28,9 +33,31 @@ def with_route(files: DataFrame, name: str = "path") -> DataFrame:
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths below a folder; contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.select("path")
+    """Paths of the files in a folder; contents are not read."""
+    return spark.read.format("binaryFile").load(folder).select("path")
+
+
+@dataclass(frozen=True)
+class FolderIngest:
+    """What each reader found in a folder (None where it had no file), and the other files."""
+
+    delimited: Landed | None
+    workbooks: Landed | None
+    rejected: DataFrame
+
+
+def ingest_folder(
+    spark: SparkSession, folder: str, header_row: int = 0, sep: str = ","
+) -> FolderIngest:
+    """Send every file of a folder to its reader."""
+    present = with_route(list_files(spark, folder)).select("route").distinct().collect()
+    routes = {r["route"] for r in present}
+    delimited = workbooks = None
+    if "delimited" in routes:
+        delimited = ingest_delimited(spark, folder, header_row, sep, pattern="*.[cC][sS][vV]")
+    if "workbook" in routes:
+        workbooks = ingest_workbooks(scan_workbook_folder(spark, folder), header_row)
+    return FolderIngest(delimited, workbooks, rejected_files(spark, folder))
 
 
 def rejected_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from rowsieve.sources.workbook import pack_workbooks
+
 CSV_OPTIONS = {
     "header": "true",
     "escape": '"',
@@ -21,14 +23,18 @@ def write_rows(
 
     The count rides along with the write. ``ordered`` puts rows in index order across files
     (a range shuffle); the index itself is not written to CSV, which has no place for it.
+    ``workbook`` writes a Parquet table of packed workbooks ``(path, content)``.
     """
-    if ordered:
+    if ordered and file_format != "workbook":
         df = df.repartitionByRange("row_index").sortWithinPartitions("row_index")
     seen = Observation()
     observed = df.observe(seen, F.count("*").alias("n"))
     if file_format == "csv":
         observed = observed.drop("row_index")
-    writer = observed.write.mode("overwrite").format(file_format)
+    elif file_format == "workbook":
+        observed = pack_workbooks(observed, f"{path.rstrip('/').rsplit('/', 1)[-1]}-{run_id}")
+    container = "parquet" if file_format == "workbook" else file_format
+    writer = observed.write.mode("overwrite").format(container)
     if file_format == "csv":
         writer = writer.options(**CSV_OPTIONS)
     writer.save(f"{path.rstrip('/')}/run_id={run_id}")
