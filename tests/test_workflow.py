@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from rowsieve.operators import runs
 from rowsieve.operators.package import PendingReviewError
 from rowsieve.plans.workflow import run_review
 from tests.helpers import CONFIG, collect, distinct_rows, row, table
@@ -59,6 +60,7 @@ def test_fix_one_skip_one_time_out_on_the_rest(spark, tmp_path):
 
     report = run_review(table(spark, rows), CONFIG, answer, str(tmp_path), "r")
     assert report.counts == {"valid_count": 2, "error_count": 2}
+    assert runs.with_transitions(report.log_rows(spark)).filter("NOT is_legal").isEmpty()
     success, errors = outputs(spark, tmp_path)
     assert collect(success, "row_index", "employee_id") == [(0, "EMP001"), (1, "EMP009")]
     assert collect(errors, "row_index", "error_reason") == [
