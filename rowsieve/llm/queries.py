@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowsieve.llm import mixing, packing, token_counts, token_files
+from rowsieve.llm import (
+    line_dedup,
+    mixing,
+    nearest,
+    outlier_rules,
+    packing,
+    quality_qda,
+    token_counts,
+    token_files,
+)
 from rowsieve.llm.common import table
 from rowsieve.llm.tokens import public_path
 
@@ -56,3 +65,28 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every piece of every document with its place in a sequence."""
     docs = table(spark, sf_dir, "documents")
     return packing.pack_documents(docs, public_path("byte_bpe_50k.json"), END_ID)
+
+
+@query("op1_line_dedup", line_dedup.oracle())
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without its boilerplate lines."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return line_dedup.dedup_lines(docs).drop("source")
+
+
+@query("op4_quality_qda")
+def op4_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_qda.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op9_nearest", nearest.ORACLE)
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th one."""
+    return nearest.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op10_outlier_rules")
+def op10_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the robust outlier verdict for every document."""
+    return outlier_rules.judge(table(spark, sf_dir, "documents"))
