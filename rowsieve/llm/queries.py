@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowsieve.llm import (
+    jaccard_join,
     line_dedup,
     mixing,
     nearest,
@@ -90,3 +91,9 @@ def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and the robust outlier verdict for every document."""
     return outlier_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op5_jaccard_join")
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate class and number of links of every document."""
+    return jaccard_join.jaccard_links(table(spark, sf_dir, "documents"))
