@@ -84,26 +84,21 @@ class Qda:
     log_dets: np.ndarray
     log_odds: float
 
-    def score(self, x: Column) -> Column:
-        """P(label 1): the logistic of the difference of the class log densities and priors.
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """P(label 1) of each row: the logistic of the difference of the class log densities and
+        priors.
 
-        Each density is a triangular product with the cached factor. The difference is divided by
-        the number of statistics' root, which keeps its sign and order and softens its ends.
+        Each Mahalanobis distance is a triangular product with the cached factor. The difference
+        is divided by the root of the number of statistics, which keeps its sign and order and
+        softens its ends.
         """
-        d = len(self.centre)
-        scaled = [(F.get(x, F.lit(i)) - float(self.centre[i])) / float(self.spread[i]) for i in range(d)]
-        logs = []
-        for mean, factor, log_det in zip(self.means, self.factors, self.log_dets):
-            total = F.lit(0.0)
-            for i in range(d):
-                z = F.lit(0.0)
-                for k in range(i + 1):
-                    z = z + (scaled[k] - float(mean[k])) * float(factor[i, k])
-                total = total + z * z
-            logs.append(-0.5 * (total + float(log_det)))
-        margin = logs[1] - logs[0] + float(self.log_odds)
-        bounded = F.greatest(F.least(margin / d**0.5, F.lit(500.0)), F.lit(-500.0))
-        return 1 / (1 + F.exp(-bounded))
+        scaled = (x - self.centre) / self.spread
+        logs = [
+            -0.5 * ((((scaled - mean) @ factor.T) ** 2).sum(axis=1) + log_det)
+            for mean, factor, log_det in zip(self.means, self.factors, self.log_dets)
+        ]
+        margin = (logs[1] - logs[0] + self.log_odds) / len(self.centre) ** 0.5
+        return 1 / (1 + np.exp(-np.clip(margin, -500, 500)))
 
 
 def fit(
@@ -163,31 +158,35 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
-def scored(docs: DataFrame, labels: DataFrame, label: str = "quality", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``keep``, doc_id, held_out, score and predicted for every row of ``docs``.
+def scored(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
+    """doc_id, held_out, score, predicted and kept_row (all columns) for every row of ``docs``.
 
     Learns from the labelled rows that are not held out, all of them; ids, language, source and
     labels are no inputs of a score. A document with several labels counts once for each. Null
-    texts score as empty ones. Without rows of both classes every score is 0.5.
+    texts score as empty ones. Without rows of both classes every score is 0.5. Extra columns
+    travel in ``kept_row`` only, so their names cannot clash.
     """
-    taught = labels.select(F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("its_label"))
-    taught = taught.filter(~held_out(F.col("label_id")) & F.col("its_label").isNotNull())
+    taught = labels.select(
+        F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("its_label")
+    ).filter(~held_out(F.col("label_id")) & F.col("its_label").isNotNull())
     known = docs.select("doc_id", "text").join(taught, F.col("doc_id") == F.col("label_id"))
     model = fit(document_statistics(known.select("its_label", "text"), ("its_label",)), "its_label")
-    columns = tuple(dict.fromkeys([*(c for c in keep if c != "text"), "doc_id"]))
-    source = docs.select(*columns, "text")
-    if "text" in keep:
-        source = source.withColumn("its_text", F.col("text"))
-        rows = document_statistics(source, (*columns, "its_text")).withColumnRenamed("its_text", "text")
-    else:
-        rows = document_statistics(source, columns)
-    score = model.score(F.col("x")) if model else F.lit(0.5)
-    return (
-        rows.withColumn("score", score)
-        .withColumn("held_out", held_out(F.col("doc_id")))
-        .withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0))
-        .select(
-            *[c for c in keep if c not in ("doc_id", "held_out", "score", "predicted")],
-            "doc_id", "held_out", "score", "predicted",
-        )
+    source = docs.select("doc_id", F.struct(*docs.columns).alias("kept_row"), "text")
+    schema = source.select("doc_id", "kept_row").withColumn("score", F.lit(0.0)).schema
+
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = [statistics_of(t or "") for t in batch.column(2).to_pylist()]
+            made = model.score(np.array(x, float)) if model and x else np.full(len(x), 0.5)
+            yield pa.record_batch(
+                [batch.column(0), batch.column(1), pa.array(made, pa.float64())],
+                ["doc_id", "kept_row", "score"],
+            )
+
+    return source.select("doc_id", "kept_row", "text").mapInArrow(rate, schema).select(
+        "doc_id",
+        held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"),
+        "kept_row",
     )

@@ -15,6 +15,7 @@ from rowsieve.llm import (
     outlier_rules,
     packing,
     quality_qda,
+    substring_dedup,
     token_counts,
     token_files,
 )
@@ -78,7 +79,9 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_quality_qda")
 def op4_quality_qda(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document."""
-    return quality_qda.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality_qda.scored(docs, table(spark, sf_dir, "labels"))
+    return scored.drop("kept_row")
 
 
 @query("op9_nearest", nearest.ORACLE)
@@ -97,3 +100,10 @@ def op10_outlier_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate class and number of links of every document."""
     return jaccard_join.jaccard_links(table(spark, sf_dir, "documents"))
+
+
+@query("op7_substring_dedup")
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What repeated windows leave of every document."""
+    docs = table(spark, sf_dir, "documents")
+    return substring_dedup.dedup_substrings(docs).drop("removed")
