@@ -142,7 +142,7 @@ def mix(
         F.col("source"),
         word_count(F.col("text")).alias("size"),
     )
-    narrow = docs.select("source", word_count(F.col("text")).alias("size"))
+    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
     sources = settle(
         source_targets(
             narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most
@@ -164,8 +164,7 @@ def mix(
     shard = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col("shards"))
     dealt = dealt.withColumn("shard", shard)
     sizes = (
-        docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
-        .join(info, F.col("source").eqNullSafe(F.col("its_source")))
+        narrow.join(info, F.col("source").eqNullSafe(F.col("its_source")))
         .withColumn("shard", shard)
         .groupBy("source_rank", "shard")
         .agg(F.sum("size").alias("shard_size"))
@@ -232,12 +231,15 @@ def mix(
     )
 
 
-def mixed_texts(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The rows of the mix: each taken row as often as it is taken, cut where the run ends.
+def mixed_rows(docs: DataFrame, **settings) -> DataFrame:
+    """The rows of the mix, with the columns of ``docs``: each as often as ``mix`` takes it.
 
-    ``mixed`` comes from ``mix(…, keep=columns)`` with ``text`` among them. Cut texts keep their
-    taken words, joined by one space; ``n_chars``, where it is a column, is counted anew.
+    Rows cut where a run ends keep their taken words, joined by one space, as ``text``;
+    ``n_chars``, where it is a column, is counted anew. Takes the settings of ``mix``.
     """
+    columns = docs.columns
+    boxed = docs.select("doc_id", "text", "source", F.struct(*columns).alias("row"))
+    mixed = mix(boxed, keep=("row", "text"), **settings)
     cut = lambda a, b: F.array_join(F.slice(words(F.col("text")), a + 1, b - a), " ")
     lo, hi = F.col("cut_from").cast("int"), F.col("cut_to").cast("int")
     wrap = F.col("wrap_to").cast("int")
@@ -250,6 +252,6 @@ def mixed_texts(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.coalesce(again, none),
         F.coalesce(round_again, none),
     )
-    listed = mixed.filter(F.col("taken") > 0).withColumn("taken_text", F.explode(texts))
+    listed = mixed.filter(F.col("taken") > 0).select("row", F.explode(texts).alias("taken_text"))
     made = {"text": F.col("taken_text"), "n_chars": F.length("taken_text").cast("long")}
-    return listed.select(*[made.get(c, F.col(c)).alias(c) for c in columns])
+    return listed.select(*[made.get(c, F.col("row")[c]).alias(c) for c in columns])
