@@ -55,19 +55,23 @@ NA_WORDS = (
     "nan",
     "null",
 )
-# Which status may directly follow which.
+# --- end of fixed values ----------------------------------------------------
+
+# Statuses a run can begin with, those that may follow any other (a new upload, a file read
+# from disk or a taken fix), and what else may directly follow which.
+FIRST_STATUSES = ("IDLE", "INGESTING", "RUNNING")
+RESTART_STATUSES = ("INGESTING", "RUNNING")
 NEXT_STATUSES = {
-    "IDLE": ("INGESTING", "RUNNING", "FAILED"),
-    "INGESTING": ("RUNNING", "FAILED"),
+    "IDLE": ("FAILED",),
+    "INGESTING": ("FAILED",),
     "RUNNING": ("VALIDATING", "WAITING_FOR_USER", "TRANSFORMING", "PACKAGING", "FAILED"),
-    "VALIDATING": ("TRANSFORMING", "PACKAGING", "RUNNING", "FAILED"),
-    "WAITING_FOR_USER": ("WAITING_FOR_USER", "RUNNING", "FAILED"),
+    "VALIDATING": ("VALIDATING", "WAITING_FOR_USER", "TRANSFORMING", "PACKAGING", "FAILED"),
+    "WAITING_FOR_USER": ("WAITING_FOR_USER", "VALIDATING", "FAILED"),
     "TRANSFORMING": ("TRANSFORMING", "PACKAGING", "FAILED"),
     "PACKAGING": ("COMPLETED", "FAILED"),
-    "COMPLETED": ("INGESTING", "IDLE"),
-    "FAILED": ("INGESTING", "IDLE"),
+    "COMPLETED": ("IDLE",),
+    "FAILED": ("IDLE",),
 }
-# --- end of fixed values ----------------------------------------------------
 
 
 def resolve_as_of(text: str | None) -> dt.date:

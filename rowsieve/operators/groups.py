@@ -114,7 +114,7 @@ def _look_back(value: Column, window, skip_nulls: bool) -> Column:
 
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` marked for broadcast when it has at most ``rows`` rows (counted), else as it is."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if df.count() <= rows else df
 
 
 def lookup_join(
@@ -130,7 +130,7 @@ def lookup_join(
     A right side of at most ``broadcast_rows`` rows (checked) is broadcast. A larger one is
     shuffled, and keys that are hot on the left are salted over ``spread_by``.
     """
-    if right.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if right.count() <= broadcast_rows:
         return left.join(F.broadcast(right), key, "left")
     hot = hot_keys(left, [key], piece_rows)
     if not hot:

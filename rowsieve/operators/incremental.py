@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowsieve.functions.fingerprint import with_fingerprint
@@ -101,6 +101,13 @@ def row_states(
     )
 
 
+def _probe(scope: Sequence[str], fingerprint: Column) -> Column:
+    """The fingerprint, behind the scope columns if there are any (their JSON keeps them apart)."""
+    if not scope:
+        return fingerprint
+    return F.concat(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in scope])), fingerprint)
+
+
 def _with_cache_hit(
     rows: DataFrame,
     rules: RuleSet,
@@ -111,12 +118,14 @@ def _with_cache_hit(
 ) -> DataFrame:
     if cache is None:
         return rows.withColumn("is_cached", F.lit(False))
+    # Runs have caches of their own: a hit needs the same scope, not only equal cells.
+    scope = list(row_key[:-1])
     valid = cache.filter((F.col("ruleset_hash") == rules.digest()) & F.col("is_valid")).select(
-        F.col("row_fp").alias("probe"), F.lit(True).alias("is_cached")
+        _probe(scope, F.col("row_fp")).alias("probe"), F.lit(True).alias("is_cached")
     )
     if rules.unique is None:
         # Copies of one row share a fingerprint and may be many: salted lookup.
-        probed = rows.withColumn("probe", F.col("row_fp"))
+        probed = rows.withColumn("probe", _probe(scope, F.col("row_fp")))
         return lookup_join(
             probed, valid, "probe", row_key, broadcast_rows, piece_rows
         ).drop("probe")
@@ -124,7 +133,7 @@ def _with_cache_hit(
     # others get a probe that matches nothing, which keeps the probes unique and evenly spread.
     may_hit = F.col("prev_row").isNull() & F.col("is_skipped").isNull()
     no_hit = F.concat_ws("#", F.lit(""), *[F.col(k).cast("string") for k in row_key])
-    probed = rows.withColumn("probe", F.when(may_hit, F.col("row_fp")).otherwise(no_hit))
+    probed = rows.withColumn("probe", F.when(may_hit, _probe(scope, F.col("row_fp"))).otherwise(no_hit))
     return probed.join(valid, "probe", "left").drop("probe")
 
 

@@ -90,7 +90,7 @@ class AllowedRule(RowRule):
     text: str
 
     def violation(self, cells: Cells) -> Column:
-        return F.coalesce(~cells(self.field).isin(*self.values), F.lit(True))
+        return F.coalesce(~cells(self.field).cast("string").isin(*self.values), F.lit(True))
 
     def message(self, cells: Cells) -> Column:
         return render(self.text, value=shown(cells(self.field)))
@@ -174,7 +174,8 @@ class RequiredWhenRule(RowRule):
         return cells.number(self.field, absent=None)
 
     def violation(self, cells: Cells) -> Column:
-        applies = F.coalesce(cells(self.when_field).isin(*self.when_values), F.lit(False))
+        held = cells(self.when_field).cast("string")
+        applies = F.coalesce(held.isin(*self.when_values), F.lit(False))
         return applies & (
             self.value.isNull() | (self.value < self.low) | (self.value > self.high)
         )

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowsieve.config import NEXT_STATUSES, TERMINAL_STATUSES
+from rowsieve.config import (
+    FIRST_STATUSES,
+    NEXT_STATUSES,
+    RESTART_STATUSES,
+    TERMINAL_STATUSES,
+)
 from rowsieve.operators.groups import PIECE_ROWS, value_before
 from rowsieve.operators.validate import tally
 
@@ -48,8 +53,8 @@ def with_transitions(log: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
 
 
 def _is_legal(before: Column, after: Column) -> Column:
-    # A run starts in IDLE or with its first ingest.
-    legal = F.when(before.isNull(), after.isin("IDLE", "INGESTING"))
+    legal = F.when(before.isNull(), after.isin(*FIRST_STATUSES))
+    legal = legal.when(after.isin(*RESTART_STATUSES), F.lit(True))
     for status, following in NEXT_STATUSES.items():
         legal = legal.when(before == status, after.isin(*following))
     return legal.otherwise(F.lit(False))
@@ -68,7 +73,10 @@ def without_stale_idle(log: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFram
 def run_summary(
     df: DataFrame, ledger: DataFrame, pending: DataFrame, status: str, file_name: str
 ) -> DataFrame:
-    """One row about a run: size, columns, error count and the first queued errors."""
+    """One row about a run: size, columns, error count and the first queued errors.
+
+    ``columns`` shows the first 50 names and ``columns_left_out`` how many follow.
+    """
     columns = [c for c in df.columns if c != "row_index"]
     counts = tally(
         (df, {"row_count": F.count("*")}),
@@ -83,6 +91,7 @@ def run_summary(
         F.lit(file_name).alias("file_name"),
         "row_count",
         F.array(*[F.lit(c) for c in columns[:SUMMARY_COLUMNS]]).alias("columns"),
+        F.lit(max(0, len(columns) - SUMMARY_COLUMNS)).cast("long").alias("columns_left_out"),
         "all_errors",
         "pending_review",
         lines.scalar().alias("first_errors"),

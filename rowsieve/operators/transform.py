@@ -28,7 +28,8 @@ def _map_value(key: Column, mapping: Mapping[str, str], unmapped: str | None) ->
     if not mapping:
         return F.lit(unmapped).cast("string")
     table = F.create_map(*[F.lit(x) for x in chain.from_iterable(mapping.items())])
-    return F.coalesce(table[key], F.lit(unmapped))
+    # A key that maps to null is known: its value is null, not the word for unknown keys.
+    return F.when(F.map_contains_key(table, key), table[key]).otherwise(F.lit(unmapped))
 
 
 def lookup_column(
@@ -59,11 +60,16 @@ def lookup_table_column(
     row_key: Sequence[str] = ROW_KEY,
     **join_options: int,
 ) -> DataFrame:
-    """Like :func:`lookup_column` with the map in a table (``map_key`` unique, ``map_value``)."""
-    entries = table.select(
-        F.col("map_key").alias("_key"),
-        F.col("map_value").alias("_value"),
-        F.lit(True).alias("_known"),
+    """Like :func:`lookup_column` with the map in a table (``map_key``, ``map_value``).
+
+    Rows keep their number: of several values for one key the smallest counts, null only if
+    the key has no other. Null keys match nothing.
+    """
+    entries = (
+        table.filter(F.col("map_key").isNotNull())
+        .groupBy(F.col("map_key").alias("_key"))
+        .agg(F.min("map_value").alias("_value"))
+        .withColumn("_known", F.lit(True))
     )
     keyed = df.withColumn("_key", shown(F.col(source)))
     joined = lookup_join(keyed, entries, "_key", row_key, **join_options)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowsieve.config import REVIEW_BATCH_ROWS
@@ -133,7 +133,6 @@ def validation_summary(
     ledger: DataFrame,
     unchecked: DataFrame | None = None,
     batch_rows: int = REVIEW_BATCH_ROWS,
-    max_errors: int = 8,
     row_key: Sequence[str] = ROW_KEY,
 ) -> DataFrame:
     """One row of counts. ``unchecked`` holds the rows the pass did not check."""
@@ -142,7 +141,7 @@ def validation_summary(
         (df, {"total_rows": F.count("*")}),
         (ledger, {"error_count": distinct_rows}),
         (
-            review_batch(ledger, batch_rows, max_errors, row_key),
+            review_batch(ledger, batch_rows, row_key),
             {"pending_review_count": F.count("*"), "batch_size": distinct_rows},
         ),
     ]
@@ -163,17 +162,15 @@ def validation_summary(
 def review_batch(
     ledger: DataFrame,
     batch_rows: int = REVIEW_BATCH_ROWS,
-    max_errors: int = 8,
     row_key: Sequence[str] = ROW_KEY,
 ) -> DataFrame:
     """All errors of the ``batch_rows`` lowest error rows.
 
-    A row has at most ``max_errors`` errors, so the first ``batch_rows * max_errors`` ledger
-    rows hold the whole batch: a top-k per task, then a rank over that handful of rows.
+    The lowest rows are found on the row key alone, a top-k per task; whatever number of errors
+    they have, the ledger is then filtered by those ``batch_rows`` keys.
     """
-    head = ledger.orderBy(*row_key, "rule_no").limit(batch_rows * max_errors)
-    rank = F.dense_rank().over(Window.orderBy(*row_key))
-    return head.withColumn("_rank", rank).filter(F.col("_rank") <= batch_rows).drop("_rank")
+    lowest = ledger.select(*row_key).distinct().orderBy(*row_key).limit(batch_rows)
+    return ledger.join(F.broadcast(lowest), list(row_key), "left_semi")  # batch_rows rows
 
 
 def errors_by_row(ledger: DataFrame, row_key: Sequence[str] = ROW_KEY) -> DataFrame:

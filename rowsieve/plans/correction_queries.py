@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowsieve.config import NEXT_STATUSES, RunConfig
+from rowsieve.config import RunConfig
 from rowsieve.operators import corrections, package, runs, validate
 from rowsieve.plans import twins
 from rowsieve.plans.ledger_queries import (
@@ -485,14 +485,18 @@ def run_detail(spark, sf_dir: str) -> DataFrame:
     return detail.select("run_id", "seq", "status", "props")
 
 
-_LEGAL = " OR ".join(
-    f"(prev_status = '{a}' AND status IN ({', '.join(repr(b) for b in following)}))"
-    for a, following in NEXT_STATUSES.items()
-)
 TRANSITIONS = f"""SELECT run_id, seq, status, prev_status,
   epoch_us(ts) - epoch_us(prev_ts) AS micros_in_prev,
-  CASE WHEN prev_status IS NULL THEN status IN ('IDLE', 'INGESTING')
-       ELSE coalesce({_LEGAL}, false) END AS is_legal
+  CASE WHEN status IN ('INGESTING', 'RUNNING') THEN true
+       WHEN prev_status IS NULL OR prev_status IN ('COMPLETED', 'FAILED') THEN status = 'IDLE'
+       WHEN status = 'FAILED' THEN true
+       WHEN status = 'WAITING_FOR_USER'
+         THEN prev_status IN ('RUNNING', 'VALIDATING', 'WAITING_FOR_USER')
+       WHEN status = 'VALIDATING' THEN prev_status IN ('RUNNING', 'VALIDATING', 'WAITING_FOR_USER')
+       WHEN status = 'TRANSFORMING' THEN prev_status IN ('RUNNING', 'VALIDATING', 'TRANSFORMING')
+       WHEN status = 'PACKAGING' THEN prev_status IN ('RUNNING', 'VALIDATING', 'TRANSFORMING')
+       WHEN status = 'COMPLETED' THEN prev_status = 'PACKAGING'
+       ELSE false END AS is_legal
 FROM (SELECT *, lag(status) OVER w AS prev_status, lag(ts) OVER w AS prev_ts FROM ({LOG})
       WINDOW w AS (PARTITION BY run_id ORDER BY seq))"""
 
@@ -534,6 +538,7 @@ def run_stale_guard_hot(spark, sf_dir: str) -> DataFrame:
     + """SELECT 'WAITING_FOR_USER' AS status, 'orders.csv' AS file_name,
   (SELECT count(*) FROM x) AS row_count,
   'employee_id,dept,amount,currency,spend_date,vendor,fx_rate' AS columns,
+  CAST(0 AS BIGINT) AS columns_left_out,
   (SELECT count(*) FROM ledger) AS all_errors,
   (SELECT count(*) FROM batch) AS pending_review,
   (SELECT string_agg(row_index || ':' || field, ',' ORDER BY row_index, rule_no)

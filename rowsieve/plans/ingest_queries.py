@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rowsieve.config import NA_WORDS, RunConfig
+from rowsieve.config import EXPENSE_COLUMNS, NA_WORDS, RunConfig
 from rowsieve.functions.text import na_to_null
 from rowsieve.operators import package, validate
 from rowsieve.plans import twins
@@ -78,26 +78,52 @@ def ingest_summary(spark, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    "header_row",
-    twins.with_x()
-    + """SELECT row_number() OVER (ORDER BY row_index) - 1 AS row_index, employee_id, dept
-FROM x WHERE dept <> 'SALES'""",
+NULLED = ", ".join(
+    f"CASE WHEN {c} IN ({', '.join(repr(w) for w in ('n/a', ''))}) THEN NULL ELSE {c} END AS {c}"
+    for c in EXPENSE_COLUMNS
 )
+
+
+def _quoted(c: str):
+    """A cell as a CSV file holds it."""
+    return F.concat(F.lit('"'), F.regexp_replace(F.coalesce(c, F.lit("")), '"', '""'), F.lit('"'))
+
+
+def _write_lines(df: DataFrame, path: str, line, header: str) -> None:
+    """Text files in row order, each with its own header lines on its first row."""
+    ordered = df.repartitionByRange("row_index").sortWithinPartitions("row_index")
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    ordered.select(
+        F.when(first, F.concat(F.lit(header), line)).otherwise(line).alias("value")
+    ).write.text(path)
+
+
+@query("header_row", twins.with_x() + f"SELECT row_index, {NULLED} FROM x")
 def header_row(spark, sf_dir: str) -> DataFrame:
     """Two title lines above the header are left out in every file."""
     path = scratch_path(spark, "titled")
-    x = expenses(spark, sf_dir).filter(F.col("dept") != "SALES")
-    line = F.concat_ws(",", "employee_id", "dept")
-    ordered = x.repartitionByRange("row_index").sortWithinPartitions("row_index")
-    # Each file starts with its own title lines: they ride on the first row of each task.
-    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
-    title = F.lit("Report,of,expenses,by,day\nprinted today\nemployee_id,dept\n")
-    lines = ordered.select(F.when(first, F.concat(title, line)).otherwise(line).alias("value"))
-    lines.write.text(path)
+    title = "Report,of,expenses,by,day,and,desk\nprinted today\n" + ",".join(EXPENSE_COLUMNS) + "\n"
+    line = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in EXPENSE_COLUMNS])
+    _write_lines(expenses(spark, sf_dir), path, line, title)
     return ingest_delimited(spark, path, header_row=2).table
 
 
+@query(
+    "csv_line_breaks",
+    twins.with_x()
+    + """SELECT row_index, employee_id, employee_id || chr(10) || '"' || dept || '", ' || currency AS note
+FROM x""",
+)
+def csv_line_breaks(spark, sf_dir: str) -> DataFrame:
+    """Cells with line breaks, quotes and commas come back whole with default options."""
+    path = scratch_path(spark, "broken")
+    x = expenses(spark, sf_dir).withColumn(
+        "note", F.concat("employee_id", F.lit('\n"'), "dept", F.lit('", '), "currency")
+    )
+    _write_lines(x, path, F.concat_ws(",", "employee_id", _quoted("note")), "employee_id,note\n")
+    return ingest_delimited(spark, path).table
+
+
 @query(
     "rejected_lines",
     twins.with_x() + "SELECT employee_id || ',' || dept || ',extra' AS line FROM x WHERE dept = 'SALES'",

@@ -9,6 +9,7 @@ from rowsieve.config import EXPENSE_COLUMNS
 from rowsieve.functions.fingerprint import with_fingerprint
 from rowsieve.operators import incremental, validate
 from rowsieve.operators.corrections import accepted_fixes, apply_fixes
+from rowsieve.operators.rules import AllowedRule, RuleSet
 from rowsieve.plans import twins
 from rowsieve.plans.registry import query
 from rowsieve.plans.rule_queries import RULES
@@ -99,13 +100,58 @@ def validation_summary(spark, sf_dir: str) -> DataFrame:
     """The ledger is an output of any pass; the counts read it back."""
     x = expenses(spark, sf_dir)
     ledger = settle(validate.error_ledger(x, RULES), "ledger")
-    return validate.validation_summary(x, ledger, max_errors=RULES.size)
+    return validate.validation_summary(x, ledger)
 
 
 @query("review_batch", twins.with_x(**LEDGER, batch=BATCH) + "SELECT * FROM batch")
 def review_batch(spark, sf_dir: str) -> DataFrame:
     ledger = validate.error_ledger(expenses(spark, sf_dir), RULES)
-    return validate.review_batch(ledger, max_errors=RULES.size)
+    return validate.review_batch(ledger)
+
+
+MANY_RULES = 12
+
+
+@query(
+    "review_batch_many_rules",
+    twins.with_x()
+    + f"""SELECT row_index, r AS rule_no, 'dept' AS field, coalesce(dept, 'None') AS current_value,
+  'not allowed by ' || r AS error_message
+FROM (SELECT * FROM x WHERE dept <> 'ENG' ORDER BY row_index LIMIT 5), range(1, {MANY_RULES + 1}) t(r)""",
+)
+def review_batch_many_rules(spark, sf_dir: str) -> DataFrame:
+    """Five rows are handed out with all their errors, however many rules there are."""
+    rules = RuleSet(
+        tuple(
+            AllowedRule(i, "dept", ("ENG",), f"not allowed by {i}") for i in range(1, MANY_RULES + 1)
+        )
+    )
+    return validate.review_batch(validate.error_ledger(expenses(spark, sf_dir), rules))
+
+
+@query(
+    "incremental_states_multi_run",
+    twins.with_x()
+    + """SELECT run_id, state, count(*) AS n FROM (
+  SELECT run_id, CASE WHEN run_id = 'a' AND row_index % 2 = 0 AND NOT repeats THEN 'unchanged'
+                      ELSE 'checked' END AS state
+  FROM (SELECT row_index, row_number() OVER (
+          PARTITION BY employee_id, spend_date ORDER BY row_index) > 1 AS repeats FROM x),
+       (VALUES ('a'), ('b'), ('c')) AS r(run_id))
+GROUP BY run_id, state""",
+)
+def incremental_states_multi_run(spark, sf_dir: str) -> DataFrame:
+    """Three runs hold the same rows; what one has cached says nothing about the others."""
+    key = ("run_id", "row_index")
+    runs = spark.createDataFrame([("a",), ("b",), ("c",)], "run_id string")
+    x = expenses(spark, sf_dir).withColumn("row_index", F.col("row_index").cast("long"))
+    many = x.crossJoin(F.broadcast(runs))  # three rows
+    known = with_fingerprint(many.filter("run_id = 'a' AND row_index % 2 = 0"), exclude=key)
+    cache = known.select(
+        "run_id", "row_fp", F.lit(True).alias("is_valid"), F.lit(RULES.digest()).alias("ruleset_hash")
+    ).distinct()
+    states = incremental.row_states(many, RULES, cache=cache, row_key=key)
+    return states.groupBy("run_id", "state").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -154,8 +200,8 @@ def error_rows_by_field(spark, sf_dir: str) -> DataFrame:
 def completion_metrics(spark, sf_dir: str) -> DataFrame:
     """After a finished run the queue is empty, so the skipped rows are the errors."""
     x = expenses(spark, sf_dir)
-    queue = validate.review_batch(validate.error_ledger(x, RULES))
-    return validate.completion_metrics(x, queue.limit(0), sample_skips(x))
+    queue = spark.createDataFrame([], "row_index bigint")
+    return validate.completion_metrics(x, queue, sample_skips(x))
 
 
 @query(

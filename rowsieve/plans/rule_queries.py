@@ -183,3 +183,17 @@ def rule_unique_hot_native(spark, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events")
     repeats = repeated_rows(events, ["event_type"], ["event_id"], piece_rows=1_000)
     return repeats.select("event_id", "prev_row")
+
+
+@query(
+    "rule_enum_typed",
+    """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, 1 AS rule_no,
+  'l_linenumber' AS field, CAST(l_linenumber AS VARCHAR) AS current_value,
+  'line ' || l_linenumber || ' is not allowed' AS error_message
+FROM lineitem WHERE l_linenumber NOT IN (1, 2, 3)""",
+)
+def rule_enum_typed(spark, sf_dir: str) -> DataFrame:
+    """Allowed values are compared as text, also on a column of whole numbers."""
+    rules = RuleSet((AllowedRule(1, "l_linenumber", ("1", "2", "3"), "line {value} is not allowed"),))
+    key = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    return row_errors(table(spark, sf_dir, "lineitem").select(*key), rules, key)

@@ -79,6 +79,42 @@ def lookup_join(spark, sf_dir: str) -> DataFrame:
     return joined.select(*LINE_KEY, "brand")
 
 
+@query(
+    "lookup_null_value",
+    twins.with_x()
+    + """SELECT row_index, CASE WHEN dept = 'FIN' THEN NULL WHEN dept = 'HR' THEN '200'
+  ELSE 'UNMAPPED' END AS from_literal, CASE WHEN dept = 'FIN' THEN NULL WHEN dept = 'HR' THEN '200'
+  ELSE 'UNMAPPED' END AS from_table FROM x""",
+)
+def lookup_null_value(spark, sf_dir: str) -> DataFrame:
+    """A key mapped to null gives null, whether the map is in the plan or in a table."""
+    mapping = {"FIN": None, "HR": "200"}
+    rows = spark.createDataFrame(list(mapping.items()), "map_key string, map_value string")
+    x = transform.lookup_column(expenses(spark, sf_dir), "from_literal", "dept", mapping)
+    both = transform.lookup_table_column(x, "from_table", "dept", rows)
+    return both.select("row_index", "from_literal", "from_table")
+
+
+@query(
+    "lookup_repeated_keys",
+    """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,
+  coalesce(m.map_value, 'UNMAPPED') AS cheapest
+FROM lineitem LEFT JOIN (
+  SELECT o_orderstatus AS map_key, min(o_orderpriority) AS map_value FROM orders GROUP BY 1) m
+ON l_linestatus = m.map_key""",
+)
+def lookup_repeated_keys(spark, sf_dir: str) -> DataFrame:
+    """A map with many values for a key: rows keep their number, the smallest value counts."""
+    lines = table(spark, sf_dir, "lineitem").select(*LINE_KEY, "l_linestatus")
+    entries = table(spark, sf_dir, "orders").select(
+        F.col("o_orderstatus").alias("map_key"), F.col("o_orderpriority").alias("map_value")
+    )
+    joined = transform.lookup_table_column(
+        lines, "cheapest", "l_linestatus", entries, row_key=LINE_KEY
+    )
+    return joined.select(*LINE_KEY, "cheapest")
+
+
 @query(
     "lookup_join_salted",
     """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -50,13 +51,14 @@ def run_review(
     out: str,
     run_id: str,
     rules: RuleSet | None = None,
-    max_passes: int = 1_000,
+    max_passes: int | None = None,
 ) -> RunReport:
     """Take a landed table (dense ``row_index``) to its clean and error sets below ``out``.
 
     The table is never rewritten: fixes pile up in one small overlay, and each pass refreshes
     the ledger from the rows it touched. Ledger, overlay and skip set are written to the
     shared folder after each pass, so plans stay short and a lost executor costs a re-read.
+    Passes go on until nothing is open; ``max_passes`` stops a reviewer that never helps.
     """
     rules = rules or expense_rules(config)
     report = RunReport(run_id)
@@ -76,7 +78,7 @@ def _review(
     reviewer: Reviewer,
     out: str,
     rules: RuleSet,
-    max_passes: int,
+    max_passes: int | None,
     report: RunReport,
 ) -> None:
     spark = base.sparkSession
@@ -86,13 +88,16 @@ def _review(
     ledger = settle(validate.error_ledger(base, rules), "ledger", f"{work}/ledger/pass_no=1")
     pending = ledger.limit(0)
 
-    for pass_no in range(1, max_passes + 1):
+    for pass_no in itertools.count(1):
+        if max_passes is not None and pass_no > max_passes:
+            pending = ledger
+            break
         report.passes = pass_no
         if ledger.isEmpty():
             report.enter("VALIDATING")
             break
         report.enter("WAITING_FOR_USER")
-        queue = validate.review_batch(ledger, REVIEW_BATCH_ROWS, rules.size)
+        queue = validate.review_batch(ledger, REVIEW_BATCH_ROWS)
         answers = reviewer(pass_no, settle(queue, "queue"))
         if answers is None or not answers.filter("kind = 'skip_all'").isEmpty():
             active = corrections.active_error_rows(table, ledger, skipped)
@@ -116,8 +121,6 @@ def _review(
             f"{work}/ledger/pass_no={pass_no + 1}",
         )
         report.enter("RUNNING")
-    else:
-        pending = ledger
 
     history = spark.read.parquet(f"{work}/ledger")
     package.check_ready(report.status, pending, table, ledger, skipped)

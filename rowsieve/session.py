@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import re
 import tempfile
 import uuid
 
@@ -33,6 +35,12 @@ def build_session(app: str = "rowsieve", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+@functools.cache
+def _local_folder() -> str:
+    """One temporary folder for this process; the session's settings stay as they are."""
+    return tempfile.mkdtemp(prefix="rowsieve-")
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder name below the shared folder given in ``spark.checkpoint.dir``.
 
@@ -41,10 +49,10 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        # local-cluster has executors of its own, so it needs the shared folder too.
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="rowsieve-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        base = _local_folder()
     return f"{base.rstrip('/')}/rowsieve/{name}-{uuid.uuid4().hex}"
 
 

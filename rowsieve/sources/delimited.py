@@ -14,7 +14,6 @@ from pyspark.sql import types as T
 
 from rowsieve.sources.landing import (
     FILE,
-    POSITION,
     Landed,
     after_header,
     finish,
@@ -65,7 +64,7 @@ def scan_delimited(
     """Lazy scan: all columns text, plus where each row came from.
 
     With ``header_row`` 0 the header lines are left out by the reader. Otherwise they are
-    still among the rows; :func:`rowsieve.sources.landing.after_header` removes them.
+    still among the rows; :func:`rowsieve.sources.landing.after_header` takes them out.
     """
     header = read_header(spark, path, header_row, sep, pattern)
     names = unique_names(header)
@@ -98,20 +97,42 @@ def too_long(names: list[str], sep: str) -> Column:
     return F.coalesce((cells > len(names)) & has_rest, F.lit(False))
 
 
+def _open_quote(names: list[str]) -> Column:
+    """True where a cell begins with a quote after parsing: its line break may be inside it."""
+    return F.coalesce(
+        F.exists(F.array(*[F.col(c) for c in names]), lambda c: c.startswith('"')), F.lit(False)
+    )
+
+
 def ingest_delimited(
     spark: SparkSession,
     path: str,
     header_row: int = 0,
     sep: str = ",",
-    multi_line: bool = False,
+    multi_line: bool | None = None,
     pattern: str = "*",
 ) -> Landed:
-    """Read files, set over-long lines aside, number the rows and write them once."""
-    scan = scan_delimited(spark, path, header_row, sep, multi_line, pattern)
+    """Read files, set over-long lines aside, number the rows and write them once.
+
+    Large files are split at line breaks. If a cell then looks like the first half of a quoted
+    line break, everything is read again with whole files in one task each, which keeps such
+    cells together; ``multi_line`` True or False settles this beforehand.
+    """
+    scan = scan_delimited(spark, path, header_row, sep, bool(multi_line), pattern)
     names = [c for c in scan.columns if c not in (CORRUPT, FILE, "_block")]
     if header_row:
-        scan = after_header(stage(scan, "lines"), header_row + 1)
+        header = read_header(spark, path, header_row, sep, pattern)
+        scan = after_header(scan, header_row + 1, names, header)
     bad = too_long(names, sep)
     rejected = scan.filter(bad).select(F.col(FILE).alias("file"), F.col(CORRUPT).alias("line"))
-    kept = stage(scan.filter(~bad).drop(CORRUPT, POSITION), "rows")
+    if multi_line is None:
+        # An over-long line can hold the open quote as well.
+        torn = _open_quote(names) | F.coalesce(F.col(CORRUPT).contains('"') & bad, F.lit(False))
+        staged = stage(scan.withColumns({"_bad": bad, "_torn": torn}).drop(CORRUPT), "rows")
+        if not staged.filter("_torn").isEmpty():
+            return ingest_delimited(spark, path, header_row, sep, True, pattern)
+        if not staged.filter("_bad").isEmpty():
+            staged = stage(scan.filter(~bad).drop(CORRUPT), "rows")
+        return finish(number_rows(staged.drop("_bad", "_torn")), names, rejected)
+    kept = stage(scan.filter(~bad).drop(CORRUPT), "rows")
     return finish(number_rows(kept), names, rejected)

@@ -7,8 +7,10 @@ global sort and no single-task window over the rows is needed.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,9 +22,6 @@ FILE = "_file"
 BLOCK = "_block"
 POSITION = "_position"
 
-# Blocks of 128 MB: up to this many (128 TB) the offsets are broadcast.
-BROADCAST_BLOCKS = 1_000_000
-
 
 class EmptyTableError(ValueError):
     """Raised when an ingest found no rows."""
@@ -47,35 +46,72 @@ def _offsets(staged: DataFrame) -> DataFrame:
         F.count("*").alias("_n"), F.min(POSITION).alias("_first")
     )
     in_file = Window.partitionBy(FILE).orderBy(BLOCK)
-    # One row per block, so ordering all of them in one task is cheap.
-    overall = Window.orderBy(FILE, BLOCK)
-    return blocks.withColumns(
-        {
-            "_in_file": F.sum("_n").over(in_file) - F.col("_n"),
-            "_overall": F.sum("_n").over(overall) - F.col("_n"),
-        }
-    ).drop("_n")
+    # Files are added up in stretches by their folder, then inside a folder, so the one task
+    # that orders everything sees one row a folder.
+    folder = F.regexp_extract(FILE, "^(.*/)[^/]*$", 1)
+    files = blocks.groupBy(FILE).agg(F.sum("_n").alias("_file_n")).withColumn("_folder", folder)
+    in_folder = Window.partitionBy("_folder").orderBy(FILE)
+    folders = files.groupBy("_folder").agg(F.sum("_file_n").alias("_folder_n")).withColumn(
+        "_folder_start",
+        F.sum("_folder_n").over(Window.orderBy("_folder")) - F.col("_folder_n"),
+    )
+    starts = (
+        files.withColumn("_in_folder", F.sum("_file_n").over(in_folder) - F.col("_file_n"))
+        .join(folders, "_folder")
+        .select(FILE, (F.col("_folder_start") + F.col("_in_folder")).alias("_file_start"))
+    )
+    return (
+        blocks.withColumn("_in_file", F.sum("_n").over(in_file) - F.col("_n"))
+        .join(starts, FILE)
+        .withColumn("_overall", F.col("_file_start") + F.col("_in_file"))
+        .select(FILE, BLOCK, "_first", "_overall")
+    )
 
 
 def _with_offsets(staged: DataFrame) -> DataFrame:
-    offsets = settle(_offsets(staged), "offsets")
-    if offsets.limit(BROADCAST_BLOCKS + 1).count() <= BROADCAST_BLOCKS:
-        offsets = F.broadcast(offsets)
-    return staged.join(offsets, [FILE, BLOCK])
-
-
-def after_header(staged: DataFrame, header_lines: int) -> DataFrame:
-    """Drop the first lines of every file."""
-    numbered = _with_offsets(staged)
-    line = F.col("_in_file") + F.col(POSITION) - F.col("_first")
-    return numbered.filter(line >= header_lines).drop("_first", "_in_file", "_overall", POSITION)
+    # A written table: Spark knows its bytes and broadcasts it while it is small.
+    return staged.join(settle(_offsets(staged), "offsets"), [FILE, BLOCK])
+
+
+def after_header(
+    scan: DataFrame, header_lines: int, names: list[str], header: list[str]
+) -> DataFrame:
+    """Drop the first lines of every file, while it is read.
+
+    A block is read by one task from its start, so lines are counted as they pass; only a
+    file's first block holds its header. The header itself must equal the first file's.
+    """
+    columns = scan.columns
+    at_file, at_block = columns.index(FILE), columns.index(BLOCK)
+    cells = [columns.index(c) for c in names]
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_block, count = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            files = batch.column(at_file).to_pylist()
+            starts = batch.column(at_block).to_pylist()
+            keep = []
+            for i, block in enumerate(zip(files, starts)):
+                if block != open_block:
+                    open_block, count = block, 0
+                if block[1] == 0 and count == header_lines - 1:
+                    found = [batch.column(c)[i].as_py() or "" for c in cells]
+                    if found != header:
+                        raise ValueError(f"{block[0]} has the columns {found}, not {header}")
+                keep.append(block[1] != 0 or count >= header_lines)
+                count += 1
+            yield batch if all(keep) else batch.filter(pa.array(keep))
+
+    return scan.mapInArrow(drop, scan.schema)
 
 
 def number_rows(staged: DataFrame) -> DataFrame:
     """Add ``row_index`` 0..n-1 in (file, position) order."""
     index = F.col("_overall") + F.col(POSITION) - F.col("_first")
     numbered = _with_offsets(staged).withColumn("row_index", index)
-    return numbered.drop("_first", "_in_file", "_overall", BLOCK, POSITION)
+    return numbered.drop("_first", "_overall", BLOCK, POSITION)
 
 
 def normalise(df: DataFrame, names: list[str]) -> DataFrame:

@@ -29,7 +29,7 @@ def test_fix_sets_a_cell_and_the_last_one_wins(spark):
 
 def test_fix_to_null_differs_from_no_fix(spark):
     out = applied(spark, table(spark, distinct_rows(2)), ("0", "vendor", None))
-    assert collect(out, "row_index", "vendor") == [(0, None), (1, "Acme Corp")]
+    assert collect(out, "row_index", "vendor") == [(0, None), (1, "Lark & Sons")]
 
 
 def test_fix_of_an_unknown_field_adds_a_column(spark):
@@ -148,7 +148,7 @@ def test_answers(spark):
     )
     # The row fix is applied after the cell fixes.
     assert collect(done.table.filter("row_index < 3"), "row_index", "dept", "vendor") == [
-        (0, "FIN", "Acme Corp"), (1, "OPS", "V"), (2, "x", "Acme Corp"),
+        (0, "FIN", "Lark & Sons"), (1, "OPS", "V"), (2, "x", "Lark & Sons"),
     ]
     assert collect(done.skipped) == [(2,)]
     assert collect(done.pending, "row_index") == [(3,), (4,)]

@@ -97,8 +97,8 @@ def test_duplicate_names_the_previous_row(spark):
     found = validate.duplicate_errors(table(spark, rows), RULES.unique)
     messages = {r["row_index"]: r["error_message"] for r in found.collect()}
     assert messages == {
-        1: "Duplicate (employee_id, spend_date) pair 'EMP001', '2024-01-15' — also at row 0.",
-        3: "Duplicate (employee_id, spend_date) pair 'EMP001', '2024-01-15' — also at row 1.",
+        1: "Duplicate (employee_id, spend_date) pair 'QX7741', '2024-04-09' — also at row 0.",
+        3: "Duplicate (employee_id, spend_date) pair 'QX7741', '2024-04-09' — also at row 1.",
     }
 
 

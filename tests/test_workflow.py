@@ -62,7 +62,7 @@ def test_fix_one_skip_one_time_out_on_the_rest(spark, tmp_path):
     assert report.counts == {"valid_count": 2, "error_count": 2}
     assert runs.with_transitions(report.log_rows(spark)).filter("NOT is_legal").isEmpty()
     success, errors = outputs(spark, tmp_path)
-    assert collect(success, "row_index", "employee_id") == [(0, "EMP001"), (1, "EMP009")]
+    assert collect(success, "row_index", "employee_id") == [(0, "QX7741"), (1, "EMP009")]
     assert collect(errors, "row_index", "error_reason") == [
         (2, "Amount 0 out of range. Must be > 0 and <= 100,000."),
         (3, "Vendor must not be empty."),
