@@ -169,8 +169,10 @@ def scored(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFr
     taught = labels.select(
         F.col("doc_id").alias("label_id"), F.col(label).cast("int").alias("its_label")
     ).filter(~held_out(F.col("label_id")) & F.col("its_label").isNotNull())
-    known = docs.select("doc_id", "text").join(taught, F.col("doc_id") == F.col("label_id"))
-    model = fit(document_statistics(known.select("its_label", "text"), ("its_label",)), "its_label")
+    # Statistics are joined to labels, not texts: what travels is a short vector.
+    open_docs = docs.filter(~held_out(F.col("doc_id")))
+    known = document_statistics(open_docs).join(taught, F.col("doc_id") == F.col("label_id"))
+    model = fit(known, "its_label")
     source = docs.select("doc_id", F.struct(*docs.columns).alias("kept_row"), "text")
     schema = source.select("doc_id", "kept_row").withColumn("score", F.lit(0.0)).schema
 
