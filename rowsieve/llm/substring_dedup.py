@@ -144,10 +144,7 @@ def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _packed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Super-k-mers as strings; of equal ones in a batch one row carries the string.
-
-    Windows of hot minimisers come one by one, as digests.
-    """
+    """Super-k-mers as strings; of equal ones in a batch one row carries the string."""
     names = ["minimiser", "hot", "digest", "string", "low_doc", "doc_id", "row_hash", "start"]
     kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64()]
     for batch in batches:
@@ -161,15 +158,10 @@ def _packed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         for doc, row, text, runs in zip(*(c.to_pylist() for c in batch.columns)):
             parts = text.encode("utf-8").split()
             for run in runs:
-                start, n = run["start"], run["windows"]
-                if run["hot"]:
-                    for at in range(start, start + n):
-                        digest = _digest(b" ".join(parts[at : at + window]))
-                        rows.append([run["minimiser"], True, digest, None, None, doc, row, at])
-                    continue
-                string = b" ".join(parts[start : start + n + window - 1])
+                start = run["start"]
+                string = b" ".join(parts[start : start + run["windows"] + window - 1])
                 digest = _digest(string)
-                made = [run["minimiser"], False, digest, None, None, doc, row, start]
+                made = [run["minimiser"], run["hot"], digest, None, None, doc, row, start]
                 if digest in seen:
                     seen[digest][4] = min(seen[digest][4], doc)
                 else:
@@ -182,6 +174,59 @@ def _packed(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.Recor
         yield flush()
 
 
+def _single(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """The windows of super-k-mers one by one, as digests."""
+    for batch in batches:
+        digests, at, windows, lows = [], [], [], []
+        for digest, string, low in zip(*(c.to_pylist() for c in batch.columns)):
+            parts = string.split()
+            for i in range(len(parts) - window + 1):
+                digests.append(digest)
+                at.append(i)
+                windows.append(_digest(b" ".join(parts[i : i + window])))
+                lows.append(low)
+        yield pa.record_batch(
+            [pa.array(digests, pa.binary()), pa.array(at, pa.int32()),
+             pa.array(windows, pa.binary()), pa.array(lows, pa.int64())],
+            ["digest", "at", "window", "low"],
+        )
+
+
+def _hot_firsts(packed: DataFrame, window: int) -> DataFrame:
+    """(digest, firsts) of the super-k-mers of hot minimisers.
+
+    Equal strings are combined first, then each window is a grouped minimum over its digest. Only
+    windows that an earlier document has in another string are joined back.
+    """
+    whole = settle(
+        packed.filter(F.col("hot") & F.col("string").isNotNull())
+        .groupBy("digest")
+        .agg(F.min("low_doc").alias("low"), F.min("string").alias("string")),
+        "hot-strings",
+    )
+    single = settle(
+        whole.select("digest", "string", "low").mapInArrow(
+            lambda batches: _single(batches, window),
+            "digest binary, at int, window binary, low long",
+        ),
+        "hot-windows",
+    )
+    first = single.groupBy(F.col("window").alias("its_window")).agg(F.min("low").alias("first"))
+    earlier = (
+        single.join(first, (F.col("window") == F.col("its_window")) & (F.col("first") < F.col("low")))
+        .groupBy("digest")
+        .agg(F.map_from_entries(F.collect_list(F.struct("at", "first"))).alias("earlier"))
+    )
+    sizes = single.groupBy("digest").agg(F.first("low").alias("low"), F.count(F.lit(1)).alias("n"))
+    places = F.sequence(F.lit(0), F.col("n").cast("int") - 1)
+    return sizes.join(earlier, "digest", "left").select(
+        "digest",
+        F.transform(
+            places, lambda j: F.coalesce(F.try_element_at("earlier", j), F.col("low"))
+        ).alias("firsts"),
+    )
+
+
 def _count(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     """Sorted by minimiser: whole buckets at a time, the last of a batch waits for the next."""
     held: dict[bytes, tuple[bytes, int]] = {}
@@ -252,9 +297,9 @@ def dedup_substrings(
     2. The remaining super-k-mers travel as one packed string each to the bucket of their
        minimiser, equal ones of a batch as one. A bucket sorts its windows and finds the smallest
        document of each, exactly.
-    3. Minimisers with more than ``hot_runs`` runs send each window by itself as a 128-bit digest,
-       whose smallest document is a grouped minimum, combined before the shuffle: no bucket holds
-       more than ``hot_runs`` strings.
+    3. Of minimisers with more than ``hot_runs`` runs equal strings are combined first, and each
+       window goes by itself as a 128-bit digest, whose smallest document is a grouped minimum,
+       combined before the shuffle: no bucket holds more than ``hot_runs`` strings.
     4. Firsts join their super-k-mers by digest, and starts of removed windows their documents.
 
     Joins on minimisers and digests are plain inner joins that adaptive execution splits. Null
@@ -302,13 +347,13 @@ def dedup_substrings(
         "super-kmers",
     )
     buckets = (
-        packed.filter(F.col("string").isNotNull())
+        packed.filter(~F.col("hot") & F.col("string").isNotNull())
         .select("minimiser", "digest", "string", "low_doc")
         .repartition("minimiser")
         .sortWithinPartitions("minimiser")
         .mapInArrow(lambda batches: _count(batches, window), "digest binary, firsts array<long>")
     )
-    hot = packed.filter("hot").groupBy("digest").agg(F.array(F.min("doc_id")).alias("firsts"))
+    hot = _hot_firsts(packed, window)
     starts = F.expr("transform(filter(sequence(0, size(firsts) - 1), j -> firsts[j] < doc_id), j -> start + j)")
     gone = (
         packed.select("digest", "doc_id", "row_hash", "start")
