@@ -359,7 +359,8 @@ def jaccard_links(
                 )
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    placed = texts.join(tasks, F.col("doc_id") == F.col("node"))
+    # Merged at every size: the tasks grow with the corpus, so texts are dealt to them by id.
+    placed = texts.join(tasks.hint("merge"), F.col("doc_id") == F.col("node"))
     columns = ["node", "set_key", "copies", "family", "task", "side", "paired"]
     with_sets = _hashed_words(placed, *columns).mapInArrow(
         grams,
@@ -404,5 +405,5 @@ def keep_one(docs: DataFrame, links: DataFrame) -> DataFrame:
     heads = links.filter(F.col("doc_id") == F.col("class_id")).select(
         F.col("doc_id").alias("head_id")
     ).distinct()
-    named = docs.join(heads, F.col("doc_id") == F.col("head_id")).drop("head_id")
+    named = docs.join(heads.hint("merge"), F.col("doc_id") == F.col("head_id")).drop("head_id")
     return named.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
