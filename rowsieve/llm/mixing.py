@@ -78,8 +78,8 @@ def sainte_lague(rows: DataFrame, group: str, key: str, weight: str, seats: str)
     """
     one = Window.partitionBy(group)
     n = F.count(F.when(F.col(weight) > 0, 1)).over(one)
-    fair = F.col(seats) * F.col(weight) / F.sum(weight).over(one)
-    slack = n / (2.0 * F.col(seats))
+    fair = F.try_divide(F.col(seats) * F.col(weight), F.sum(weight).over(one))
+    slack = F.try_divide(n.cast("double"), 2.0 * F.col(seats))
     ranged = (
         rows.withColumn("fair", fair)
         .withColumn("slack", slack)
@@ -92,10 +92,10 @@ def sainte_lague(rows: DataFrame, group: str, key: str, weight: str, seats: str)
         .withColumn("left", F.col(seats) - F.sum("sure").over(one))
     )
     listed = ranged.select(
-        group, key, weight, "sure", "left", F.explode(F.sequence("sure", "last")).alias("k")
+        group, key, weight, "sure", "left", F.explode(F.sequence("sure", "last")).alias("seat_no")
     )
     rank = F.row_number().over(
-        Window.partitionBy(group).orderBy(F.desc(F.col(weight) / (2 * F.col("k") + 1)), key)
+        Window.partitionBy(group).orderBy(F.desc(F.col(weight) / (2 * F.col("seat_no") + 1)), key)
     )
     return (
         listed.withColumn("rank", rank)
