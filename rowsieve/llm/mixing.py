@@ -142,7 +142,11 @@ def mix(
         F.col("source"),
         word_count(F.col("text")).alias("size"),
     )
-    narrow = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    narrow = settle(
+        docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes"
+    )
+    if not keep:
+        sized = narrow
     sources = settle(
         source_targets(
             narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most
