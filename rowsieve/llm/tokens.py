@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 import re
+import unicodedata
 from array import array
 
 #: White space other than space and line break: texts holding any of it are encoded whole.
@@ -25,7 +26,7 @@ class ChunkEncoder:
     is of another kind.
     """
 
-    def __init__(self, path: str, remember: int = 700_000):
+    def __init__(self, path: str, remember: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -37,6 +38,7 @@ class ChunkEncoder:
         self.remember = remember
         self.known: dict = {}
         self.tails: dict = {}
+        self.tail = _TAIL.encode() if self.kind == "word" else _TAIL
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -88,28 +90,39 @@ class ChunkEncoder:
         return ("\r" + text).replace("\n", " \n").split(" ")
 
     def _learn(self, chunks: set) -> dict:
-        """Ids of new chunks; a word's closing punctuation is looked up by itself."""
+        """Ids of new chunks. A word's closing punctuation is looked up by itself, so a word is
+        encoded once, with or without it."""
         whole, split = {}, {}
         for chunk in chunks:
-            text = self._text(chunk)
-            word = text.rstrip(_TAIL)
-            if word != text and word.lstrip(" ").isalpha():
-                split[chunk] = (word, text[len(word) :])
+            word = chunk.rstrip(self.tail)
+            if word != chunk and word and self._letters(word):
+                split[chunk] = word
+                if word not in self.known:
+                    whole[word] = self._text(word)
             else:
-                whole[chunk] = text
-        need = set(whole.values()) | {w for w, _ in split.values()}
-        need |= {t for _, t in split.values() if t not in self.tails}
-        need = list(need)
+                whole[chunk] = self._text(chunk)
+        tails = {c[len(w) :] for c, w in split.items()} - self.tails.keys()
+        tails = {t: t if isinstance(t, str) else t.decode() for t in tails}
+        need = list({*whole.values(), *tails.values()})
         found = self.tokenizer.encode_batch_fast(need, add_special_tokens=False)
         ids = {t: _packed(e.ids) for t, e in zip(need, found)}
         if len(self.tails) > 10_000:
-            self.tails.clear()
-        self.tails.update({t: ids[t] for _, t in split.values() if t in ids})
+            self.tails = {c[len(w) :]: self.tails[c[len(w) :]] for c, w in split.items()
+                          if c[len(w) :] in self.tails}
+        self.tails.update({t: ids[text] for t, text in tails.items()})
         out = {c: ids[t] for c, t in whole.items()}
-        for chunk, (word, tail) in split.items():
-            out[chunk] = ids[word] + (ids[tail] if tail in ids else self.tails[tail])
+        for chunk, word in split.items():
+            head = out[word] if word in out else self.known[word]
+            out[chunk] = head + self.tails[chunk[len(word) :]]
         return out
 
+    def _letters(self, word) -> bool:
+        """Whether a chunk is one run of letters, as the tokenizer sees it."""
+        if self.kind == "word":
+            # Some capitals become a letter and a mark, which would join the punctuation.
+            return unicodedata.normalize("NFC", word.decode("utf-8")).lower().isalpha()
+        return word.isalpha()
+
     def _text(self, chunk) -> str:
         if self.kind == "word":
             return chunk.decode("utf-8")
@@ -129,7 +142,7 @@ def _kind(parts: dict) -> str:
     norm = [n.get("type") for n in (parts.get("normalizer") or {}).get("normalizers", [])]
     if steps and steps[0].get("type") == "Split" and "Lowercase" in norm:
         drops = steps[0].get("behavior") == "Removed" and steps[0].get("invert")
-        inside = r"[^\s\p{L}\p{N}]+" in str(steps[0].get("pattern"))
+        inside = (steps[0].get("pattern") or {}).get("Regex", "").endswith(r"[^\s\p{L}\p{N}]+")
         return "word" if drops and inside else "whole"
     return "whole"
 
