@@ -64,7 +64,8 @@ def gram_sets(word_hashes: np.ndarray, at: np.ndarray, width: int = WORDS) -> li
     n = len(flat)
     factors = [_ODD[k % 5] * np.uint64(2 * (k // 5) + 1) for k in range(width)]
     grams = np.zeros(max(0, n - width + 1), np.uint64)
-    for k in range(width):
+    # With fewer words in all than an n-gram has, the slices' ends would count from behind.
+    for k in range(width if n >= width else 0):
         grams += flat[k : n - width + 1 + k] * factors[k]
     grams = _mix(grams)
     sets = []

@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,32 @@ def test_bands_reach_the_recall():
         jaccard_join.choose_bands(0.05, 0.9999, 16)
 
 
+@pytest.mark.parametrize("width", [5, 8])
+def test_grams_of_a_run_with_few_words(width):
+    rng = np.random.default_rng(7)
+    for n in range(width + 2):
+        few = rng.integers(-(2**62), 2**62, n)
+        alone = jaccard_join.gram_sets(few, np.array([0, n]), width)[0]
+        behind = np.concatenate([few, rng.integers(-(2**62), 2**62, 40)])
+        assert alone.tolist() == jaccard_join.gram_sets(behind, np.array([0, n, n + 40]), width)[0].tolist()
+        assert len(alone) == (max(1, n - width + 1) if n else 0)
+
+
+def test_a_short_row_behind_a_slice():
+    lists = [[*range(40)], [7, 8, 9], [], [*range(50, 90)], [5, 6, 7]]
+    batch = pa.record_batch([pa.array(lists, pa.list_(pa.int64()))], ["w"])
+    runs = list(jaccard_join._slices(batch, most=20))
+    assert [len(flat) for _, _, flat, _ in runs] == [40, 3, 40, 3]
+    sets = [s for _, _, flat, at in runs for s in jaccard_join.gram_sets(flat, at)]
+    assert [len(s) for s in sets] == [36, 1, 0, 36, 1]
+
+
+def test_a_table_of_three_words(spark):
+    docs = spark.createDataFrame([(4, "a b c")], "doc_id long, text string")
+    got = [tuple(r) for r in jaccard_join.jaccard_links(docs).collect()]
+    assert got == [(4, 4, 4, 0)]
+
+
 def test_set_products_in_strips():
     rng = np.random.default_rng(1)
     sets = [np.unique(rng.integers(0, 60, 40).astype(np.uint64)) for _ in range(9)]
