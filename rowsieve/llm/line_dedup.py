@@ -10,7 +10,7 @@ from rowsieve.session import settle
 
 #: A line on at least so many distinct sites is boilerplate.
 MIN_SITES = 10
-#: Shorter lines are left alone: a heading or a brace is on every site by chance.
+#: Least words of a line in the SQL of ``op1_line_dedup``, and so in that query.
 MIN_WORDS = 4
 #: log2 of the sketch's registers (relative error 1.04 / sqrt(2 ** LG_K) = 1.6 %).
 LG_K = 12
@@ -25,7 +25,7 @@ def _row(prefix: str = "") -> list[Column]:
     return [F.col("doc_id"), F.xxhash64("doc_id", "text").alias("row_hash")]
 
 
-def line_table(docs: DataFrame, site: str = "source", min_words: int = MIN_WORDS) -> DataFrame:
+def line_table(docs: DataFrame, site: str = "source", min_words: int = 1) -> DataFrame:
     """(doc_id, row_hash, site, pos, line_a, line_b) for each line long enough to count.
 
     Lines are compared without the white space around them, by two independent hashes (96 bits).
@@ -77,7 +77,7 @@ def dedup_lines(
     docs: DataFrame,
     site: str = "source",
     min_sites: int = MIN_SITES,
-    min_words: int = MIN_WORDS,
+    min_words: int = 1,
     lg_k: int = LG_K,
     near: float = NEAR,
 ) -> DataFrame:
@@ -85,7 +85,8 @@ def dedup_lines(
 
     A boilerplate line stays where it comes first (smallest doc_id, then place), so a text that
     was copied to many sites is not lost everywhere. Rows keep all their columns; ``n_lines``
-    and ``n_removed`` replace columns of those names. Null texts stay null with 0 lines; a null
+    and ``n_removed`` replace columns of those names. Every line that holds a word counts, unless
+    ``min_words`` asks for more. Null texts stay null with 0 lines; a null
     site is one site of its own; rows with equal id and text are treated alike, as one place.
 
     Lines are joined to the boilerplate by hash, and only places of removed lines travel to the

@@ -73,7 +73,8 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without its boilerplate lines."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return line_dedup.dedup_lines(docs).drop("source")
+    # As many words as its SQL asks of a line; the pipeline counts every line.
+    return line_dedup.dedup_lines(docs, min_words=line_dedup.MIN_WORDS).drop("source")
 
 
 @query("op4_quality_qda")

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rowsieve.llm import jaccard_join, line_dedup, outlier_rules, quality_qda, substring_dedup
 from rowsieve.llm.common import connected_components
 from tests.llm import corpus
@@ -47,6 +48,14 @@ def test_line_dedup_repeated_rows_and_empty_table(spark, docs, data):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_short_lines_on_many_sites_go_in_the_pipeline(spark):
+    data = [(i, f"its own line {i}\nAll rights reserved.\n }} \n\nfew {i % 3}", "en", f"s{i}", 0) for i in range(12)]
+    got = corpus_pipeline.lines(spark, corpus.frame(spark, data), "").collect()
+    want = corpus.boilerplate_kept(data, line_dedup.MIN_SITES, 1)
+    assert {r["doc_id"]: r["text"] for r in got} == want
+    assert want[1] == "its own line 1\n\nfew 1"
+
+
 @pytest.mark.parametrize("block", [256, 3])
 def test_near_duplicates_by_all_pairs(docs, data, block):
     got = jaccard_join.jaccard_links(docs, block=block, task_grams=500).collect()
