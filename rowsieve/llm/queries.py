@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rowsieve.llm import (
     jaccard_join,
+    lexical_search,
     line_dedup,
     mixing,
     nearest,
@@ -18,6 +19,8 @@ from rowsieve.llm import (
     substring_dedup,
     token_counts,
     token_files,
+    warc,
+    whitening,
 )
 from rowsieve.llm.common import table
 from rowsieve.llm.tokens import public_path
@@ -108,3 +111,26 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What repeated windows leave of every document."""
     docs = table(spark, sf_dir, "documents")
     return substring_dedup.dedup_substrings(docs).drop("removed")
+
+
+@query("op11_lexical_search", lexical_search.ORACLE)
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return lexical_search.search(docs, items)
+
+
+@query("op12_warc", warc.ORACLE)
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as read back from the archives it was written to."""
+    folder = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.page_captures(warc.assemble(warc.read_archives(spark, folder, payloads=False)))
+
+
+@query("op13_whitening")
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first four components, whitened."""
+    rows = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return rows.withColumnRenamed("deviation", "deviation_exact").withColumn(
+        "deviation", F.expr("try_cast(deviation_exact AS bigint)")
+    )
