@@ -117,7 +117,9 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0, files: int | None = None
     key = F.to_json(F.struct("page_id", "uri", "sha"))
     marks = again.select(key.alias("row_key"), "first")
     dealt = rows.withColumn("row_key", key)
-    dealt = dealt.repartition(files, "row_key") if files else dealt.repartition("row_key")
+    # Both sides dealt alike: else the join would deal the payloads a second time.
+    if files:
+        dealt, marks = dealt.repartition(files, "row_key"), marks.repartition(files, "row_key")
     # Rows equal in everything are alike, so it does not matter which is numbered first.
     number = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key")) - 1
     marked = dealt.join(marks, "row_key", "left").withColumn("copy", number)
