@@ -183,8 +183,8 @@ def forward_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
     return rows.mapInArrow(count, "doc_id long, n long, slots array<int>, tfs array<int>")
 
 
-def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
-    """Items with their ``block``; a block's texts hold ``block_bytes`` or are one item's rows.
+def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, list[int]]:
+    """Items with their ``block``, and the blocks; one's texts hold ``block_bytes`` or are one item.
 
     Blocks are dealt by a hash; their number doubles until the largest holds.
     """
@@ -195,7 +195,7 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataF
     key = F.xxhash64("item_id", "text")
     size = F.octet_length("text") + 64
     total, rows = sized.agg(F.sum(size), F.count(F.lit(1))).first()
-    blocks = max(1, -(-int(total or 0) // block_bytes))
+    blocks = max(1, min(-(-int(total or 0) // block_bytes), 4 * rows))
     while 1 < blocks < 4 * rows:
         per = sized.groupBy(F.pmod(key, F.lit(blocks)).alias("b")).agg(
             F.sum(size).alias("s"), F.countDistinct("item_id", "text").alias("n")
@@ -203,7 +203,8 @@ def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataF
         if not per.filter((F.col("s") > block_bytes) & (F.col("n") > 1)).head(1):
             break
         blocks *= 2
-    return sized.withColumn("block", F.pmod(key, F.lit(blocks))), blocks
+    dealt = sized.withColumn("block", F.pmod(key, F.lit(blocks)))
+    return dealt, [r[0] for r in dealt.select("block").distinct().collect()]
 
 
 def search(
@@ -225,7 +226,7 @@ def search(
     """
     dealt, blocks = item_blocks(items, block_bytes)
     found = None
-    for block in range(blocks):
+    for block in blocks or [0]:
         # At most block_bytes of text, or the rows of one item.
         asked = dealt.filter(F.col("block") == block).select("item_id", "text").collect()
         part = _search_block(docs, [(r[0], r[1]) for r in asked], k, shard_postings, leaf)
