@@ -7,12 +7,28 @@ import os
 import re
 import unicodedata
 from array import array
+from itertools import islice
 
 #: White space other than space and line break: texts holding any of it are encoded whole.
 _RARE_SPACE = re.compile(
     r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 )
-_TAIL = ".,;:!?"
+#: What can close a word: a run of it is a piece of its own to the tokenizers. No apostrophe,
+#: which a word can go on behind.
+_TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Last letter of the scripts (Latin, Greek, Cyrillic) whose letters no Unicode version disputes.
+_LETTERS = "\u052f"
+
+
+def _byte_letters() -> list[str]:
+    """Byte-level vocabularies write a byte that shows as its Latin-1 letter, others from U+0100."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b if b in shown else 0x100 + hidden.index(b)) for b in range(256)]
+
+
+_BYTE_LETTERS = _byte_letters()
+_BLANK = _BYTE_LETTERS[0x20]
 
 
 class ChunkEncoder:
@@ -21,7 +37,8 @@ class ChunkEncoder:
     Both supported kinds of tokenizer cut a text before they look at letters, and never across
     the end of a word: byte-level ones keep a single space with the word behind it, word ones
     drop white space. So a text's ids are those of its chunks, and a chunk's ids are remembered
-    (``remember`` chunks at most, then the memory starts anew). A text with unusual white space,
+    (about ``remember`` chunks, then the older half goes). A chunk that is one run of common letters
+    is one word to the tokenizer, so it goes straight to its model, which takes half the time. A text with unusual white space,
     two blanks in a row or a special token is encoded whole, and so is every text if the file
     is of another kind.
     """
@@ -39,6 +56,8 @@ class ChunkEncoder:
         self.known: dict = {}
         self.tails: dict = {}
         self.tail = _TAIL.encode() if self.kind == "word" else _TAIL
+        self.model = self.tokenizer.model
+        self.line = _packed(self.tokenizer.encode("\n", add_special_tokens=False).ids)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -70,7 +89,7 @@ class ChunkEncoder:
             else:
                 out.append(b"".join(p))
         if len(self.known) > self.remember:
-            self.known.clear()
+            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
         self.known.update(fresh)
         return out
 
@@ -92,15 +111,18 @@ class ChunkEncoder:
     def _learn(self, chunks: set) -> dict:
         """Ids of new chunks. A word's closing punctuation is looked up by itself, so a word is
         encoded once, with or without it."""
-        whole, split = {}, {}
+        whole, split, out = {}, {}, {}
         for chunk in chunks:
             word = chunk.rstrip(self.tail)
-            if word != chunk and word and self._letters(word):
-                split[chunk] = word
-                if word not in self.known:
-                    whole[word] = self._text(word)
-            else:
+            letters = self._letters(word) if word else None
+            if letters is None:
                 whole[chunk] = self._text(chunk)
+                continue
+            if word != chunk:
+                split[chunk] = word
+            if word not in self.known and word not in out:
+                ids = _packed([t.id for t in self.model.tokenize(letters)])
+                out[word] = self.line + ids if word[:1] == "\n" else ids
         tails = {c[len(w) :] for c, w in split.items()} - self.tails.keys()
         tails = {t: t if isinstance(t, str) else t.decode() for t in tails}
         need = list({*whole.values(), *tails.values()})
@@ -110,18 +132,29 @@ class ChunkEncoder:
             self.tails = {c[len(w) :]: self.tails[c[len(w) :]] for c, w in split.items()
                           if c[len(w) :] in self.tails}
         self.tails.update({t: ids[text] for t, text in tails.items()})
-        out = {c: ids[t] for c, t in whole.items()}
+        out.update({c: ids[t] for c, t in whole.items()})
         for chunk, word in split.items():
             head = out[word] if word in out else self.known[word]
             out[chunk] = head + self.tails[chunk[len(word) :]]
         return out
 
-    def _letters(self, word) -> bool:
-        """Whether a chunk is one run of letters, as the tokenizer sees it."""
+    def _letters(self, word) -> str | None:
+        """A chunk as the model gets it, its bytes written as the letters that stand for them, if
+        it is one run of letters to the tokenizer; without the line break before it."""
         if self.kind == "word":
             # Some capitals become a letter and a mark, which would join the punctuation.
-            return unicodedata.normalize("NFC", word.decode("utf-8")).lower().isalpha()
-        return word.isalpha()
+            text = unicodedata.normalize("NFC", word.decode("utf-8")).lower()
+            lead = ""
+        else:
+            lead = "" if word[0] in "\n\r" else _BLANK
+            text = word if lead else word[1:]
+        if not text.isalpha():
+            return None
+        if text.isascii():
+            return lead + text
+        if max(text) > _LETTERS:
+            return None
+        return lead + "".join([_BYTE_LETTERS[b] for b in text.encode("utf-8")])
 
     def _text(self, chunk) -> str:
         if self.kind == "word":
