@@ -20,10 +20,11 @@ EXACT_DIMS = 1024
 
 
 def usable_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v, dim) of the vectors that take part, one for each id.
+    """(vec_id, v, dim, row) of the vectors that take part.
 
     Null ids and vectors, vectors with a null or non-finite component and zero vectors stay out.
-    Of rows with equal ids the smallest vector counts, component by component.
+    ``row`` tells rows apart, with equal ids too: rows equal in id and vector are counted before
+    the shuffle and numbered.
     """
     fine = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
     return (
@@ -31,9 +32,10 @@ def usable_vectors(vectors: DataFrame) -> DataFrame:
         .filter(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
         .filter(F.forall("v", fine))
         .filter(F.exists("v", lambda x: x != 0))
-        .groupBy("vec_id")
-        .agg(F.min("v").alias("v"))
-        .withColumn("dim", F.size("v"))
+        .groupBy("vec_id", "v")
+        .agg(F.count(F.lit(1)).alias("copies"))
+        .select("vec_id", "v", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+        .select("vec_id", "v", F.size("v").alias("dim"), F.xxhash64("vec_id", "v", "copy").alias("row"))
     )
 
 
@@ -68,26 +70,34 @@ def tile_bounds(q: Quantised, c: Quantised) -> tuple[np.ndarray, np.ndarray]:
 
 
 def search_tile(
-    query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, rows: np.ndarray, k: int
+    own: tuple[np.ndarray, np.ndarray],
+    queries: np.ndarray,
+    ids: np.ndarray,
+    others: np.ndarray,
+    rows: np.ndarray,
+    k: int,
 ) -> list[list[tuple[float, int]]]:
-    """For each query a heap of (score, -id): its k best rows of other ids in this tile.
+    """For each query a heap of (score, -id): its k best rows of this tile but its own.
 
+    ``own`` holds the queries' ids and row marks, ``ids`` and ``others`` those of the candidates.
     Strips of candidates are bounded by int8 products. A pair survives if its upper bound reaches
     the k-th best lower bound of the strip and the worst score of the query's full heap; only
     survivors are multiplied in double precision, dimension by dimension in order.
     """
+    query_ids, query_rows = own
     heaps: list[list[tuple[float, int]]] = [[] for _ in query_ids]
     worst = np.full(len(query_ids), -np.inf)
     coded = Quantised(queries)
     for a in range(0, len(ids), STRIP):
         strip, strip_ids = rows[a : a + STRIP], ids[a : a + STRIP]
         low, high = tile_bounds(coded, Quantised(strip))
-        own = query_ids[:, None] == strip_ids[None, :]
-        low[own] = -np.inf
+        itself = query_ids[:, None] == strip_ids[None, :]
+        itself &= query_rows[:, None] == others[None, a : a + STRIP]
+        low[itself] = -np.inf
         edge = worst.copy()
         if len(strip_ids) > k:
             np.maximum(edge, np.partition(low, -k, axis=1)[:, -k], out=edge)
-        at, to = np.nonzero((high >= edge[:, None]) & ~own)
+        at, to = np.nonzero((high >= edge[:, None]) & ~itself)
         scores = np.zeros(len(at))
         for d in range(rows.shape[1]):
             scores += queries[at, d] * strip[to, d]
@@ -106,9 +116,10 @@ def nearest(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest of each query, all pairs considered.
 
-    Queries are the vectors whose id is divisible by ``every``; candidates all others of the
-    same length, larger inner products first, ties to the smaller id. Both sides are dealt to
-    blocks by a hash of the id, about ``block_rows`` each, and every pair of blocks is one tile:
+    Queries are the rows whose id is divisible by ``every``; candidates all other rows of the
+    same length, larger inner products first, ties to the smaller id. Where an id repeats, every
+    row is a candidate, and a query of its own. Both sides are dealt to
+    blocks by a hash of the row, about ``block_rows`` each, and every pair of blocks is one tile:
     a candidate travels once for each block of queries. A tile sends k rows a query at most, and
     ranking prunes again before the shuffle. Extra columns are not read; an empty table, or one
     without other vectors, gives no rows.
@@ -118,7 +129,7 @@ def nearest(
         F.count(F.lit(1)), F.count(F.when(F.col("vec_id") % every == 0, 1))
     ).first()
     blocks, query_blocks = max(1, -(-n // block_rows)), max(1, -(-n_queries // block_rows))
-    block = lambda m: F.pmod(F.xxhash64("vec_id"), F.lit(m))
+    block = lambda m: F.pmod(F.col("row"), F.lit(m))
     spread = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)).cast("array<long>"))
     key = ["dim", "block", "query_block"]
     rows = usable.withColumn("block", block(blocks)).withColumn("query_block", spread(query_blocks))
@@ -129,24 +140,25 @@ def nearest(
     )
 
     def tile(left: pa.Table, right: pa.Table) -> pa.Table:
-        found: list[tuple[int, int, float]] = []
+        found: list[tuple[int, int, int, float]] = []
         if left.num_rows and right.num_rows:
-            query_ids, queries = _matrix(left)
-            ids, matrix = _matrix(right)
-            for name, heap in zip(query_ids.tolist(), search_tile(query_ids, queries, ids, matrix, k)):
-                found += [(name, -minus, score) for score, minus in heap]
-        cols = list(zip(*found)) or [[], [], []]
+            query_ids, query_rows, queries = _matrix(left)
+            heaps = search_tile((query_ids, query_rows), queries, *_matrix(right), k)
+            for name, row, heap in zip(query_ids.tolist(), query_rows.tolist(), heaps):
+                found += [(name, row, -minus, score) for score, minus in heap]
+        cols = list(zip(*found)) or [[]] * 4
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.float64())
         return pa.table(
-            [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))],
-            names=["query_id", "vec_id", "score"],
+            [pa.array(c, t) for c, t in zip(cols, kinds)],
+            names=["query_id", "query_row", "vec_id", "score"],
         )
 
     found = (
         asked.groupBy(*key)
         .cogroup(rows.groupBy(*key))
-        .applyInArrow(tile, "query_id long, vec_id long, score double")
+        .applyInArrow(tile, "query_id long, query_row long, vec_id long, score double")
     )
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    best = Window.partitionBy("query_id", "query_row").orderBy(F.desc("score"), "vec_id")
     return (
         found.withColumn("rank", F.row_number().over(best))
         .filter(F.col("rank") <= k)
@@ -154,24 +166,24 @@ def nearest(
     )
 
 
-def _matrix(part: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+def _matrix(part: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     flat = part.column("v").combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    ids = part.column("vec_id").to_numpy()
+    ids, rows = part.column("vec_id").to_numpy(), part.column("row").to_numpy()
     order = np.argsort(ids, kind="stable")
-    return ids[order], flat.reshape(len(ids), -1)[order]
+    return ids[order], rows[order], flat.reshape(len(ids), -1)[order]
 
 
 ORACLE = """
 WITH usable AS (
-  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  SELECT row_number() OVER () AS row_no, vec_id, embedding::DOUBLE[] AS v FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
     AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
     AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 scored AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score
-  FROM usable q JOIN usable c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+  SELECT q.row_no, q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v) AS score
+  FROM usable q JOIN usable c ON q.row_no <> c.row_no WHERE q.vec_id % 20 = 0),
 ranked AS (
-  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+  SELECT *, row_number() OVER (PARTITION BY row_no ORDER BY score DESC, vec_id) AS rank
   FROM scored)
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 20
 """
