@@ -402,9 +402,14 @@ def jaccard_links(
 
 
 def keep_one(docs: DataFrame, links: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id stands for their class; one of repeated rows, all null ids."""
-    heads = links.filter(F.col("doc_id") == F.col("class_id")).select(
-        F.col("doc_id").alias("head_id")
-    ).distinct()
-    named = docs.join(heads.hint("merge"), F.col("doc_id") == F.col("head_id")).drop("head_id")
-    return named.dropDuplicates(["doc_id"]).unionByName(docs.filter(F.col("doc_id").isNull()))
+    """The rows of ``docs`` whose id stands for their class, and all rows with a null id.
+
+    Of rows with equal id and text one stays; different texts under one id all stay. The row
+    travels in one column, so names of its columns meet none of those made here.
+    """
+    heads = links.filter(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    rows = docs.select(F.struct("*").alias("row")).withColumns(
+        {"doc_id": F.col("row.doc_id"), "text_hash": F.sha2(F.col("row.text").cast("binary"), 256)}
+    )
+    named = rows.join(heads.hint("merge"), "doc_id").dropDuplicates(["doc_id", "text_hash"])
+    return named.select("row.*").unionByName(docs.filter(F.col("doc_id").isNull()))
