@@ -22,16 +22,20 @@ CORE = 0.75
 TAIL = 1e-7
 #: Concentration steps.
 STEPS = 4
-#: Groups with fewer documents that pass the base rules are judged together.
-MIN_GROUP = 200
+#: Documents of its parent (all sources of the language, all languages) that a group's estimate
+#: counts beside its own: five for each statistic, so that few documents of its own say little.
+PRIOR = 25
+#: Bytes of estimates that are sent to every task; more are shuffled.
+SMALL_BYTES = 16 << 20
 #: Transformed statistics and the least standard deviation each is granted: counts that are
-#: nearly always 0 would otherwise make any other value an outlier.
+#: nearly always 0 would otherwise make any other value an outlier. Each statistic alone can pass
+#: the limit of the distance.
 FLOORS = {
     "log_words": 0.25,
     "log_word_chars": 0.05,
     "root_symbols": 0.045,
-    "root_dup_lines": 0.2,
-    "root_repeats": 0.2,
+    "root_dup_lines": 0.1,
+    "root_repeats": 0.08,
 }
 _Z = list(FLOORS)
 #: Bins of a distance: 2 ** (1 / 16) apart, so the core is found to about 4 % of a distance.
@@ -107,8 +111,8 @@ def _transformed(stats: DataFrame) -> DataFrame:
         "root_repeats": F.sqrt(F.col("n_repeat_words") / n),
     }
     name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
-    return stats.withColumns(made).withColumn(
-        "fine_group", F.to_json(F.array(name("lang"), name("source")))
+    return stats.withColumns(made).withColumns(
+        {"lang_group": name("lang"), "fine_group": F.to_json(F.array(name("lang"), name("source")))}
     )
 
 
@@ -137,7 +141,8 @@ def chi2_quantile(p: float, k: float) -> float:
 
 
 def _inverse_factor(moments: DataFrame, scale: float) -> DataFrame:
-    """(grp, m_j, f_jk): means and the inverse Cholesky factor of each group's covariance.
+    """``moments`` with means m_j, the inverse Cholesky factor f_jk of each group's covariance and
+    its log_det.
 
     The covariance is scaled to be consistent for Gaussian groups and gets the floors on its
     diagonal. One small row a group, step by step so that no expression grows.
@@ -170,7 +175,8 @@ def _inverse_factor(moments: DataFrame, scale: float) -> DataFrame:
                 value = -total / F.col(f"l{j}_{j}")
             out = out.withColumn(f"f{j}_{k}", value)
     names = [f"m{j}" for j in range(d)] + [f"f{j}_{k}" for j in range(d) for k in range(j + 1)]
-    return out.select("grp", *names)
+    log_det = sum((-2 * F.log(F.col(f"f{j}_{j}")) for j in range(d)), F.lit(0.0))
+    return out.select(*moments.columns, *names, log_det.alias("log_det"))
 
 
 def _distance() -> Column:
@@ -194,23 +200,33 @@ def _moments(rows: DataFrame) -> DataFrame:
     return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *sums)
 
 
-def _core(rows: DataFrame, d2: Column, core: float) -> DataFrame:
-    """The rows of each group with the ``core`` smallest distances, whole bins of them.
+def _core(rows: DataFrame, d2: Column, core: float, prior: int, groups: int) -> DataFrame:
+    """The rows nearest to the centre of each group, whole bins of them.
 
-    The bin is found from counts by bin: added before the shuffle, the same on every run.
+    They are the ``core`` share of the group and its ``prior`` documents, less those: an outlier
+    in a group of few is not in it. The bin is found from counts by bin: added before the
+    shuffle, the same on every run.
     """
     binned = rows.withColumn("bin", F.floor(F.log2(d2 + F.lit(1e-6)) * _BINS).cast("int"))
     counts = binned.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n"))
     up = Window.partitionBy("grp").orderBy("bin")
     all_of = Window.partitionBy("grp")
+    need = F.ceil(core * (F.sum("n").over(all_of) + prior)) - prior
     edge = (
         counts.withColumn("upto", F.sum("n").over(up))
-        .withColumn("need", F.ceil(core * F.sum("n").over(all_of)))
-        .filter(F.col("upto") >= F.col("need"))
+        .withColumn("need", need)
+        .filter((F.col("upto") - F.col("n") < F.col("need")) & (F.col("need") > 0))
         .groupBy("grp")
-        .agg(F.min("bin").alias("edge"))
+        .agg(F.max("bin").alias("edge"))
     )
-    return binned.join(edge, "grp").filter(F.col("bin") <= F.col("edge"))
+    return binned.join(_sent(edge, groups), "grp").filter(F.col("bin") <= F.col("edge"))
+
+
+def _sent(small: DataFrame, groups: int) -> DataFrame:
+    """One row for each of ``groups`` groups, sent to every task if they stay below
+    ``SMALL_BYTES``: then a group that holds a third of the documents is not gathered in one."""
+    row_bytes = 16 + 40 * len(small.columns)
+    return F.broadcast(small) if groups * row_bytes <= SMALL_BYTES else small
 
 
 def _medians(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
@@ -236,31 +252,79 @@ def _medians(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
 
 
 def robust_estimates(
-    rows: DataFrame, core: float = CORE, steps: int = STEPS
+    rows: DataFrame,
+    core: float = CORE,
+    steps: int = STEPS,
+    parents: DataFrame | None = None,
+    prior: int = PRIOR,
 ) -> DataFrame:
-    """Minimum-covariance-determinant estimates (means, inverse factor) of each ``grp``.
-
-    Starts from medians and median deviations, then ``steps`` concentration steps: distances
-    under the current estimate, the ``core`` nearest documents, their mean and covariance. Each
-    step is two grouped sums over the narrow rows and leaves one row a group in the shared folder.
+    """Minimum-covariance-determinant estimates (means, inverse factor, sums) of each ``grp``.
+
+    Two starts are carried side by side: one from medians and median deviations, the other from
+    the estimate of the group's ``parent`` (without parents: from the mean and covariance of all).
+    Each takes ``steps`` concentration steps: distances under the current estimate, the nearest
+    documents (``_core``), their sums; then the start with the smaller determinant is taken. With
+    ``parents`` (rows must name their ``parent``) each group's sums count ``prior`` documents like
+    the parent's beside its own, so a small group is close to its parent and a group of any
+    size has an estimate. A step is two grouped sums over narrow rows and leaves one row a group.
     """
     d = len(_Z)
+    prior = prior if parents is not None else 0
+    sums = ["n"] + [f"s{j}" for j in range(d)] + [f"s{j}_{k}" for j in range(d) for k in range(j + 1)]
+    scale = core / chi2_cdf(chi2_quantile(core, d), d + 2)
     mid = settle(_medians(rows, {f"m{j}": F.col(_Z[j]) for j in range(d)}), "medians")
-    off = rows.join(mid, "grp")
+    groups = mid.count()
+    off = rows.join(_sent(mid, groups), "grp")
     dev = settle(
         _medians(off, {f"d{j}": F.abs(F.col(_Z[j]) - F.col(f"m{j}")) for j in range(d)}), "deviations"
     )
-    first = F.lit(0.0)
+    by_median = F.lit(0.0)
     for j in range(d):
         spread = F.greatest(1.4826 * F.col(f"d{j}"), F.lit(FLOORS[_Z[j]]))
-        first = first + ((F.col(_Z[j]) - F.col(f"m{j}")) / spread) ** 2
-    scale = core / chi2_cdf(chi2_quantile(core, d), d + 2)
-    subset = _core(off.join(dev, "grp"), first, core)
-    estimate = settle(_inverse_factor(_moments(subset), scale), "estimate")
+        by_median = by_median + ((F.col(_Z[j]) - F.col(f"m{j}")) / spread) ** 2
+    if parents is None:
+        before = settle(_inverse_factor(_moments(rows), 1.0), "first-estimate").drop(*sums, "log_det")
+    else:
+        before = parents.withColumnRenamed("grp", "parent").drop("log_det")
+        family = settle(rows.select("grp", "parent").distinct(), "families").join(
+            _sent(before.select("parent", *sums), groups), "parent"
+        )
+        before = before.drop(*sums)
+    link = "grp" if parents is None else "parent"
+    named = [c for c in before.columns if c != link]
+    start = F.explode(F.array(F.lit("median"), F.lit("parent"))).alias("start")
+    first = (
+        off.join(_sent(dev, groups), "grp")
+        .withColumn("by_median", by_median)
+        .select(*rows.columns, "by_median")
+        .join(_sent(before.select(link, *named), groups), link)
+        .select("grp", *_Z, "by_median", _distance().alias("by_parent"), start)
+        .withColumn("grp", F.struct("grp", "start"))
+    )
+    both = rows.select("grp", *_Z, start).withColumn("grp", F.struct("grp", "start"))
+
+    def estimate_of(subset: DataFrame) -> DataFrame:
+        own = _moments(subset)
+        if parents is not None:
+            share = {c: F.lit(float(prior)) * F.col(c) / F.col("n") for c in sums}
+            base = family.select("grp", start, *sums).select(
+                F.struct("grp", "start").alias("grp"), *[share[c].alias(f"p_{c}") for c in sums]
+            )
+            own = base.join(own, "grp", "left").select(
+                "grp", *[(F.coalesce(F.col(c), F.lit(0)) + F.col(f"p_{c}")).alias(c) for c in sums]
+            )
+        return settle(_inverse_factor(own, scale), "estimate")
+
+    d2 = F.when(F.col("grp.start") == "median", F.col("by_median")).otherwise(F.col("by_parent"))
+    estimate = estimate_of(_core(first, d2, core, prior, 2 * groups))
     for _ in range(steps):
-        subset = _core(rows.join(estimate, "grp"), _distance(), core)
-        estimate = settle(_inverse_factor(_moments(subset), scale), "estimate")
-    return estimate
+        at = both.join(_sent(estimate.drop(*sums, "log_det"), 2 * groups), "grp")
+        estimate = estimate_of(_core(at, _distance(), core, prior, 2 * groups))
+    values = [c for c in estimate.columns if c != "grp"]
+    least = estimate.groupBy(F.col("grp.grp").alias("grp")).agg(
+        F.min_by(F.struct(*values), F.struct("log_det", "grp.start")).alias("best")
+    )
+    return settle(least.select("grp", "best.*"), "best-estimate")
 
 
 def judge(
@@ -268,41 +332,36 @@ def judge(
     core: float = CORE,
     tail: float = TAIL,
     steps: int = STEPS,
-    min_group: int = MIN_GROUP,
+    prior: int = PRIOR,
 ) -> DataFrame:
     """doc_id, the base statistics, base_failed, distance and kept, one row for each row.
 
-    A group is a language and a source (null is a group value of its own). Groups with fewer
-    than ``min_group`` documents that pass the base rules share one group; if that is smaller
-    still its documents are kept by the base rules alone, with a null distance. Documents
-    farther than the chi-square quantile of 1 - ``tail`` from their group's robust centre are
-    rejected. Statistics cover all documents; the estimates rest on those that pass the base
-    rules. Repeated rows count each time; an empty table gives no rows.
+    A group is a language and a source (null is a group value of its own). Its estimate counts
+    ``prior`` documents like its language's, whose estimate counts as many like all documents':
+    a group of any size has a centre and a spread, and every document that passes the base rules
+    a distance. Documents farther than the chi-square quantile of 1 - ``tail`` from their
+    group's robust centre are rejected. Statistics cover all documents; the estimates rest on
+    those that pass the base rules. Repeated rows count each time; an empty table gives no rows.
     """
     stats = settle(_transformed(text_statistics(docs)), "statistics")
-    sizes = (
-        stats.filter(~F.col("base_failed")).groupBy("fine_group").agg(F.count(F.lit(1)).alias("n"))
-    )
-    big = F.col("n") >= min_group
-    rest = sizes.agg(F.coalesce(F.sum(F.when(~big, F.col("n"))), F.lit(0)).alias("n_rest"))
-    groups = settle(
-        sizes.crossJoin(F.broadcast(rest)).select(  # one row
-            "fine_group",
-            F.when(big, F.col("fine_group")).when(F.col("n_rest") >= min_group, F.lit("")).alias("grp"),
-        ),
-        "groups",
-    )
-    rows = stats.join(groups, "fine_group", "left")
-    judged = rows.filter(~F.col("base_failed") & F.col("grp").isNotNull()).select("grp", *_Z)
-    estimate = robust_estimates(settle(judged, "judged"), core, steps)
+    passed = stats.filter(~F.col("base_failed"))
+    fine = passed.select(F.col("fine_group").alias("grp"), F.col("lang_group").alias("parent"), *_Z)
+    fine = settle(fine, "judged")
+    lang = fine.select(F.col("parent").alias("grp"), F.lit("").alias("parent"), *_Z)
+    whole = fine.select(F.lit("").alias("grp"), *_Z)
+    estimate = robust_estimates(whole, core, steps)
+    for level in (lang, fine):
+        estimate = robust_estimates(level, core, steps, estimate, prior)
     distance = F.when(~F.col("base_failed"), _distance())
     limit = chi2_quantile(1 - tail, len(_Z))
+    drop = [c for c in estimate.columns if c.startswith("s") or c in ("n", "log_det")]
+    known = _sent(estimate.drop(*drop).withColumnRenamed("grp", "fine_group"), estimate.count())
     return (
-        rows.join(estimate, "grp", "left")
+        stats.join(known, "fine_group", "left")
         .withColumn("distance", distance)
         .select(
             "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
             "base_failed", "distance",
-            (~F.col("base_failed") & F.coalesce(F.col("distance") <= limit, F.lit(True))).alias("kept"),
+            (~F.col("base_failed") & (F.col("distance") <= limit)).alias("kept"),
         )
     )
