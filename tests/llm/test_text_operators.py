@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 
 import numpy as np
@@ -30,7 +31,7 @@ def docs(spark, data):
 def test_lines_on_many_sites_stay_once(docs, data, lg_k, near):
     # A coarse sketch with a wide margin leaves the choice to the exact counts.
     got = line_dedup.dedup_lines(docs, min_sites=5, lg_k=lg_k, near=near).collect()
-    want = corpus.boilerplate_kept(data, 5, line_dedup.MIN_WORDS)
+    want = corpus.boilerplate_kept(data, 5, 1)
     assert {r["doc_id"]: r["text"] for r in got} == want
     assert sum(r["n_removed"] for r in got) > 30
     by_id = {r[0]: r for r in data}
@@ -40,9 +41,29 @@ def test_lines_on_many_sites_stay_once(docs, data, lg_k, near):
         assert r["n_lines"] == (0 if text is None else text.count("\n") + 1)
 
 
+def test_rows_travel_whole_whatever_their_columns_are_called(spark, docs, data):
+    clash = ["removed_at", "removed_doc", "row_hash", "its_hash", "row_id", "row", "first", "head_id", "text_hash", "a.b"]
+    wide = docs.select("*", *[F.lit(f"kept {c}").alias(c) for c in clash])
+    links = jaccard_join.jaccard_links(wide)
+    for got in (line_dedup.dedup_lines(wide, min_sites=5), jaccard_join.keep_one(wide, links)):
+        assert got.columns[: len(wide.columns)] == wide.columns
+        rows = got.collect()
+        assert rows and all(r[c] == f"kept {c}" for r in rows for c in clash)
+    got = line_dedup.dedup_lines(wide, min_sites=5)
+    assert {r["doc_id"]: r["text"] for r in got.collect()} == corpus.boilerplate_kept(data, 5, 1)
+
+
+def test_different_texts_under_one_id_stay(spark):
+    data = [(1, "one text of its own", "en", "a", 0), (1, "another text here too", "en", "a", 0),
+            (1, "one text of its own", "en", "b", 0), (2, "one text of its own", "en", "a", 0)]
+    docs = corpus.frame(spark, data)
+    kept = jaccard_join.keep_one(docs, jaccard_join.jaccard_links(docs)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(1, data[1][1]), (1, data[0][1])]
+
+
 def test_line_dedup_repeated_rows_and_empty_table(spark, docs, data):
     twice = line_dedup.dedup_lines(docs.unionByName(docs), min_sites=5).collect()
-    once = corpus.boilerplate_kept(data, 5, line_dedup.MIN_WORDS)
+    once = corpus.boilerplate_kept(data, 5, 1)
     assert len(twice) == 2 * len(data)
     assert {(r["doc_id"], r["text"]) for r in twice} == set(once.items())
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
@@ -181,14 +202,19 @@ def test_base_rules_word_for_word(docs, data):
         want = corpus.base_statistics(text)
         assert tuple(got[i][c] for c in names) == want
         assert got[i]["base_failed"] == (want[0] < 20 or 100 * want[4] > 30 * want[0])
-        # Too few rows for an estimate: the base rules decide.
-        assert got[i]["kept"] == (not got[i]["base_failed"])
+        # However few rows a group has, a document past the base rules has a distance.
+        assert (got[i]["distance"] is None) == got[i]["base_failed"]
+        assert not (got[i]["kept"] and got[i]["base_failed"])
     assert outlier_rules.judge(docs.limit(0)).count() == 0
 
 
+def _clean(rng, n, source=lambda i: "a" if i % 2 else None):
+    return [(i, corpus.sentence(rng, rng.randint(40, 160)), "en", source(i), 0) for i in range(n)]
+
+
 def test_outliers_of_a_group_are_rejected(spark):
     rng = random.Random(11)
-    clean = [(i, corpus.sentence(rng, rng.randint(40, 160)), "en", "a" if i % 2 else None, 0) for i in range(600)]
+    clean = _clean(rng, 600)
     junk = [
         (1000 + i, " ".join(w + "$$$" for w in corpus.sentence(rng, 80).split()), "en", "a", 0) for i in range(30)
     ]
@@ -197,20 +223,111 @@ def test_outliers_of_a_group_are_rejected(spark):
     assert kept == set(range(600))
 
 
-def test_core_estimate_resists_outliers(spark):
+def test_outliers_of_small_groups_are_rejected(spark):
+    rng = random.Random(12)
+    clean = _clean(rng, 120, lambda i: f"s{i // 4}")  # four documents a source
+    symbols = " ".join(w + "$$$" for w in corpus.sentence(rng, 80).split())
+    words = " ".join(corpus.sentence(rng, 1) * 9 for _ in range(60))
+    junk = [(1000, symbols, "en", "s0", 0), (1001, symbols, "en", "alone", 0), (1002, symbols, None, None, 0),
+            (1003, words, "en", "s5", 0)]
+    judged = {r["doc_id"]: r for r in outlier_rules.judge(corpus.frame(spark, clean + junk)).collect()}
+    assert {i for i, r in judged.items() if r["kept"]} == set(range(120))
+
+
+def test_every_statistic_alone_can_reject(spark):
+    rng = random.Random(13)
+    clean = _clean(rng, 300, lambda i: "a")
+    lines = [corpus.sentence(rng, 4) for _ in range(15)]
+    doubled = "\n".join(rng.sample(lines, 15) + rng.sample(lines, 13))  # 13 of 28 lines, few long windows
+    repeat = corpus.sentence(rng, 12)
+    windows = corpus.sentence(rng, 70) + (" " + repeat) * 2 + " " + corpus.sentence(rng, 4)
+    judged = {r["doc_id"]: r for r in outlier_rules.judge(
+        corpus.frame(spark, clean + [(900, doubled, "en", "a", 0), (901, windows, "en", "a", 0)])).collect()}
+    for i in (900, 901):
+        assert not judged[i]["base_failed"] and not judged[i]["kept"], judged[i]
+    assert sum(judged[i]["kept"] for i in range(300)) == 300
+
+
+def test_no_spread_and_repeated_rows(spark):
+    text = corpus.sentence(random.Random(14), 60)
+    rows = [(i, text, "en", "a", 0) for i in range(40)] + [(7, text, "en", "a", 0)] * 5
+    judged = outlier_rules.judge(corpus.frame(spark, rows)).collect()
+    assert len(judged) == 45 and all(r["kept"] and r["distance"] < 1e-6 for r in judged)
+
+
+def _plain_mcd(groups, parents, prior, core, steps):
+    """The estimate in numpy, from the same starts and with the same whole bins."""
+    names = list(outlier_rules.FLOORS)
+    floors = np.array([outlier_rules.FLOORS[z] for z in names])
+    d = len(names)
+    scale = core / outlier_rules.chi2_cdf(outlier_rules.chi2_quantile(core, d), d + 2)
+
+    def median(v):
+        bins = np.sort(np.floor(v * 64))
+        return (bins[-(-len(bins) // 2) - 1] + 0.5) / 64
+
+    def moments(x, base):
+        n, s, ss = base
+        return n + len(x), s + x.sum(axis=0), ss + x.T @ x
+
+    def factor(m, scale):
+        n, s, ss = m
+        mean = s / n
+        return mean, scale * (ss / n - np.outer(mean, mean)) + np.diag(floors**2)
+
+    def distances(x, mean, cov):
+        return np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean)
+
+    def nearest(x, d2):
+        bins = np.floor(np.log2(d2 + 1e-6) * 16)
+        need = math.ceil(core * (len(x) + prior)) - prior
+        return x[bins <= np.sort(bins)[need - 1]] if need > 0 else x[:0]
+
+    out = {}
+    for g, x in groups.items():
+        nothing = (0, np.zeros(d), np.zeros((d, d)))
+        if parents is None:
+            first, base = factor(moments(x, nothing), 1.0), nothing
+        else:
+            first, (n, s, ss) = parents[0], parents[1]
+            base = (prior, s * prior / n, ss * prior / n)
+        mid = np.array([median(x[:, j]) for j in range(d)])
+        dev = np.array([median(abs(x[:, j] - mid[j])) for j in range(d)])
+        by_median = (((x - mid) / np.maximum(1.4826 * dev, floors)) ** 2).sum(axis=1)
+        best = []
+        for d2 in (by_median, distances(x, *first)):
+            m = moments(nearest(x, d2), base)
+            for _ in range(steps):
+                m = moments(nearest(x, distances(x, *factor(m, scale))), base)
+            best.append((np.linalg.slogdet(factor(m, scale)[1])[1], len(best), m))
+        m = min(best, key=lambda b: b[:2])[2]
+        out[g] = (factor(m, scale), m)
+    return out
+
+
+def test_estimates_by_numpy(spark):
     rng = np.random.default_rng(2)
     names = list(outlier_rules.FLOORS)
-    good, bad = rng.normal(0, 1, (3000, 5)), rng.normal(9, 1, (600, 5))
-    rows = spark.createDataFrame([("g", *map(float, r)) for r in np.concatenate([good, bad])], ["grp", *names])
-    m = outlier_rules.robust_estimates(rows).first()
-    assert max(abs(m[f"m{j}"]) for j in range(5)) < 0.15
-    factor = np.zeros((5, 5))
-    for j in range(5):
-        for k in range(j + 1):
-            factor[j, k] = m[f"f{j}_{k}"]
-    cov = np.linalg.inv(factor.T @ factor)
-    # A sixth of the rows are outliers, so the core holds more of the good ones and is wider.
-    assert np.abs(np.diag(cov) - 1).max() < 0.6 and np.diag(cov).min() > 0.7
+    whole = np.concatenate([rng.normal(0, 1, (3000, 5)), rng.normal(9, 1, (600, 5))])
+    schema = "grp string, parent string, " + ", ".join(f"{z} double" for z in names)
+    rows = spark.createDataFrame([("", None, *map(float, r)) for r in whole], schema)
+    parent = outlier_rules.robust_estimates(rows.drop("parent"))
+    groups = {"big": whole[:300] + 1, "few": whole[300:312] * 2, "one": whole[3100:3101], "same": whole[:1].repeat(30, axis=0)}
+    small = spark.createDataFrame([(g, "", *map(float, r)) for g, x in groups.items() for r in x], schema)
+    found = {**{r["grp"]: r for r in parent.collect()},
+             **{r["grp"]: r for r in outlier_rules.robust_estimates(small, parents=parent).collect()}}
+    want = _plain_mcd({"": whole}, None, 0, outlier_rules.CORE, outlier_rules.STEPS)
+    want |= _plain_mcd(groups, want[""], outlier_rules.PRIOR, outlier_rules.CORE, outlier_rules.STEPS)
+    assert set(found) == set(want)
+    for g, ((mean, cov), _) in want.items():
+        factor = np.zeros((5, 5))
+        for j in range(5):
+            assert found[g][f"m{j}"] == pytest.approx(mean[j], abs=1e-9)
+            for k in range(j + 1):
+                factor[j, k] = found[g][f"f{j}_{k}"]
+        assert np.allclose(np.linalg.inv(factor.T @ factor), cov, rtol=1e-6, atol=1e-9)
+    # A sixth of the rows lie far off: the centre stays with the others.
+    assert abs(want[""][0][0]).max() < 0.15 and np.diag(want[""][0][1]).max() < 1.6
 
 
 def test_chi_square_tables():
