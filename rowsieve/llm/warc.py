@@ -16,10 +16,8 @@ from pyspark.sql import functions as F
 from rowsieve.session import scratch_path, settle
 
 VERSION = "WARC/1.1"
-#: Page bytes in one archive file, about; smaller files where that leaves cores idle.
-FILE_BYTES, LEAST_BYTES = 128 << 20, 4 << 20
-#: Records in one archive file at most.
-FILE_RECORDS = 300_000
+#: Page bytes in one archive file at most, by the mean size of a page.
+FILE_BYTES = 128 << 20
 #: The date of the records, unless one is given; fixed, so that reruns agree.
 DATE = "2024-01-01T00:00:00Z"
 #: A key with more than this share of the rows, and at least so many, is dealt to many tasks.
@@ -82,13 +80,13 @@ def spread_join(left: DataFrame, right: DataFrame, on: Sequence[str], spread_by:
 # --- writing -----------------------------------------------------------------------------------
 
 
-def mark_revisits(pages: DataFrame, min_bytes: int = 0, files: int | None = None) -> DataFrame:
+def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     """(page_id, uri, sha, html, copy, revisit, first_id, first_uri): pages as they are archived.
 
     Rows with equal payloads of at least ``min_bytes`` bytes form a group; the row that comes
     first by page_id (nulls last), then address, is its response; the others are revisits
     and name it. Only page_id, address and SHA-256 are grouped and joined by payload, hot payloads
-    dealt to many tasks; the payload itself is shuffled once, by row, to ``files`` partitions.
+    dealt to many tasks; the payload itself is shuffled once, by row.
     ``copy`` numbers rows equal in everything, the first of which counts as the response.
     """
     rows = pages.select(
@@ -116,13 +114,9 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0, files: int | None = None
     # One text for the three, which is never null, so rows, marks and numbers share a shuffle.
     key = F.to_json(F.struct("page_id", "uri", "sha"))
     marks = again.select(key.alias("row_key"), "first")
-    dealt = rows.withColumn("row_key", key)
-    # Both sides dealt alike: else the join would deal the payloads a second time.
-    if files:
-        dealt, marks = dealt.repartition(files, "row_key"), marks.repartition(files, "row_key")
     # Rows equal in everything are alike, so it does not matter which is numbered first.
     number = F.row_number().over(Window.partitionBy("row_key").orderBy("row_key")) - 1
-    marked = dealt.join(marks, "row_key", "left").withColumn("copy", number)
+    marked = rows.withColumn("row_key", key).join(marks, "row_key", "left").withColumn("copy", number)
     leads = (
         F.col("page_id").eqNullSafe(F.col("first.page_id"))
         & F.col("uri").eqNullSafe(F.col("first.uri"))
@@ -173,10 +167,9 @@ def write_archives(
     """
     spark = pages.sparkSession
     target = path or scratch_path(spark, "archives")
-    total = int(pages.agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 1500)).first()[0] or 0)
-    cores = 2 * spark.sparkContext.defaultParallelism
-    files = max(1, -(-total // file_bytes), min(-(-total // LEAST_BYTES), cores))
-    marked = mark_revisits(pages, min_bytes, files)
+    size = F.coalesce(F.octet_length("html"), F.lit(0)) + 1500
+    mean = float(pages.agg(F.avg(size)).first()[0] or 1500)
+    marked = mark_revisits(pages, min_bytes)
     own = [F.col(c) for c in ("page_id", "uri", "sha", "copy")]
     ids = {kind: _record_id(kind, *own) for kind in ("request", "capture", "metadata")}
     answered = _record_id(
@@ -227,7 +220,7 @@ def write_archives(
     ]
     rows = marked.select(F.explode(F.array(others[0], capture, others[1])).alias("value"))
     writer = rows.write.option("lineSep", _END * 2).option("compression", "gzip")
-    writer.option("maxRecordsPerFile", FILE_RECORDS).text(target)
+    writer.option("maxRecordsPerFile", 3 * max(1, int(file_bytes / mean))).text(target)
     return target
 
 
