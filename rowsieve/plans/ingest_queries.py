@@ -14,8 +14,8 @@ from rowsieve.plans.registry import query
 from rowsieve.plans.rule_queries import RULES
 from rowsieve.session import scratch_path
 from rowsieve.sources.delimited import ingest_delimited
-from rowsieve.sources.dispatch import with_route
-from rowsieve.sources.sinks import write_rows
+from rowsieve.sources.dispatch import ingest_folder, with_route
+from rowsieve.sources.sinks import CSV_OPTIONS, write_rows
 from rowsieve.sources.workbook import ingest_workbooks, pack_workbooks
 from rowsieve.sources.tables import EXPENSE_AS_OF, expenses, table
 
@@ -184,17 +184,43 @@ def reingest_strip(spark, sf_dir: str) -> DataFrame:
 @query(
     "reingest_ledger",
     twins.with_x(**LEDGER)
-    + """SELECT rule_no, count(*) AS errors FROM ledger WHERE rule_no < 8 GROUP BY rule_no""",
+    + """SELECT rule_no, count(*) AS errors FROM ledger GROUP BY rule_no""",
 )
 def reingest_ledger(spark, sf_dir: str) -> DataFrame:
-    """Rules find the same errors after a trip through files."""
+    """All rules, repeats among them, find the same errors after a trip through files."""
     path = scratch_path(spark, "csv")
-    write_rows(expenses(spark, sf_dir), path, "1", "csv")
+    write_rows(expenses(spark, sf_dir), path, "1", "csv", ordered=True)
     landed = ingest_delimited(spark, f"{path}/run_id=1").table
-    found = validate.row_errors(landed, RULES)
+    found = validate.error_ledger(landed, RULES)
     return found.groupBy("rule_no").agg(F.count("*").alias("errors"))
 
 
+def _mixed_folder(spark, sf_dir: str) -> str:
+    """The expense table as CSV files, and other files beside them."""
+    path = scratch_path(spark, "mixed")
+    x = expenses(spark, sf_dir)
+    ordered = x.repartitionByRange("row_index").sortWithinPartitions("row_index").drop("row_index")
+    ordered.write.options(**CSV_OPTIONS).csv(path)
+    x.select("vendor").distinct().coalesce(1).write.mode("append").text(path)
+    return path
+
+
+@query("folder_ingest", twins.with_x() + CLEANED + " FROM x")
+def folder_ingest(spark, sf_dir: str) -> DataFrame:
+    """The files of a folder that a reader takes."""
+    return ingest_folder(spark, _mixed_folder(spark, sf_dir)).delimited.table
+
+
+@query(
+    "rejected_files",
+    "SELECT 'Unsupported file type: txt' AS problem, 1 AS n FROM orders HAVING count(*) > 0",
+)
+def rejected_files(spark, sf_dir: str) -> DataFrame:
+    """Files no reader takes, with the reason."""
+    rejected = ingest_folder(spark, _mixed_folder(spark, sf_dir)).rejected
+    return rejected.groupBy("problem").agg(F.count("*").cast("int").alias("n"))
+
+
 @query("workbook_round_trip", twins.with_x() + CLEANED + " FROM x")
 def workbook_round_trip(spark, sf_dir: str) -> DataFrame:
     """The expense table packed into workbooks and read back."""

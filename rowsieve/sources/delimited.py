@@ -12,16 +12,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rowsieve.session import settle
+from rowsieve.sources import quoted
 from rowsieve.sources.landing import (
+    BAD,
+    BLOCK,
     FILE,
+    POSITION,
     Landed,
-    after_header,
+    check_headers,
     finish,
     number_rows,
     stage,
 )
 
 CORRUPT = "_corrupt_record"
+LINE = "_line"
 
 
 def unique_names(header: list[str]) -> list[str]:
@@ -64,7 +70,7 @@ def scan_delimited(
     """Lazy scan: all columns text, plus where each row came from.
 
     With ``header_row`` 0 the header lines are left out by the reader. Otherwise they are
-    still among the rows; :func:`rowsieve.sources.landing.after_header` takes them out.
+    still among the rows; :func:`rowsieve.sources.landing.number_rows` leaves them out.
     """
     header = read_header(spark, path, header_row, sep, pattern)
     names = unique_names(header)
@@ -83,7 +89,7 @@ def scan_delimited(
     )
     return reader.csv(path).select(
         *names, CORRUPT, F.col("_metadata.file_path").alias(FILE),
-        F.col("_metadata.file_block_start").alias("_block"),
+        F.col("_metadata.file_block_start").alias(BLOCK),
     )
 
 
@@ -97,11 +103,40 @@ def too_long(names: list[str], sep: str) -> Column:
     return F.coalesce((cells > len(names)) & has_rest, F.lit(False))
 
 
-def _open_quote(names: list[str]) -> Column:
-    """True where a cell begins with a quote after parsing: its line break may be inside it."""
-    return F.coalesce(
-        F.exists(F.array(*[F.col(c) for c in names]), lambda c: c.startswith('"')), F.lit(False)
+def _staged_lines(scan: DataFrame, names: list[str], sep: str) -> DataFrame:
+    """The scan written once; lines with too many cells are marked and kept as they are."""
+    bad = too_long(names, sep)
+    line = F.when(bad, F.col(CORRUPT)).alias(LINE)
+    return stage(scan.select(*[f"`{c}`" for c in names], FILE, BLOCK, bad.alias(BAD), line), "rows")
+
+
+def _staged_records(
+    spark: SparkSession, path: str, names: list[str], sep: str, pattern: str
+) -> DataFrame:
+    """Records with line breaks in cells, cut in splits; header lines are among them."""
+    lines = quoted.text_lines(spark, path, pattern)
+    cell = {f"c{i}": name for i, name in enumerate(names)}
+
+    def parsed(records: DataFrame, *more: str) -> DataFrame:
+        read = records.withColumn("_cells", quoted.cells(F.col("text"), len(names), sep, CORRUPT))
+        read = read.select(
+            FILE, BLOCK, POSITION, *more, F.col(f"_cells.{CORRUPT}"),
+            *[F.col(f"_cells.{c}").alias(name) for c, name in cell.items()],
+        )
+        bad = too_long(names, sep)
+        return read.withColumns({BAD: bad, LINE: F.when(bad, F.col(CORRUPT))}).drop(CORRUPT)
+
+    piece = F.when(F.col("piece") != quoted.RECORD, F.col("text")).alias("text")
+    cut = settle(
+        parsed(quoted.cut_records(lines, sep).withColumn("piece_text", piece), "piece", "piece_text"),
+        "records",
+    )
+    pieces = cut.filter(F.col("piece") != quoted.RECORD)
+    joined = quoted.joined_pieces(
+        pieces.select(FILE, BLOCK, POSITION, "piece", F.col("piece_text").alias("text"))
     )
+    whole = cut.filter(F.col("piece") == quoted.RECORD).drop("piece", "piece_text")
+    return whole.unionByName(settle(parsed(joined), "joined-records"))
 
 
 def ingest_delimited(
@@ -114,25 +149,23 @@ def ingest_delimited(
 ) -> Landed:
     """Read files, set over-long lines aside, number the rows and write them once.
 
-    Large files are split at line breaks. If a cell then looks like the first half of a quoted
-    line break, everything is read again with whole files in one task each, which keeps such
-    cells together; ``multi_line`` True or False settles this beforehand.
+    Large files are read in splits. Whether any quoted cell holds a line break is looked up
+    first, by one scan of the lines; then Spark's reader takes the lines, or records are cut
+    from the splits (:mod:`rowsieve.sources.quoted`). ``multi_line`` True or False settles that
+    beforehand.
     """
-    scan = scan_delimited(spark, path, header_row, sep, bool(multi_line), pattern)
-    names = [c for c in scan.columns if c not in (CORRUPT, FILE, "_block")]
-    if header_row:
-        header = read_header(spark, path, header_row, sep, pattern)
-        scan = after_header(scan, header_row + 1, names, header)
-    bad = too_long(names, sep)
-    rejected = scan.filter(bad).select(F.col(FILE).alias("file"), F.col(CORRUPT).alias("line"))
+    header = read_header(spark, path, header_row, sep, pattern)
+    names = unique_names(header)
     if multi_line is None:
-        # An over-long line can hold the open quote as well.
-        torn = _open_quote(names) | F.coalesce(F.col(CORRUPT).contains('"') & bad, F.lit(False))
-        staged = stage(scan.withColumns({"_bad": bad, "_torn": torn}).drop(CORRUPT), "rows")
-        if not staged.filter("_torn").isEmpty():
-            return ingest_delimited(spark, path, header_row, sep, True, pattern)
-        if not staged.filter("_bad").isEmpty():
-            staged = stage(scan.filter(~bad).drop(CORRUPT), "rows")
-        return finish(number_rows(staged.drop("_bad", "_torn")), names, rejected)
-    kept = stage(scan.filter(~bad).drop(CORRUPT), "rows")
-    return finish(number_rows(kept), names, rejected)
+        multi_line = quoted.has_line_breaks(spark, path, sep, pattern)
+    if multi_line:
+        staged, header_lines = _staged_records(spark, path, names, sep, pattern), header_row + 1
+    else:
+        scan = scan_delimited(spark, path, header_row, sep, False, pattern)
+        staged, header_lines = _staged_lines(scan, names, sep), header_row + 1 if header_row else 0
+    if header_lines and names == header:
+        check_headers(staged, header_lines, header, names)
+    table, rejected = number_rows(staged, header_lines)
+    return finish(
+        table.drop(LINE), names, rejected.select(F.col(FILE).alias("file"), F.col(LINE).alias("line"))
+    )

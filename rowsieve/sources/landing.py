@@ -2,15 +2,15 @@
 
 Rows are written once together with (file, block, running number in the task); the dense
 index is that number plus an offset per block. Offsets are one row per file block, so no
-global sort and no single-task window over the rows is needed.
+global sort and no single-task window over the rows is needed. Header lines and lines set aside
+are among the rows written and marked; only blocks with lines set aside are numbered anew.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -21,6 +21,7 @@ from rowsieve.session import settle
 FILE = "_file"
 BLOCK = "_block"
 POSITION = "_position"
+BAD = "_bad"
 
 
 class EmptyTableError(ValueError):
@@ -41,10 +42,8 @@ def stage(scan: DataFrame, name: str) -> DataFrame:
     return settle(scan.withColumn(POSITION, F.monotonically_increasing_id()), name)
 
 
-def _offsets(staged: DataFrame) -> DataFrame:
-    blocks = staged.groupBy(FILE, BLOCK).agg(
-        F.count("*").alias("_n"), F.min(POSITION).alias("_first")
-    )
+def _offsets(blocks: DataFrame) -> DataFrame:
+    """Rows before each block, from (file, block, _n, …), a row each."""
     in_file = Window.partitionBy(FILE).orderBy(BLOCK)
     # Files are added up in stretches by their folder, then inside a folder, so the one task
     # that orders everything sees one row a folder.
@@ -64,54 +63,70 @@ def _offsets(staged: DataFrame) -> DataFrame:
         blocks.withColumn("_in_file", F.sum("_n").over(in_file) - F.col("_n"))
         .join(starts, FILE)
         .withColumn("_overall", F.col("_file_start") + F.col("_in_file"))
-        .select(FILE, BLOCK, "_first", "_overall")
+        .drop("_in_file", "_file_start")
     )
 
 
-def _with_offsets(staged: DataFrame) -> DataFrame:
-    # A written table: Spark knows its bytes and broadcasts it while it is small.
-    return staged.join(settle(_offsets(staged), "offsets"), [FILE, BLOCK])
+class HeaderError(ValueError):
+    """Raised when a file's header differs from the first one's."""
 
 
-def after_header(
-    scan: DataFrame, header_lines: int, names: list[str], header: list[str]
-) -> DataFrame:
-    """Drop the first lines of every file, while it is read.
+def check_headers(staged: DataFrame, header_lines: int, header: list[str], names: list[str]) -> None:
+    """Every file's header must equal the first file's: their cells would be shifted otherwise.
 
-    A block is read by one task from its start, so lines are counted as they pass; only a
-    file's first block holds its header. The header itself must equal the first file's.
+    Only the first block of each file is read.
     """
-    columns = scan.columns
-    at_file, at_block = columns.index(FILE), columns.index(BLOCK)
-    cells = [columns.index(c) for c in names]
-
-    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        open_block, count = None, 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            files = batch.column(at_file).to_pylist()
-            starts = batch.column(at_block).to_pylist()
-            keep = []
-            for i, block in enumerate(zip(files, starts)):
-                if block != open_block:
-                    open_block, count = block, 0
-                if block[1] == 0 and count == header_lines - 1:
-                    found = [batch.column(c)[i].as_py() or "" for c in cells]
-                    if found != header:
-                        raise ValueError(f"{block[0]} has the columns {found}, not {header}")
-                keep.append(block[1] != 0 or count >= header_lines)
-                count += 1
-            yield batch if all(keep) else batch.filter(pa.array(keep))
-
-    return scan.mapInArrow(drop, scan.schema)
-
-
-def number_rows(staged: DataFrame) -> DataFrame:
-    """Add ``row_index`` 0..n-1 in (file, position) order."""
-    index = F.col("_overall") + F.col(POSITION) - F.col("_first")
-    numbered = _with_offsets(staged).withColumn("row_index", index)
-    return numbered.drop("_first", "_overall", BLOCK, POSITION)
+    first = staged.filter(F.col(BLOCK) == 0)
+    start = first.groupBy(FILE).agg(F.min(POSITION).alias("_first"))
+    differs = reduce(
+        lambda a, b: a | b,
+        [F.coalesce(F.col(f"`{c}`"), F.lit("")) != F.lit(h) for c, h in zip(names, header)],
+    )
+    line = F.col(POSITION) - F.col("_first") == header_lines - 1
+    wrong = first.join(start, FILE).filter(line & (differs | F.col(BAD))).head(1)
+    if wrong:
+        found = [wrong[0][c] or "" for c in names]
+        raise HeaderError(f"{wrong[0][FILE]} has the columns {found}, not {header}")
+
+
+def number_rows(staged: DataFrame, header_lines: int = 0) -> tuple[DataFrame, DataFrame]:
+    """(rows with ``row_index`` 0..n-1 in (file, position) order, lines set aside).
+
+    The first ``header_lines`` rows of every file are neither; a block is written by one task
+    from its start, so they are its first block's first positions.
+    """
+    place = staged.groupBy(FILE, BLOCK).agg(
+        F.count("*").alias("_all"), F.min(POSITION).alias("_first"), F.count_if(BAD).alias("_bad_n")
+    )
+    head = F.when(F.col(BLOCK) == 0, F.least(F.lit(header_lines), F.col("_all"))).otherwise(F.lit(0))
+    place = place.withColumn("_head", head.cast("long"))
+    after = F.col(POSITION) - F.col("_first") >= F.col("_head")
+    if header_lines:
+        # A title line can have too many cells; it is no line set aside.
+        place = settle(place, "places")
+        titles = staged.filter(F.col(BAD) & (F.col(BLOCK) == 0)).join(place, [FILE, BLOCK])
+        titles = titles.filter(~after).groupBy(FILE, BLOCK).agg(F.count("*").alias("_bad_titles"))
+        place = place.join(titles, [FILE, BLOCK], "left").withColumn(
+            "_bad_n", F.col("_bad_n") - F.coalesce("_bad_titles", F.lit(0))
+        )
+    counts = place.withColumn("_n", F.col("_all") - F.col("_head") - F.col("_bad_n"))
+    # A written table: Spark knows its bytes and broadcasts it while it is small.
+    offsets = settle(_offsets(counts.drop("_bad_titles")), "offsets")
+    placed = staged.join(offsets, [FILE, BLOCK]).filter(after)
+    made = [c for c in offsets.columns if c not in (FILE, BLOCK)]
+    index = F.col("_overall") + F.col(POSITION) - F.col("_first") - F.col("_head")
+    numbered = placed.withColumn("row_index", index)
+    if offsets.filter("_bad_n > 0").isEmpty():
+        kept = numbered
+    else:
+        in_block = Window.partitionBy(FILE, BLOCK).orderBy(POSITION)
+        anew = placed.filter(F.col("_bad_n") > 0).filter(~F.col(BAD))
+        anew = anew.withColumn("row_index", F.col("_overall") + F.row_number().over(in_block) - 1)
+        kept = numbered.filter(F.col("_bad_n") == 0).unionByName(anew)
+    return (
+        kept.drop(*made, BLOCK, POSITION, BAD),
+        placed.filter(BAD).drop(*made, BLOCK, POSITION, BAD),
+    )
 
 
 def normalise(df: DataFrame, names: list[str]) -> DataFrame:

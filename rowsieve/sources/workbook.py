@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowsieve.sources.delimited import unique_names
-from rowsieve.sources.landing import BLOCK, FILE, POSITION, Landed, finish, number_rows
+from rowsieve.sources.landing import BAD, BLOCK, FILE, POSITION, Landed, finish, number_rows
 from rowsieve.session import settle
 
 # --- fixed values -----------------------------------------------------------
@@ -31,7 +31,6 @@ DAY_ZERO_1904 = dt.datetime(1904, 1, 1)
 # --- end of fixed values ----------------------------------------------------
 
 ROWS_PER_FRAME = 10_000
-MAX_COLUMNS = 16_384
 WORKBOOK_ROWS = 100_000
 CELLS = f"{FILE} string, {POSITION} long, header array<string>, cells array<string>"
 
@@ -152,15 +151,14 @@ def ingest_workbooks(workbooks: DataFrame, header_row: int = 0) -> Landed:
         read_cells(workbooks, header_row).withColumn(BLOCK, F.lit(0).cast("long")), "workbooks"
     )
     found = cells.select(F.explode(F.array_distinct("header")).alias("name")).distinct()
-    names = sorted(r["name"] for r in found.limit(MAX_COLUMNS + 1).collect())
-    if len(names) > MAX_COLUMNS:
-        raise ValueError(f"workbooks have more than {MAX_COLUMNS} different columns")
+    names = sorted(r["name"] for r in found.collect())  # the columns of the table to be
     by_name = F.map_from_arrays("header", "cells")
     table = cells.withColumn("_row", by_name).select(
         FILE, BLOCK, POSITION, *[F.col("_row")[n].alias(n) for n in names]
     )
     rejected = cells.limit(0).select(F.col(FILE).alias("file"), F.lit("").alias("line"))
-    return finish(number_rows(table), names, rejected)
+    numbered, _ = number_rows(table.withColumn(BAD, F.lit(False)))
+    return finish(numbered, names, rejected)
 
 
 def scan_workbook_folder(spark: SparkSession, path: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import io
+import random
 import zipfile
 
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rowsieve.operators import package, validate
 from rowsieve.session import settle
-from rowsieve.sources import dispatch, landing, sinks
+from rowsieve.sources import dispatch, landing, quoted, sinks
 from rowsieve.sources.delimited import ingest_delimited, unique_names
 from rowsieve.sources.workbook import (
     ingest_workbooks,
@@ -94,6 +95,76 @@ def test_other_separator_and_line_breaks_in_cells(spark, tmp_path):
     assert collect(landed.table) == [(0, "two\nlines", "1"), (1, "x", "2")]
 
 
+def random_csv(rng, rows):
+    """Cells with line breaks, separators, quotes inside and in the middle of open cells."""
+    drawn = ["x", 'mid"dle', "two words", "n,o", 'say ""yes""', "a\nb", '\n\n', '",\n"', "1,\n2\n3", "é\r\nü", "tail\r"]
+    records, lines = [], []
+    for i in range(rows):
+        cells, parts = [f"r{i}"], [f"r{i}"]
+        for _ in range(2):
+            cell = rng.choice(drawn).replace('""', '"')
+            plain = cell in ("x", 'mid"dle', "two words")
+            cells.append(cell)
+            parts.append(cell if plain else '"' + cell.replace('"', '""') + '"')
+        records.append(cells)
+        lines.append(",".join(parts) + rng.choice(["", "", "\r"]))
+        if rng.random() < 0.1:
+            lines.append(rng.choice(["", "  "]))
+    return records, "id,a,b\n" + "\n".join(lines) + rng.choice(["", "\n"])
+
+
+@pytest.mark.parametrize("split, seed", [(90, 1), (400, 3)])
+def test_cells_with_line_breaks_in_small_splits(spark, tmp_path, split, seed):
+    rng = random.Random(seed)
+    folder, want = tmp_path / "split", []
+    folder.mkdir()
+    for name in ("f.csv", "g.csv"):
+        records, text = random_csv(rng, 25)
+        (folder / name).write_bytes(text.encode())
+        want += records
+    (folder / "h.csv").write_text('id,a,b\nlong,"' + "a line\n" * 60 + '",z\nlast,"open')
+    want += [["long", "a line\n" * 60, "z"], ["last", "open", None]]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        landed = ingest_delimited(spark, str(folder))
+        got = [tuple(r) for r in landed.table.orderBy("row_index").collect()]
+        assert quoted.has_line_breaks(spark, str(folder), ",")
+        lines = quoted.text_lines(spark, str(folder))
+        most = lines.groupBy(F.spark_partition_id()).agg(F.sum(F.length("value") + 1).alias("n"))
+        # No task reads a whole file: a split and the rest of its last line.
+        assert most.agg(F.max("n")).first()[0] <= split + 60
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == [(i, *cells) for i, cells in enumerate(want)]
+    assert landed.rejected.isEmpty()
+
+
+def test_splits_of_quotes_are_chained(spark):
+    # Split functions of every kind: none, fixed outside, fixed inside, turning.
+    made = [("f", 0, 'x,"open'), ("f", 9, "inside all of it"), ("f", 30, 'end",y'), ("f", 40, 'z,"a'),
+            ("f", 50, 'b","c'), ("f", 60, '"'), ("f", 70, "plain"), ("g", 0, "plain"), ("g", 9, 'a,"b"')]
+    lines = spark.createDataFrame([(v, f, b) for f, b, v in made], f"value string, {landing.FILE} string, {landing.BLOCK} long")
+    got = {(r[0], r[1]): r[2] for r in quoted.split_states(lines.coalesce(1), ",").collect()}
+    assert [k for k, inside in sorted(got.items()) if inside] == [("f", 9), ("f", 30), ("f", 50), ("f", 60)]
+
+
+def test_titles_and_long_lines_with_line_breaks(spark, tmp_path):
+    text = 'My report,,,,\nprinted,today\na,b\n"1\n2",x\n1,2,3\n3,4\n5,6,"7\n8"\n9,0\n'
+    folder = put(tmp_path / "titled", "f.csv", text)
+    landed = ingest_delimited(spark, folder, header_row=2)
+    assert collect(landed.table) == [(0, "1\n2", "x"), (1, "3", "4"), (2, "9", "0")]
+    assert collect(landed.rejected, "line") == [("1,2,3",), ('5,6,"7\n8"',)]
+    plain = put(tmp_path / "plain", "f.csv", text.replace('"1\n2"', "1").replace('"7\n8"', "7"))
+    landed = ingest_delimited(spark, plain, header_row=2)
+    assert collect(landed.table) == [(0, "1", "x"), (1, "3", "4"), (2, "9", "0")]
+    assert collect(landed.rejected, "line") == [("1,2,3",), ("5,6,7",)]
+    put(tmp_path / "plain", "g.csv", "t\nu\nb,a\n1,2\n")
+    with pytest.raises(landing.HeaderError, match="g.csv"):
+        ingest_delimited(spark, plain, header_row=2)
+
+
 def test_unique_names():
     assert unique_names(["a", "", "a", "a", "b"]) == ["a", "Unnamed: 1", "a.1", "a.2", "b"]
 
