@@ -98,6 +98,16 @@ class RunConfig:
     def cutoff(self) -> dt.date:
         return resolve_as_of(self.as_of)
 
+    @property
+    def settings(self) -> dict[str, str]:
+        """The settings as text, for a run's summary."""
+        centers = ",".join(f"{k}={v}" for k, v in sorted(self.cost_centers.items()))
+        return {
+            "as_of": str(self.cutoff),
+            "usd_rounding": self.usd_rounding,
+            "cost_center_map": centers,
+        }
+
     @property
     def usd_places(self) -> int:
         return 2 if self.usd_rounding == "cents" else 0

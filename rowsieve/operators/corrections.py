@@ -32,30 +32,49 @@ def _row_number(cell: Column) -> Column:
     return F.when(text.rlike(INTEGER_PATTERN), text.try_cast("bigint"))
 
 
-def with_fix_problem(fixes: DataFrame, table: DataFrame) -> DataFrame:
-    """Add ``problem``: why a fix cannot be applied, or null. Row indices run 0..n-1."""
-    row = _row_number(F.col("row_index"))
-    n_rows = table.select(F.count("*")).scalar()
-    typed = shown(F.col("row_index"))
+def with_fix_problem(
+    fixes: DataFrame, table: DataFrame, row_key: Sequence[str] = ROW_KEY
+) -> DataFrame:
+    """Add ``problem``: why a fix cannot be applied, or null. Row indices run 0..n-1 in a run.
+
+    With scope columns in front of the index (a run), each run's own rows bound its fixes; a run
+    without rows takes none.
+    """
+    *scope, index = row_key
+    row = _row_number(F.col(index))
+    typed = shown(F.col(index))
     problem = F.when(row.isNull(), render(NOT_INTEGER_TEXT, value=typed))
     if "fixes" in fixes.columns:
         empty = F.coalesce(F.size("fixes") < 1, F.lit(True))
         problem = problem.when(empty, F.lit(EMPTY_MAP_TEXT))
+    bounded = fixes
+    if scope:
+        # One row a run, counted in each task first.
+        sizes = table.groupBy(*scope).agg(F.count("*").alias("_n_rows"))
+        bounded = fixes.join(sizes, scope, "left")
+        n_rows = F.coalesce(F.col("_n_rows"), F.lit(0))
+    else:
+        n_rows = table.select(F.count("*")).scalar()
     problem = problem.when(
         (row < 0) | (row >= n_rows), render(OUT_OF_RANGE_TEXT, value=row.cast("string"))
     )
-    return fixes.withColumn("problem", problem)
+    return bounded.withColumn("problem", problem).select(*fixes.columns, "problem")
 
 
-def accepted_fixes(fixes: DataFrame, table: DataFrame) -> DataFrame:
-    """Fixes that can be applied, with a whole-number ``row_index``."""
-    usable = with_fix_problem(fixes, table).filter(F.col("problem").isNull()).drop("problem")
-    return usable.withColumn("row_index", _row_number(F.col("row_index")))
+def accepted_fixes(
+    fixes: DataFrame, table: DataFrame, row_key: Sequence[str] = ROW_KEY
+) -> DataFrame:
+    """Fixes that can be applied, with a whole-number row index."""
+    checked = with_fix_problem(fixes, table, row_key)
+    usable = checked.filter(F.col("problem").isNull()).drop("problem")
+    return usable.withColumn(row_key[-1], _row_number(F.col(row_key[-1])))
 
 
-def rejected_fixes(fixes: DataFrame, table: DataFrame) -> DataFrame:
+def rejected_fixes(
+    fixes: DataFrame, table: DataFrame, row_key: Sequence[str] = ROW_KEY
+) -> DataFrame:
     """Fixes that cannot be applied, with the reason in ``problem``."""
-    return with_fix_problem(fixes, table).filter(F.col("problem").isNotNull())
+    return with_fix_problem(fixes, table, row_key).filter(F.col("problem").isNotNull())
 
 
 def expand_row_fixes(row_fixes: DataFrame) -> DataFrame:
@@ -219,41 +238,59 @@ def apply_answers(
     skipped: DataFrame,
     answers: DataFrame,
     new_fields: Sequence[str] | None = None,
+    row_key: Sequence[str] = ROW_KEY,
+    fields: Sequence[str] | None = None,
 ) -> AnswerResult:
     """Apply a set of answers: ``skip_all`` alone, else fixes, then row fixes, then skips.
 
     ``answers`` has columns ``seq, kind, row_index, field, new_value, fixes`` with kind
-    ``fix``, ``row_fix``, ``skip`` or ``skip_all``.
+    ``fix``, ``row_fix``, ``skip`` or ``skip_all``. With scope columns in front of the index in
+    ``row_key`` all tables hold many runs, and every run gets the answers that carry its key: one
+    run's skip_all leaves the others' answers alone. Nothing is looked at beforehand, so the
+    upstream plan runs once. ``fields`` names the columns ledger errors can be on.
     """
-    if not answers.filter(F.col("kind") == "skip_all").isEmpty():
-        active = active_error_rows(df, ledger, skipped)
-        # Nothing to skip leaves the queue as it is; any skip empties it.
-        left = pending if active.isEmpty() else pending.limit(0)
-        return AnswerResult(
-            df, add_skips(skipped, active), left, _answer_counts(df.limit(0), active, left)
-        )
+    key = list(row_key)
+    scope = key[:-1]
+    whole = answers.filter(F.col("kind") == "skip_all").select(*scope, F.lit(True).alias("_all"))
+    single = _of_runs(answers.filter(F.col("kind") != "skip_all"), whole, scope, False)
 
-    applied = answered_cells(answers, df)
-    wanted = answers.filter(F.col("kind") == "skip").select("row_index")
-    taken = skippable_rows(wanted, ledger)
-    left = pop_review(pending, applied.select("row_index").union(taken))
+    active = active_error_rows(
+        _of_runs(df, whole, scope, True), ledger, skipped, key, fields
+    )
+    applied = answered_cells(single, df, key)
+    wanted = single.filter(F.col("kind") == "skip").select(*key)
+    taken = skippable_rows(wanted, ledger, key)
+    touched = applied.select(*key).union(taken.select(*key))
+    # A skip_all that skips anything empties its run's queue; one that skips nothing leaves it.
+    left = _of_runs(pop_review(pending, touched, key), active, scope, False)
+    skips = add_skips(taken, active, key)
     return AnswerResult(
-        apply_fixes(df, applied, new_fields),
-        add_skips(skipped, taken),
+        apply_fixes(df, applied, new_fields, key),
+        add_skips(skipped, skips, key),
         left,
-        _answer_counts(applied, taken, left),
+        _answer_counts(applied, taken.select(*key).union(active), left, scope),
     )
 
 
-def answered_cells(answers: DataFrame, df: DataFrame) -> DataFrame:
+def _of_runs(df: DataFrame, runs: DataFrame, scope: Sequence[str], inside: bool) -> DataFrame:
+    """Rows of the runs that occur in ``runs`` or, if not ``inside``, of the others."""
+    if scope:
+        return df.join(runs.select(*scope).distinct(), list(scope), "left_semi" if inside else "left_anti")
+    some = runs.select(F.count("*") > 0).scalar()
+    return df.filter(some if inside else ~some)
+
+
+def answered_cells(
+    answers: DataFrame, df: DataFrame, row_key: Sequence[str] = ROW_KEY
+) -> DataFrame:
     """The cell changes of an answer set; ``seq`` is (phase, seq), in the order they apply."""
     cell_fixes = answers.filter(F.col("kind") == "fix").drop("fixes", "kind")
     row_fixes = answers.filter(F.col("kind") == "row_fix").drop("field", "new_value", "kind")
-    cells = accepted_fixes(cell_fixes, df).select(
-        _answer_order("fix"), "row_index", "field", "new_value"
+    cells = accepted_fixes(cell_fixes, df, row_key).select(
+        _answer_order("fix"), *row_key, "field", "new_value"
     )
-    rows = expand_row_fixes(accepted_fixes(row_fixes, df)).select(
-        _answer_order("row_fix"), "row_index", "field", "new_value"
+    rows = expand_row_fixes(accepted_fixes(row_fixes, df, row_key)).select(
+        _answer_order("row_fix"), *row_key, "field", "new_value"
     )
     return cells.union(rows)
 
@@ -262,12 +299,19 @@ def _answer_order(kind: str) -> Column:
     return F.struct(F.lit(ANSWER_PHASES[kind]).alias("phase"), F.col("seq")).alias("seq")
 
 
-def _answer_counts(applied: DataFrame, skipped: DataFrame, pending: DataFrame) -> DataFrame:
-    return tally(
-        (applied, {"applied_count": F.count("*")}),
-        (skipped, {"skipped_count": F.count("*")}),
-        (pending, {"pending_count": F.count("*")}),
-    )
+def _answer_counts(
+    applied: DataFrame, skipped: DataFrame, pending: DataFrame, scope: Sequence[str] = ()
+) -> DataFrame:
+    """Applied cells, skipped rows and what is left in the queue: one row, or one a run."""
+    parts = {"applied_count": applied, "skipped_count": skipped, "pending_count": pending}
+    if not scope:
+        return tally(*[(df, {name: F.count("*")}) for name, df in parts.items()])
+    counted = None
+    for name, df in parts.items():
+        ones = [F.lit(int(other == name)).alias(other) for other in parts]
+        rows = df.select(*scope, *ones)
+        counted = rows if counted is None else counted.unionByName(rows)
+    return counted.groupBy(*scope).agg(*[F.sum(name).alias(name) for name in parts])
 
 
 def idle_runs(

@@ -167,19 +167,22 @@ def invalidate_cache(
     rules: RuleSet,
     fixed: DataFrame | None = None,
     skipped: DataFrame | None = None,
+    row_key: Sequence[str] = ROW_KEY,
 ) -> DataFrame:
     """Forget the old fingerprints of fixed rows; mark those of skipped rows as not valid.
 
-    Both arguments hold a ``row_fp`` column.
+    Both arguments hold a ``row_fp`` column and the scope columns of ``row_key`` (its run), as
+    the cache does: what one run fixes or skips leaves the entries of the others alone.
     """
+    entry = [*row_key[:-1], "row_fp"]
     if fixed is not None:
-        cache = cache.join(fixed.select("row_fp"), "row_fp", "left_anti")
+        cache = cache.join(fixed.select(*entry).distinct(), entry, "left_anti")
     if skipped is not None:
-        marks = skipped.select("row_fp").distinct()
+        marks = skipped.select(*entry).distinct()
         bad = marks.withColumns(
             {"is_valid": F.lit(False), "ruleset_hash": F.lit(rules.digest())}
         )
-        cache = cache.join(marks, "row_fp", "left_anti").unionByName(bad)
+        cache = cache.join(marks, entry, "left_anti").unionByName(bad)
     return cache
 
 

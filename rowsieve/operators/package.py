@@ -17,12 +17,35 @@ class PendingReviewError(RuntimeError):
     """Raised when results are asked for while rows still wait for a person."""
 
 
+def blocking(
+    pending: DataFrame,
+    table: DataFrame,
+    ledger: DataFrame,
+    skipped: DataFrame | None = None,
+    row_key: Sequence[str] = ROW_KEY,
+    fields: Sequence[str] | None = None,
+) -> DataFrame:
+    """(scope, reason, n): what keeps a run from being packaged; no row where nothing does.
+
+    ``queued`` errors wait for an answer; ``open`` rows are neither fixed nor skipped and still
+    show the cell they were reported for: they would leave as clean ones. ``fields`` names the
+    columns errors can be on; only these are read.
+    """
+    scope = list(row_key[:-1])
+    still = active_error_rows(table, ledger, skipped, row_key, fields)
+    reasons = pending.select(*scope, F.lit("queued").alias("reason")).unionByName(
+        still.select(*scope, F.lit("open").alias("reason"))
+    )
+    return reasons.groupBy(*scope, "reason").agg(F.count("*").alias("n"))
+
+
 def check_ready(
     status: str,
     pending: DataFrame,
     table: DataFrame | None = None,
     ledger: DataFrame | None = None,
     skipped: DataFrame | None = None,
+    fields: Sequence[str] | None = None,
 ) -> None:
     """Refuse to package while the review is open.
 
@@ -32,7 +55,7 @@ def check_ready(
     if status == "WAITING_FOR_USER" or not pending.isEmpty():
         raise PendingReviewError(f"status is {status}; answer the queued errors first")
     if table is not None and ledger is not None:
-        if not active_error_rows(table, ledger, skipped).isEmpty():
+        if not active_error_rows(table, ledger, skipped, fields=fields).isEmpty():
             raise PendingReviewError("rows with open errors are neither fixed nor skipped")
 
 

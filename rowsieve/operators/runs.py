@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from rowsieve.config import (
     NEXT_STATUSES,
     RESTART_STATUSES,
     TERMINAL_STATUSES,
+    RunConfig,
 )
 from rowsieve.operators.groups import PIECE_ROWS, value_before
 from rowsieve.operators.validate import tally
@@ -38,6 +41,24 @@ def run_detail(log: DataFrame, run_id) -> DataFrame:
     return latest_per_run(log.filter(F.col("run_id") == run_id))
 
 
+def confirm_runs(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """(run_id, row_count, status) of the runs in ``asked``: RUNNING with rows, FAILED without.
+
+    Only the run column of ``rows`` is read, counted in each task first.
+    """
+    sizes = rows.groupBy("run_id").agg(F.count("*").alias("row_count"))
+    counted = asked.select("run_id").distinct().join(sizes, "run_id", "left")
+    counted = counted.withColumn("row_count", F.coalesce("row_count", F.lit(0).cast("long")))
+    status = F.when(F.col("row_count") > 0, F.lit("RUNNING")).otherwise(F.lit("FAILED"))
+    return counted.select("run_id", "row_count", status.alias("status"))
+
+
+def without_runs(state: DataFrame, anew: DataFrame) -> DataFrame:
+    """What is left of a state table (ledger, fixes, skips, cache) of many runs when the runs in
+    ``anew`` are ingested again: they start with nothing."""
+    return state.join(anew.select("run_id").distinct(), "run_id", "left_anti")
+
+
 def with_transitions(log: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFrame:
     """Add the previous status, the time spent in it and whether the step is legal."""
     earlier = F.struct(F.col("status").alias("s"), F.col("ts").alias("t"))
@@ -71,12 +92,20 @@ def without_stale_idle(log: DataFrame, piece_rows: int = PIECE_ROWS) -> DataFram
 
 
 def run_summary(
-    df: DataFrame, ledger: DataFrame, pending: DataFrame, status: str, file_name: str
+    df: DataFrame,
+    ledger: DataFrame,
+    pending: DataFrame,
+    status: str,
+    file_name: str,
+    config: RunConfig | None = None,
+    artifacts: Mapping[str, str] | None = None,
 ) -> DataFrame:
-    """One row about a run: size, columns, error count and the first queued errors.
+    """One row about a run: size, columns, error count, the first queued errors, settings, outputs.
 
-    ``columns`` shows the first 50 names and ``columns_left_out`` how many follow.
+    ``columns`` shows the first 50 names and ``columns_left_out`` how many follow. ``settings`` and
+    ``artifacts`` (name to folder) are maps, empty where there is none.
     """
+    settings = config.settings if config else {}
     columns = [c for c in df.columns if c != "row_index"]
     counts = tally(
         (df, {"row_count": F.count("*")}),
@@ -95,4 +124,11 @@ def run_summary(
         "all_errors",
         "pending_review",
         lines.scalar().alias("first_errors"),
+        _text_map(settings).alias("settings"),
+        _text_map(artifacts or {}).alias("artifacts"),
     )
+
+
+def _text_map(items: Mapping[str, str]) -> Column:
+    cells = [F.lit(text) for pair in items.items() for text in pair]
+    return F.create_map(*cells).cast("map<string,string>")

@@ -259,6 +259,71 @@ def answer_skip_all(spark, sf_dir: str) -> DataFrame:
     return corrections.apply_answers(x, ledger, queue, sample_skips(x), answers).skipped
 
 
+def _many_runs(spark, sf_dir: str) -> corrections.AnswerResult:
+    """Three runs over the same rows: a is answered cell by cell, b skips all, c gets no answer."""
+    x = expenses(spark, sf_dir)
+    ledger = validate.error_ledger(x, RULES)
+
+    def in_runs(df: DataFrame, *names: str) -> DataFrame:
+        return df.withColumn("run_id", F.explode(F.array(*map(F.lit, names))))
+
+    kind = F.when(F.col("kind") == "skip", "skip_all").otherwise(F.col("kind"))
+    answers = in_runs(sample_answers(x), "a").unionByName(
+        in_runs(sample_answers(x).withColumn("kind", kind), "b")
+    )
+    return corrections.apply_answers(
+        in_runs(x, "a", "b", "c"),
+        in_runs(ledger, "a", "b", "c"),
+        in_runs(validate.review_batch(ledger), "a", "b", "c"),
+        in_runs(sample_skips(x), "a", "b"),
+        answers,
+        new_fields=["note"],
+        row_key=("run_id", "row_index"),
+        fields=RULE_FIELDS,
+    )
+
+
+@query(
+    "apply_answers_multi_run",
+    twins.with_x(**LEDGER, **FIXED, **ANSWERED)
+    + """SELECT 'a' AS run_id, * FROM z
+UNION ALL SELECT run_id, x.*, NULL AS note FROM (VALUES ('b'), ('c')) AS runs(run_id), x""",
+)
+def apply_answers_multi_run(spark, sf_dir: str) -> DataFrame:
+    return _many_runs(spark, sf_dir).table
+
+
+@query(
+    "answer_skips_multi_run",
+    twins.with_x(**LEDGER, taken=ANSWERED["taken"], skips=SKIPS)
+    + """SELECT 'a' AS run_id, row_index FROM (SELECT row_index FROM skips UNION SELECT row_index FROM taken)
+UNION ALL SELECT 'b', row_index FROM (SELECT row_index FROM skips UNION SELECT row_index FROM ledger)""",
+)
+def answer_skips_multi_run(spark, sf_dir: str) -> DataFrame:
+    return _many_runs(spark, sf_dir).skipped
+
+
+@query(
+    "rejected_fixes_multi_run",
+    """WITH sizes AS (SELECT o_orderstatus AS run_id, count(*) AS n FROM orders GROUP BY 1),
+asked AS (SELECT o_orderstatus AS run_id, o_orderkey AS seq, o_orderkey AS row_index FROM orders
+  UNION ALL SELECT 'none', o_orderkey, 0 FROM orders WHERE o_orderkey < 3)
+SELECT asked.run_id, seq, 'Row index ' || row_index || ' out of range.' AS problem
+FROM asked LEFT JOIN sizes ON asked.run_id = sizes.run_id WHERE row_index >= coalesce(n, 0)""",
+)
+def rejected_fixes_multi_run(spark, sf_dir: str) -> DataFrame:
+    """Each run's own rows bound its fixes; a run that has none takes none."""
+    orders = table(spark, sf_dir, "orders")
+    rows = orders.select(F.col("o_orderstatus").alias("run_id"), F.col("o_orderkey").alias("row_index"))
+    asked = rows.withColumn("seq", F.col("row_index")).unionByName(
+        rows.filter("row_index < 3").select(
+            F.lit("none").alias("run_id"), F.lit(0).cast("long").alias("row_index"), F.col("row_index").alias("seq")
+        )
+    )
+    refused = corrections.rejected_fixes(asked, rows, ("run_id", "row_index"))
+    return refused.select("run_id", "seq", "problem")
+
+
 NOW = "2024-01-30 12:00:00"
 
 
@@ -542,16 +607,71 @@ def run_stale_guard_hot(spark, sf_dir: str) -> DataFrame:
   (SELECT count(*) FROM ledger) AS all_errors,
   (SELECT count(*) FROM batch) AS pending_review,
   (SELECT string_agg(row_index || ':' || field, ',' ORDER BY row_index, rule_no)
-   FROM (SELECT * FROM batch ORDER BY row_index, rule_no LIMIT 5)) AS first_errors""",
+   FROM (SELECT * FROM batch ORDER BY row_index, rule_no LIMIT 5)) AS first_errors,
+  'as_of=2001-06-30;usd_rounding=cents;cost_center_map=ENG=300,FIN=100,HR=200,OPS=400' AS settings,
+  'success=out/success;errors=out/errors' AS artifacts""",
 )
 def run_summary(spark, sf_dir: str) -> DataFrame:
     x = expenses(spark, sf_dir)
     ledger = validate.error_ledger(x, RULES)
     queue = validate.review_batch(ledger)
-    line = runs.run_summary(x, ledger, queue, "WAITING_FOR_USER", "orders.csv")
+    line = runs.run_summary(
+        x, ledger, queue, "WAITING_FOR_USER", "orders.csv", CONFIG,
+        {"success": "out/success", "errors": "out/errors"},
+    )
     shown = F.transform(
         "first_errors", lambda e: F.concat_ws(":", e["row_index"].cast("string"), e["field"])
     )
+    flat = lambda m: F.array_join(
+        F.transform(F.map_entries(m), lambda e: F.concat_ws("=", e["key"], e["value"])), ";"
+    )
     return line.withColumns(
-        {"columns": F.array_join("columns", ","), "first_errors": F.array_join(shown, ",")}
+        {
+            "columns": F.array_join("columns", ","),
+            "first_errors": F.array_join(shown, ","),
+            "settings": flat("settings"),
+            "artifacts": flat("artifacts"),
+        }
     )
+
+
+@query(
+    "package_guard",
+    twins.with_x(**LEDGER, **FIXED, batch=BATCH, skips=SKIPS)
+    + f"""SELECT 'queued' AS reason, count(*) AS n FROM batch HAVING count(*) > 0
+UNION ALL SELECT 'open', count(*) FROM ({ACTIVE}) HAVING count(*) > 0""",
+)
+def package_guard(spark, sf_dir: str) -> DataFrame:
+    """What keeps the run from being packaged after the sample fixes and skips."""
+    x = expenses(spark, sf_dir)
+    ledger = validate.error_ledger(x, RULES)
+    return package.blocking(
+        validate.review_batch(ledger), fixed_expenses(x), ledger, sample_skips(x), fields=RULE_FIELDS
+    )
+
+
+@query(
+    "fresh_run_reset",
+    twins.with_x(skips=SKIPS) + "SELECT 'a' AS run_id, row_index FROM skips",
+)
+def fresh_run_reset(spark, sf_dir: str) -> DataFrame:
+    """Run b is ingested anew: its skips go, those of run a stay."""
+    skips = sample_skips(expenses(spark, sf_dir)).withColumn(
+        "run_id", F.explode(F.array(F.lit("a"), F.lit("b")))
+    )
+    anew = spark.createDataFrame([("b",)], "run_id string")
+    return runs.without_runs(skips, anew).select("run_id", "row_index")
+
+
+@query(
+    "confirm_runs",
+    """SELECT coalesce(o_orderstatus, run_id) AS run_id, count(o_orderkey) AS row_count,
+  CASE WHEN count(o_orderkey) > 0 THEN 'RUNNING' ELSE 'FAILED' END AS status
+FROM (VALUES ('F'), ('O'), ('P'), ('empty')) AS runs(run_id)
+LEFT JOIN orders ON o_orderstatus = run_id GROUP BY 1""",
+)
+def confirm_runs(spark, sf_dir: str) -> DataFrame:
+    """An ingest with rows goes on, one without has failed."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("run_id"))
+    asked = spark.createDataFrame([("F",), ("O",), ("P",), ("empty",)], "run_id string")
+    return runs.confirm_runs(orders, asked)

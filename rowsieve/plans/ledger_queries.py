@@ -382,3 +382,36 @@ def cache_invalidate(spark, sf_dir: str) -> DataFrame:
         skipped=prints.join(sample_skips(x), "row_index", "left_semi"),
     )
     return kept.select("row_fp", "is_valid")
+
+
+@query(
+    "cache_invalidate_multi_run",
+    twins.with_x(**{k: v for k, v in SECOND_PASS.items() if k in ("ledger", "f", "skips")})
+    + f"""SELECT run_id, row_fp, is_valid AND NOT skipped AS is_valid FROM (
+  SELECT run_id, row_fp,
+    arg_max(row_index NOT IN (SELECT row_index FROM ledger), row_index) AS is_valid,
+    run_id = 'a' AND bool_or(row_index IN (SELECT row_index FROM f)) AS touched,
+    run_id = 'b' AND bool_or(row_index IN (SELECT row_index FROM skips)) AS skipped
+  FROM (SELECT row_index, {twins.fingerprint(EXPENSE_COLUMNS)} AS row_fp FROM x),
+    (VALUES ('a'), ('b'), ('c')) AS runs(run_id)
+  GROUP BY run_id, row_fp) WHERE skipped OR NOT touched""",
+)
+def cache_invalidate_multi_run(spark, sf_dir: str) -> DataFrame:
+    """Run a fixes rows, run b skips some, run c does nothing: equal rows, caches of their own."""
+    key = ("run_id", "row_index")
+    x = expenses(spark, sf_dir)
+    runs = F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c")))
+    many = x.withColumn("run_id", runs)
+    cache = incremental.cache_of(incremental.row_states(many, RULES, row_key=key), RULES, key)
+    prints = with_fingerprint(x).select("row_index", "row_fp")
+    good = accepted_fixes(sample_fixes(x), x)
+    fixed = prints.join(good.select("row_index"), "row_index", "left_semi")
+    skipped = prints.join(sample_skips(x), "row_index", "left_semi")
+    kept = incremental.invalidate_cache(
+        cache,
+        RULES,
+        fixed=fixed.withColumn("run_id", F.lit("a")),
+        skipped=skipped.withColumn("run_id", F.lit("b")),
+        row_key=key,
+    )
+    return kept.select("run_id", "row_fp", "is_valid")

@@ -17,7 +17,7 @@ from rowsieve.session import scratch_path, settle
 from rowsieve.sources.landing import confirm_rows
 from rowsieve.sources.sinks import write_results
 
-# Gets the pass number and the queued errors (a handful of rows); returns answers, or None
+# Gets the pass number and the errors still queued (a handful of rows); returns answers, or None
 # when nobody replied in time, which skips everything still open.
 Reviewer = Callable[[int, DataFrame], DataFrame | None]
 
@@ -58,7 +58,9 @@ def run_review(
     The table is never rewritten: fixes pile up in one small overlay, and each pass refreshes
     the ledger from the rows it touched. Ledger, overlay and skip set are written to the
     shared folder after each pass, so plans stay short and a lost executor costs a re-read.
-    Passes go on until nothing is open; ``max_passes`` stops a reviewer that never helps.
+    A queue that is answered in part waits: the reviewer gets the rest of it, and only an empty
+    queue is validated again. Passes go on until nothing is open; ``max_passes`` stops a reviewer
+    that never helps.
     """
     rules = rules or expense_rules(config)
     report = RunReport(run_id)
@@ -87,6 +89,13 @@ def _review(
     skipped = spark.createDataFrame([], "row_index bigint")
     ledger = settle(validate.error_ledger(base, rules), "ledger", f"{work}/ledger/pass_no=1")
     pending = ledger.limit(0)
+    fields = [r.field for r in rules.row_rules] + ([rules.unique.field] if rules.unique else [])
+
+    def with_fixes() -> DataFrame:
+        """The landed table under all fixes so far, later passes and turns over earlier ones."""
+        fixes = spark.read.parquet(f"{work}/fixes")
+        order = F.struct("pass_no", "turn", "seq.phase", "seq.seq")
+        return corrections.apply_fixes(base, fixes.withColumn("seq", order))
 
     for pass_no in itertools.count(1):
         if max_passes is not None and pass_no > max_passes:
@@ -97,33 +106,44 @@ def _review(
             report.enter("VALIDATING")
             break
         report.enter("WAITING_FOR_USER")
-        queue = validate.review_batch(ledger, REVIEW_BATCH_ROWS)
-        answers = reviewer(pass_no, settle(queue, "queue"))
-        if answers is None or not answers.filter("kind = 'skip_all'").isEmpty():
-            active = corrections.active_error_rows(table, ledger, skipped)
-            skipped = settle(corrections.add_skips(skipped, active), "skips")
-            report.enter("RUNNING")
+        queue = settle(validate.review_batch(ledger, REVIEW_BATCH_ROWS), "queue")
+        left = queue.count()
+        open_rows_skipped = False
+        before = table
+        for turn in itertools.count(1):
+            answers = reviewer(pass_no, queue)
+            if answers is None or not answers.filter("kind = 'skip_all'").isEmpty():
+                active = corrections.active_error_rows(table, ledger, skipped, fields=fields)
+                skipped = settle(corrections.add_skips(skipped, active), "skips")
+                open_rows_skipped = True
+                break
+            changed = settle(
+                corrections.answered_cells(answers, base),
+                "fixes",
+                f"{work}/fixes/pass_no={pass_no}/turn={turn}",
+            )
+            asked = answers.filter("kind = 'skip'").select("row_index")
+            taken = settle(corrections.skippable_rows(asked, ledger), "taken")
+            skipped = settle(corrections.add_skips(skipped, taken), "skips")
+            table = with_fixes()
+            # Wait for the rest of the queue; an answer that takes nothing off it ends the wait.
+            touched = changed.select("row_index").union(taken)
+            queue = settle(corrections.pop_review(queue, touched), "queue")
+            was, left = left, queue.count()
+            if left in (0, was):
+                break
+        report.enter("RUNNING")
+        if open_rows_skipped:
             break
-        changed = settle(
-            corrections.answered_cells(answers, table), "fixes", f"{work}/fixes/pass_no={pass_no}"
-        )
-        asked = answers.filter("kind = 'skip'").select("row_index")
-        taken = corrections.skippable_rows(asked, ledger)
-        skipped = settle(corrections.add_skips(skipped, taken), "skips")
-        # All fixes so far, later passes over earlier ones, laid over the landed table.
-        fixes = spark.read.parquet(f"{work}/fixes").withColumn(
-            "seq", F.struct("pass_no", "seq.phase", "seq.seq")
-        )
-        before, table = table, corrections.apply_fixes(base, fixes)
+        changed = spark.read.parquet(f"{work}/fixes/pass_no={pass_no}").drop("turn")
         ledger = settle(
             incremental.refresh_ledger(before, table, changed, ledger, rules, skipped),
             "ledger",
             f"{work}/ledger/pass_no={pass_no + 1}",
         )
-        report.enter("RUNNING")
 
     history = spark.read.parquet(f"{work}/ledger")
-    package.check_ready(report.status, pending, table, ledger, skipped)
+    package.check_ready(report.status, pending, table, ledger, skipped, fields)
     report.enter("PACKAGING")
     success, errors = package.split_rows(table, skipped, history, config)
     report.counts = write_results(success, errors, out, report.run_id)
