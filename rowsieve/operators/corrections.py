@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from rowsieve.config import REVIEW_TIMEOUT_SECONDS
 from rowsieve.functions.text import render, shown
-from rowsieve.operators.groups import PIECE_ROWS, hot_keys, value_before
+from rowsieve.operators.groups import PIECE_ROWS, value_before
 from rowsieve.operators.validate import ROW_KEY, tally
 
 # --- fixed values -----------------------------------------------------------
@@ -327,16 +327,13 @@ def review_sessions(
     actions: DataFrame,
     timeout_seconds: int = REVIEW_TIMEOUT_SECONDS,
     piece_rows: int = PIECE_ROWS,
-    piece_hours: int = 24,
 ) -> DataFrame:
     """Stretches of actions of a run with no pause above the timeout; each ends in an auto-skip.
 
-    ``actions`` holds ``run_id, ts``. A busy run is cut into pieces of ``piece_hours``, and
+    ``actions`` holds ``run_id, ts``. A busy run is cut into pieces of ``piece_rows``, and
     counting is combined per task, so no task holds a whole run.
     """
-    hot = hot_keys(actions.select("run_id"), ["run_id"], piece_rows)
-    width = piece_hours * 3_600_000_000
-    pieces = {"piece_rows": width, "hot": hot}
+    pieces = {"piece_rows": piece_rows}
     timeout = timeout_seconds * 1_000_000
     rows = actions.select("run_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     seen = value_before(rows, ["run_id"], "at", F.col("at"), "before", **pieces)

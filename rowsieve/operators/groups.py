@@ -1,20 +1,27 @@
 """Grouped look-back and lookups that survive one key holding a third of all rows.
 
-The plan is the plain Spark one (a window, a join) unless a one-pass sketch finds keys
-that are too big for a single task; only those keys are then cut into pieces. The sketch
+Look-back: a table that one task can hold is a plain window. A larger one is range-partitioned by
+key and order, so a key of any size is cut by rank; each piece hands its last value to the next.
+Lookups: keys that a one-pass sketch finds too big for a task are salted; the sketch
 decides how work is spread, never which rows are kept.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-# A key with more rows than this is cut into pieces of at most this many rows.
+from rowsieve.session import settle
+
+# Rows one task orders; more are cut into pieces of about this many.
 PIECE_ROWS = 1_000_000
 # Keys tracked by the sketch; a key above roughly 1/2000 of all rows cannot be missed.
 TRACKED_KEYS = 10_000
@@ -59,49 +66,115 @@ def value_before(
     name: str,
     skip_nulls: bool = False,
     piece_rows: int = PIECE_ROWS,
-    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Add ``name``: the value of the closest earlier row (by ``order``) with the same keys.
 
-    ``order`` is a whole number; a hot key is cut where it passes a multiple of
-    ``piece_rows``. Rows of equal order come in any order. With ``skip_nulls`` the closest
-    earlier non-null value is taken. Null keys form a group of their own.
+    Rows of equal order come in any order, but one. With ``skip_nulls`` the closest earlier
+    non-null value is taken. Null keys form a group of their own. Up to ``piece_rows`` rows, which
+    bound any key, are one window; beyond that see :func:`ranged_pieces`.
     """
-    hot = hot_keys(df, keys, piece_rows) if hot is None else hot
-    if not hot:
+    rows = df.count()
+    if rows <= piece_rows:
         window = Window.partitionBy(*keys).orderBy(order)
         return df.withColumn(name, _look_back(value, window, skip_nulls))
-
-    # Boxed, so that "no earlier row" and "an earlier row holding null" stay apart.
-    boxed = F.struct(value.alias("v"))
-    if skip_nulls:
-        boxed = F.when(value.isNotNull(), boxed)
-    piece = F.when(hot.test(keys), F.floor(F.col(order) / piece_rows).cast("long"))
-    boxed_rows = df.withColumn("_piece", F.coalesce(piece, F.lit(-1))).withColumn("_boxed", boxed)
-    window = Window.partitionBy(*keys, "_piece").orderBy(order)
-    local = boxed_rows.withColumn("_local", _look_back(F.col("_boxed"), window, skip_nulls))
-
-    # One row per piece of a hot key: its last value, handed on to the next piece.
-    tails = (
-        boxed_rows.filter(F.col("_piece") >= 0)
-        .groupBy(*keys, "_piece")
-        .agg(
-            F.max_by("_boxed", F.when(F.col("_boxed").isNotNull(), F.col(order))).alias("_tail")
-        )
+    pieces = settle(ranged_pieces(df, keys, order, value, name, skip_nulls, rows, piece_rows), "pieces")
+
+    # One row a piece: its first and last key, and the value it hands on.
+    boxed = F.struct(F.col("_value").alias("v"))
+    place = F.struct("_key", order, "_tie")
+    handed = F.when(F.col("_value").isNotNull(), place) if skip_nulls else place
+    ends = pieces.groupBy("_piece").agg(
+        F.min("_key").alias("_first_key"),
+        F.max_by(F.struct(F.col("_key").alias("k"), boxed.alias("b")), handed).alias("_tail"),
     )
-    before = Window.partitionBy(*keys).orderBy("_piece")
-    carried = tails.select(
-        *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)],
-        F.col("_piece").alias("_kp"),
-        _look_back(F.col("_tail"), before, True).alias("_carry"),
+    # Keys rise from piece to piece, so a tail with another key than the first one here is over.
+    before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
+    tail = F.last("_tail", ignorenulls=True).over(before)
+    carry = ends.withColumn("_tail", tail).filter("_tail.k = _first_key")
+    carry = carry.select("_piece", F.col("_first_key").alias("_carry_key"), F.col("_tail.b").alias("_carry"))
+    joined = pieces.join(F.broadcast(carry), "_piece", "left")  # a row a piece
+    opens = F.col("_open") & (F.col("_key") == F.col("_carry_key"))
+    found = F.when(opens, F.col("_carry.v")).otherwise(F.col(name))
+    return joined.withColumn(name, found).select(*df.columns, name)
+
+
+def ranged_pieces(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    value: Column,
+    name: str,
+    skip_nulls: bool,
+    rows: int,
+    piece_rows: int,
+) -> DataFrame:
+    """``df`` sorted by key and order over pieces of about ``piece_rows`` rows, with ``name`` as
+    far as a piece knows it.
+
+    Spark samples the ranges, so a piece is cut by rank: sparse, dense and equal order values
+    give pieces of one size, as rows of equal order are told apart by a hash of their cells
+    (only rows alike in everything stay together). Adds ``_piece``, the key as text ``_key``,
+    ``_tie``, ``_value`` and ``_open``: the rows whose value may lie in an earlier piece.
+    """
+    width = max(-(-rows // piece_rows), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    flat = [c for c, t in df.dtypes if "map<" not in t]
+    made = df.withColumns(
+        {
+            "_key": F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])),
+            "_tie": F.xxhash64(*flat),
+            "_value": value,
+        }
     )
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    on = reduce(lambda a, b: a & b, same, F.col("_piece") == F.col("_kp"))
-    return (
-        local.join(carried, on, "left")
-        .withColumn(name, F.coalesce("_local", "_carry")["v"])
-        .select(*df.columns, name)
+    by = ["_key", order, "_tie"]
+    ranged = made.repartitionByRange(width, *by).sortWithinPartitions(*by)
+    schema = T.StructType(
+        [*ranged.schema, T.StructField(name, ranged.schema["_value"].dataType),
+         T.StructField("_open", T.BooleanType()), T.StructField("_piece", T.IntegerType())]
     )
+    at_key, at_value = ranged.columns.index("_key"), ranged.columns.index("_value")
+
+    def look_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        piece = TaskContext.get().partitionId()
+        first_key = last_key = None  # of the piece, and of the row before
+        carry = None  # the value that row hands on, as an array of one; None if there is none
+        open_run = True  # still in the piece's first key, and nothing handed on yet
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            key, values = batch.column(at_key), batch.column(at_value)
+            first_key = key[0].as_py() if first_key is None else first_key
+            starts = np.ones(n, bool)
+            starts[1:] = pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+            starts[0] = key[0].as_py() != last_key
+            if starts[0]:
+                carry = None
+            # Place of the row whose value is handed on: 0 the carried one, i + 1 row i.
+            given = pc.is_valid(values).to_numpy(zero_copy_only=False) if skip_nulls else np.ones(n, bool)
+            run = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
+            latest = np.maximum.accumulate(np.where(given, np.arange(1, n + 1), 0))
+            before = np.concatenate([[0], latest[:-1]])
+            carried = (run == 0) & (before == 0) & (not starts[0]) & (carry is not None)
+            known = before > run
+            from_row = np.where(known, before, 0)
+            pool = pa.concat_arrays([carry if carry is not None else values[:1], values])
+            found = pool.take(pa.array(from_row, mask=~(known | carried)))
+            is_open = ~(known | carried)
+            in_first = np.zeros(n, bool)
+            if open_run:
+                in_first = pc.equal(key, first_key).to_numpy(zero_copy_only=False)
+                open_run = bool(in_first[-1])
+            is_open &= in_first
+            cols = [*batch.columns, found, pa.array(is_open), pa.array([piece] * n, pa.int32())]
+            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+            # What the last row's key has handed on by now.
+            if latest[-1] > run[-1]:
+                carry = values[latest[-1] - 1 : latest[-1]]
+            elif run[-1] > 0 or starts[0]:
+                carry = None
+            last_key = key[n - 1].as_py()
+
+    return ranged.mapInArrow(look_back, schema)
 
 
 def _look_back(value: Column, window, skip_nulls: bool) -> Column:

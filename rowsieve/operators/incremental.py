@@ -16,7 +16,6 @@ from rowsieve.functions.text import shown
 from rowsieve.operators.groups import (
     BROADCAST_ROWS,
     PIECE_ROWS,
-    hot_keys,
     if_small,
     lookup_join,
 )
@@ -61,11 +60,7 @@ def row_states(
         *[text.alias(name) for name, text in keys.items()],
     )
     if rules.unique is not None:
-        # Looked for on the key columns alone, so the sketch does not pay for the rules.
-        scope = row_key[:-1]
-        narrow = df.select(*scope, *[text.alias(name) for name, text in keys.items()])
-        hot = hot_keys(narrow, [*scope, *keys], piece_rows)
-        rows = with_previous_row(rows, list(keys), row_key, piece_rows, hot)
+        rows = with_previous_row(rows, list(keys), row_key, piece_rows)
     else:
         rows = rows.withColumn("prev_row", F.lit(None).cast("long"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rowsieve.config import REVIEW_BATCH_ROWS
 from rowsieve.functions.text import render, shown
-from rowsieve.operators.groups import PIECE_ROWS, HotKeys, value_before
+from rowsieve.operators.groups import PIECE_ROWS, value_before
 from rowsieve.operators.rules import RuleSet, UniqueRule
 
 LEDGER_FIELDS = ("rule_no", "field", "current_value", "error_message")
@@ -42,12 +42,11 @@ def repeated_rows(
     columns: Sequence[str],
     row_key: Sequence[str] = ROW_KEY,
     piece_rows: int = PIECE_ROWS,
-    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Rows that have an earlier row with the same ``columns``, with its index as ``prev_row``."""
     keys = key_texts(df, columns)
     narrow = df.select(*row_key, *[text.alias(name) for name, text in keys.items()])
-    seen = with_previous_row(narrow, list(keys), row_key, piece_rows, hot)
+    seen = with_previous_row(narrow, list(keys), row_key, piece_rows)
     return seen.filter(F.col("prev_row").isNotNull())
 
 
@@ -56,12 +55,11 @@ def with_previous_row(
     keys: Sequence[str],
     row_key: Sequence[str],
     piece_rows: int = PIECE_ROWS,
-    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Add ``prev_row``, the closest earlier row with the same keys; one shuffle by key."""
     *scope, index = row_key
     return value_before(
-        df, [*scope, *keys], index, F.col(index), "prev_row", piece_rows=piece_rows, hot=hot
+        df, [*scope, *keys], index, F.col(index), "prev_row", piece_rows=piece_rows
     )
 
 
@@ -81,10 +79,9 @@ def duplicate_errors(
     rule: UniqueRule,
     row_key: Sequence[str] = ROW_KEY,
     piece_rows: int = PIECE_ROWS,
-    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Ledger rows of the unique rule."""
-    repeats = repeated_rows(df, rule.columns, row_key, piece_rows, hot)
+    repeats = repeated_rows(df, rule.columns, row_key, piece_rows)
     entry = [value.alias(name) for name, value in duplicate_entry(rule).items()]
     return repeats.select(*row_key, *entry)
 

@@ -371,7 +371,7 @@ def review_sessions(spark, sf_dir: str) -> DataFrame:
 def review_sessions_hot(spark, sf_dir: str) -> DataFrame:
     """The same with every run above 20 actions cut into pieces of six hours."""
     return session_rows(
-        corrections.review_sessions(actions(spark, sf_dir), piece_rows=20, piece_hours=6)
+        corrections.review_sessions(actions(spark, sf_dir), piece_rows=20)
     )
 
 

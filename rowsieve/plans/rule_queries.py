@@ -197,3 +197,20 @@ def rule_enum_typed(spark, sf_dir: str) -> DataFrame:
     rules = RuleSet((AllowedRule(1, "l_linenumber", ("1", "2", "3"), "line {value} is not allowed"),))
     key = ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
     return row_errors(table(spark, sf_dir, "lineitem").select(*key), rules, key)
+
+
+@query(
+    "rule_unique_sparse_order",
+    """SELECT place, prev_place FROM (
+  SELECT o_orderkey * o_orderkey AS place, lag(o_orderkey * o_orderkey) OVER (
+    PARTITION BY o_orderstatus = 'P' ORDER BY o_orderkey) AS prev_place FROM orders)
+WHERE prev_place IS NOT NULL""",
+)
+def rule_unique_sparse_order(spark, sf_dir: str) -> DataFrame:
+    """Nearly all rows share a key, and their order values have ever wider gaps."""
+    orders = table(spark, sf_dir, "orders").select(
+        (F.col("o_orderkey") * F.col("o_orderkey")).alias("place"),
+        (F.col("o_orderstatus") == "P").cast("string").alias("is_p"),
+    )
+    repeats = repeated_rows(orders, ["is_p"], ["place"], piece_rows=1_000)
+    return repeats.select("place", F.col("prev_row").alias("prev_place"))

@@ -182,7 +182,7 @@ def test_idle_runs_and_sessions(spark):
     ).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     idle = corrections.idle_runs(log, "2024-01-01 10:30:00")
     assert collect(idle, "run_id") == [("a",)]
-    for options in ({}, {"piece_rows": 1, "piece_hours": 1}):
+    for options in ({}, {"piece_rows": 1}):
         sessions = corrections.review_sessions(log, **options)
         shown = [(r["run_id"], f"{r['timed_out']:%H:%M:%S}", r["n_actions"])
                  for r in sessions.orderBy("run_id", "started").collect()]

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rowsieve.operators.groups import hot_keys, if_small, lookup_join, value_before
+from rowsieve.operators.groups import if_small, lookup_join, ranged_pieces, value_before
 from tests.helpers import collect
 
 
@@ -36,17 +36,32 @@ def test_value_before_equals_brute_force(spark, skip_nulls, piece_rows):
     assert collect(got, "i", "prev") == brute_force(rows, skip_nulls)
 
 
-def test_value_before_cuts_hot_keys_into_bounded_groups(spark):
-    rows = [(i, "hot", i) for i in range(300)] + [(300 + i, f"k{i}", i) for i in range(300)]
+@pytest.mark.parametrize("order", ["sparse", "dense", "equal"])
+def test_pieces_of_a_hot_key_have_one_size(spark, order):
+    # Three quarters of the rows share a key; gaps of the order grow, are 1, or there are none.
+    place = {"sparse": lambda i: i**3, "dense": lambda i: i, "equal": lambda i: 5}[order]
+    rows = [(place(i), "hot" if i % 4 else f"k{i}", i) for i in range(4000)]
     df = spark.createDataFrame(rows, "i bigint, k string, v bigint")
-    hot = hot_keys(df, ["k"], 50)
-    assert len(hot.hashes) == 1 and hot.largest == 300
-    piece = F.when(hot.test(["k"]), F.floor(F.col("i") / 50))
-    largest = df.groupBy("k", piece).count().agg(F.max("count")).first()[0]
-    assert largest == 50
-
-
-def test_no_hot_keys_means_a_plain_window(spark):
+    pieces = ranged_pieces(df, ["k"], "i", F.col("v"), "prev", False, 4000, 400)
+    sizes = [r["count"] for r in pieces.groupBy("_piece").count().collect()]
+    assert len(sizes) >= 8 and sum(sizes) == 4000 and max(sizes) <= 700
+    got = value_before(df, ["k"], "i", F.col("v"), "prev", piece_rows=400)
+    if order != "equal":
+        assert collect(got, "v", "prev") == brute_force([(v, k, v) for _, k, v in rows], False)
+    else:  # any order, but one: every row but the last is before exactly one other
+        seen = [r["prev"] for r in got.filter("k = 'hot'").collect()]
+        assert seen.count(None) == 1 and len(set(seen)) == 3000
+
+
+def test_values_of_any_type_pass_over_empty_pieces(spark):
+    rows = [(i, None if i % 3 else "x", (i % 7, [f"v{i}"]) if i in (4, 90) else None) for i in range(200)]
+    df = spark.createDataFrame(rows, "i bigint, k string, v struct<a: int, b: array<string>>")
+    got = value_before(df, ["k"], "i", F.col("v"), "prev", skip_nulls=True, piece_rows=10)
+    want = brute_force(rows, True)
+    assert sorted(((r["i"], r["prev"] and tuple(r["prev"])) for r in got.collect()), key=repr) == want
+
+
+def test_a_small_table_is_a_plain_window(spark):
     df = spark.range(100).select(F.col("id").alias("i"), (F.col("id") % 50).alias("k"))
     got = value_before(df, ["k"], "i", F.col("i"), "prev")
     plan = got._jdf.queryExecution().executedPlan().toString()
