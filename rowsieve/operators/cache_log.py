@@ -1,9 +1,4 @@
-"""The fingerprint cache as a log: versions, removals and compaction.
-
-Below a folder, ``part=log/version=n`` holds the entries that version n wrote and
-``part=base/version=n`` everything up to n put together. A version is written whole and may be
-written again, by a batch that is replayed, with the same result.
-"""
+"""The fingerprint cache as a log of versions with removals (see :mod:`keyed_log`)."""
 
 from __future__ import annotations
 
@@ -12,21 +7,21 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowsieve.operators import keyed_log
 from rowsieve.operators.validate import ROW_KEY
 
-_FIELDS = ("ruleset_hash", "row_fp", "is_valid", "is_removed")
-
 
-def _schema(entries: DataFrame, row_key: Sequence[str]) -> DataFrame:
-    removed = F.col("is_removed") if "is_removed" in entries.columns else F.lit(False)
-    return entries.withColumn("is_removed", removed).select(*row_key[:-1], *_FIELDS)
+def _key(row_key: Sequence[str]) -> list[str]:
+    return [*row_key[:-1], "ruleset_hash", "row_fp"]
 
 
 def append_version(
     entries: DataFrame, path: str, version: int, row_key: Sequence[str] = ROW_KEY
 ) -> None:
     """Write the entries of one version: (scope, ruleset_hash, row_fp, is_valid[, is_removed])."""
-    _schema(entries, row_key).write.mode("overwrite").parquet(f"{path}/part=log/version={version}")
+    removed = F.col("is_removed") if "is_removed" in entries.columns else F.lit(False)
+    rows = entries.withColumn("is_removed", removed)
+    keyed_log.append_version(rows.select(*_key(row_key), "is_valid", "is_removed"), path, version)
 
 
 def removals(fixed: DataFrame, digest: str, row_key: Sequence[str] = ROW_KEY) -> DataFrame:
@@ -39,31 +34,11 @@ def removals(fixed: DataFrame, digest: str, row_key: Sequence[str] = ROW_KEY) ->
 def current_cache(
     spark: SparkSession, path: str, before: int | None = None, row_key: Sequence[str] = ROW_KEY
 ) -> DataFrame:
-    """The entries in force, those of versions below ``before`` if given; an entry's last one counts.
-
-    Reads the latest base and the versions after it: folders are picked by name. The last entry
-    of a fingerprint is found by an aggregation that is combined before the shuffle.
-    """
-    log = spark.read.parquet(path)
-    if before is not None:
-        log = log.filter(F.col("version") < before)
-    base = log.filter("part = 'base'").agg(F.max("version")).first()[0]
-    if base is not None:
-        newer = (F.col("part") == "log") & (F.col("version") > base)
-        log = log.filter(newer | ((F.col("part") == "base") & (F.col("version") == base)))
-    else:
-        log = log.filter("part = 'log'")
-    key = [*row_key[:-1], "ruleset_hash", "row_fp"]
-    last = F.max_by(F.struct("is_valid", "is_removed"), F.col("version")).alias("last")
-    entries = log.groupBy(*key).agg(last).filter("NOT last.is_removed")
-    return entries.select(*row_key[:-1], "row_fp", "last.is_valid", "ruleset_hash")
+    """The entries in force, those of versions below ``before`` if given; an entry's last one counts."""
+    entries = keyed_log.current_rows(spark, path, _key(row_key), before).filter("NOT is_removed")
+    return entries.select(*row_key[:-1], "row_fp", "is_valid", "ruleset_hash")
 
 
 def compact(spark: SparkSession, path: str, version: int, row_key: Sequence[str] = ROW_KEY) -> None:
-    """Put all versions up to ``version`` together in one base, clustered by fingerprint.
-
-    Readers turn to it once its write has been committed; until then they use the log.
-    """
-    entries = current_cache(spark, path, version + 1, row_key)
-    dealt = _schema(entries, row_key).repartition("row_fp").sortWithinPartitions("row_fp")
-    dealt.write.mode("overwrite").parquet(f"{path}/part=base/version={version}")
+    """Put all versions up to ``version`` together; removed entries go."""
+    keyed_log.compact(spark, path, _key(row_key), version, "NOT is_removed")

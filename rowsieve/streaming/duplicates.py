@@ -1,28 +1,22 @@
 """Repeated keys across batches.
 
 Within a batch the batch operator finds repeats, hot keys cut into pieces. Across batches
-only one span per key and batch (first row, last row) goes through keyed state, so a key
-that holds a third of a batch is one row there.
+a table of each key's last row is kept as versions, one a batch: only the first row of a key in a
+batch meets it, so a key that holds a third of a batch is one row there, and no Python runs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rowsieve.functions.text import shown
+from rowsieve.operators import keyed_log
 from rowsieve.operators.groups import PIECE_ROWS, value_before
 from rowsieve.session import settle
-from rowsieve.streaming.files import append_available, each_available, folder_stream
-
-STATE = "last_row long, last_batch long"
-# Batches may be read out of order by this much.
-CLOCK_SLACK = "1 hour"
+from rowsieve.streaming.files import each_available
 
 
 def repeats_across_batches(
@@ -31,70 +25,42 @@ def repeats_across_batches(
     work: str,
     order: str = "row_index",
     ttl_ms: int | None = None,
-    clock_slack: str = CLOCK_SLACK,
     piece_rows: int = PIECE_ROWS,
+    compact_every: int = 50,
 ) -> DataFrame:
     """Rows whose key was seen before, with the index of the last row that had it.
 
-    Earlier means an earlier batch, or a lower ``order`` in the same batch. ``work`` holds
-    spans, state and results; calling again continues after the batches already seen. State
-    has one row per key; ``ttl_ms`` lets it forget keys not seen for that long.
+    Earlier means an earlier batch, or a lower ``order`` in the same batch. ``work`` holds the
+    last rows and the results; calling again continues after the batches already seen. A batch
+    reads the versions before its own and writes its own, so handed over again after a
+    failure it gives the same. With ``ttl_ms``, keys not seen for that long are forgotten: not
+    met at once, and gone from the table when its versions are put together, every
+    ``compact_every`` batches. Without it the table has a row for every key ever seen.
     """
     spark = stream.sparkSession
     keys = [f"key_{c}" for c in columns]
     narrow = stream.select(order, *[shown(F.col(c)).alias(f"key_{c}") for c in columns])
+    alive = "true" if ttl_ms is None else f"unix_millis(current_timestamp()) - seen_ms < {ttl_ms}"
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         rows = settle(batch, "rows", f"{work}/rows/batch={batch_id}")
-        local = value_before(rows, keys, order, F.col(order), "prev_row", piece_rows=piece_rows)
+        local = settle(
+            value_before(rows, keys, order, F.col(order), "prev_row", piece_rows=piece_rows),
+            "local",
+            f"{work}/local/batch={batch_id}",
+        )
         found = local.filter(F.col("prev_row").isNotNull()).select(order, "prev_row")
-        found.write.mode("overwrite").parquet(f"{work}/inside/batch={batch_id}")
-        spans = rows.groupBy(*keys).agg(
-            F.min(order).alias("first_row"), F.max(order).alias("last_row")
-        ).withColumn("seen_at", F.current_timestamp())
-        spans.write.mode("overwrite").parquet(f"{work}/spans/batch={batch_id}")
+        if batch_id > 0:
+            known = keyed_log.current_rows(spark, f"{work}/last", keys, batch_id).filter(alive)
+            firsts = local.filter(F.col("prev_row").isNull()).select(order, *keys)
+            met = firsts.join(known, keys).select(order, F.col("last_row").alias("prev_row"))
+            found = found.unionByName(met)
+        found.write.mode("overwrite").parquet(f"{work}/found/batch={batch_id}")
+        last = rows.groupBy(*keys).agg(F.max(order).alias("last_row"))
+        seen = F.unix_millis(F.current_timestamp())
+        keyed_log.append_version(last.withColumn("seen_ms", seen), f"{work}/last", batch_id)
+        if batch_id and batch_id % compact_every == 0:
+            keyed_log.compact(spark, f"{work}/last", keys, batch_id, alive)
 
     each_available(narrow, handle, f"{work}/checkpoint-rows")
-
-    span_schema = T.StructType(
-        [T.StructField(k, T.StringType()) for k in keys]
-        + [T.StructField(n, T.LongType()) for n in ("first_row", "last_row", "batch")]
-        + [T.StructField("seen_at", T.TimestampType())]
-    )
-    spans = folder_stream(spark, f"{work}/spans", span_schema).withColumn(
-        "seen_ms", F.unix_millis("seen_at")
-    )
-    timeout = GroupStateTimeout.NoTimeout
-    if ttl_ms is not None:
-        # Event time is the time a batch was read, so the wait ends with the data at hand.
-        spans = spans.withWatermark("seen_at", clock_slack)
-        timeout = GroupStateTimeout.EventTimeTimeout
-
-    def chain(
-        key: tuple, parts: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last_row, last_batch = state.get if state.exists else (None, -1)
-        found = []
-        fields = ["batch", "first_row", "last_row", "seen_ms"]
-        arrived = (part[fields].to_numpy().tolist() for part in parts)
-        for batch, first, last, seen_ms in sorted(span for part in arrived for span in part):
-            if batch <= last_batch:
-                continue  # a batch that was written again after a failure
-            if last_row is not None:
-                found.append((first, last_row))
-            last_row, last_batch = last, batch
-        state.update((last_row, last_batch))
-        if ttl_ms is not None:
-            state.setTimeoutTimestamp(seen_ms + ttl_ms)
-        if found:
-            yield pd.DataFrame(found, columns=[order, "prev_row"], dtype="int64")
-
-    across = spans.groupBy(*keys).applyInPandasWithState(
-        chain, f"{order} long, prev_row long", STATE, "append", timeout
-    )
-    crossed = append_available(across, f"{work}/across", f"{work}/checkpoint-spans")
-    inside = spark.read.parquet(f"{work}/inside").select(order, "prev_row")
-    return inside.union(crossed)
+    return spark.read.parquet(f"{work}/found").select(order, "prev_row")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from rowsieve.config import REVIEW_TIMEOUT_SECONDS
+from rowsieve.operators import keyed_log
 from rowsieve.operators.runs import latest_per_run
 from rowsieve.streaming.files import append_available, each_available
 
@@ -115,18 +116,23 @@ def auto_skips(
     return append_available(shown, path, checkpoint)
 
 
-def current_status(log: DataFrame, path: str, checkpoint: str) -> DataFrame:
+def current_status(
+    log: DataFrame, path: str, checkpoint: str, compact_every: int = 50
+) -> DataFrame:
     """Latest log row per run.
 
-    Each batch writes the runs it changed; the newest of those rows is the current one.
+    Each batch writes the runs it changed as a version; every ``compact_every`` batches the
+    versions are put together, so a reader sees a row a run and the changes since.
     """
+    spark = log.sparkSession
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        keyed_log.append_version(batch, path, batch_id)
+        if batch_id and batch_id % compact_every == 0:
+            keyed_log.compact(spark, path, ["run_id"], batch_id)
 
     each_available(latest_per_run(log), handle, checkpoint, mode="update")
-    changes = log.sparkSession.read.parquet(path).drop("batch")
-    return latest_per_run(changes)
+    return keyed_log.current_rows(spark, path, ["run_id"])
 
 
 def open_rows_to_skip(sessions: DataFrame, open_rows: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ def test_repeats_across_batches_equal_the_batch_result(spark, tmp_path):
         deliver(df, arrivals, f"row_index DIV 30 = {part}")
         stream = folder_stream(spark, arrivals, df.schema, max_files=1)
         found = duplicates.repeats_across_batches(
-            stream, columns, work, ttl_ms=3_600_000, piece_rows=10
+            stream, columns, work, ttl_ms=3_600_000, piece_rows=10, compact_every=2
         )
     expected = batch.repeated_rows(df, columns).select("row_index", "prev_row")
     assert collect(found) == collect(expected)
@@ -56,7 +56,18 @@ def test_state_survives_restarts(spark, tmp_path):
 
 
 def test_state_forgets_after_its_time_to_live(spark, tmp_path):
-    assert three_deliveries(spark, tmp_path, ttl_ms=1, clock_slack="0 seconds") == []
+    assert three_deliveries(spark, tmp_path, ttl_ms=1) == []
+
+
+def test_repeats_call_no_python_and_forget_when_compacted(spark, tmp_path):
+    df = table(spark, random_rows(30, 14))
+    work = str(tmp_path / "work")
+    deliver(df, str(tmp_path / "in"), *[f"row_index DIV 10 = {i}" for i in range(3)])
+    stream = folder_stream(spark, str(tmp_path / "in"), df.schema, max_files=1)
+    duplicates.repeats_across_batches(stream, ["employee_id"], work, ttl_ms=1, compact_every=2)
+    base = spark.read.parquet(f"{work}/last/part=base")
+    newest = spark.read.parquet(f"{work}/last/part=log/version=2")
+    assert base.count() <= newest.count()
 
 
 def test_revalidation_against_a_cache(spark, tmp_path):
@@ -101,5 +112,6 @@ def test_current_status_over_several_batches(spark, tmp_path):
     )
     deliver(log, str(tmp_path / "in"), "seq <= 2", "seq = 3", "seq = 4")
     stream = folder_stream(spark, str(tmp_path / "in"), log.schema, max_files=1)
-    latest = reviews.current_status(stream, str(tmp_path / "out"), str(tmp_path / "check"))
+    latest = reviews.current_status(stream, str(tmp_path / "out"), str(tmp_path / "check"), compact_every=1)
+    assert (tmp_path / "out" / "part=base").exists()
     assert collect(latest, "run_id", "seq", "status") == [("a", 4, "FAILED"), ("b", 2, "RUNNING")]
