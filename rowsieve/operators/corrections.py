@@ -152,9 +152,12 @@ def fix_audit(
         piece_rows=piece_rows,
     )
     columns = [c for c in df.columns if c not in key]
-    original = _pick(columns, columns, F.lit(None).cast("string"))
+    # Of the table only the columns that some fix names are read and moved.
+    named = fixes.filter(F.col("field").isin(columns)).select("field").distinct().collect()
+    fixed = sorted(r["field"] for r in named)
+    original = _pick(fixed, columns, F.lit(None).cast("string"))
     old = F.when(F.col("_earlier").isNotNull(), F.col("_earlier.text")).otherwise(original)
-    return chained.join(df, key, "inner").select(
+    return chained.join(df.select(*key, *fixed), key, "inner").select(
         order, *key, "field", old.alias("old_value"), "new_value"
     )
 

@@ -25,8 +25,9 @@ from rowsieve.session import settle
 PIECE_ROWS = 1_000_000
 # Keys tracked by the sketch; a key above roughly 1/2000 of all rows cannot be missed.
 TRACKED_KEYS = 10_000
-# Largest lookup table that is sent whole to every executor.
+# Largest table that is sent whole to every executor, by rows and by bytes of its cells as text.
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 MAX_SALT = 1_000
 
 
@@ -185,9 +186,20 @@ def _look_back(value: Column, window, skip_nulls: bool) -> Column:
     )
 
 
-def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` marked for broadcast when it has at most ``rows`` rows (counted), else as it is."""
-    return F.broadcast(df) if df.count() <= rows else df
+def is_small(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows (counted) of ``most_bytes`` together (measured)."""
+    size = F.lit(0).cast("long")
+    for name in df.columns:
+        size = size + F.coalesce(F.octet_length(F.col(f"`{name}`").cast("string")), F.lit(0)) + 8
+    counted, held = df.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).first()
+    return counted <= rows and held <= most_bytes
+
+
+def if_small(
+    df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """``df`` marked for broadcast when it :func:`is_small`, else as it is."""
+    return F.broadcast(df) if is_small(df, rows, most_bytes) else df
 
 
 def lookup_join(
@@ -200,10 +212,11 @@ def lookup_join(
 ) -> DataFrame:
     """Left join on ``key`` with a ``right`` side that has one row per key.
 
-    A right side of at most ``broadcast_rows`` rows (checked) is broadcast. A larger one is
-    shuffled, and keys that are hot on the left are salted over ``spread_by``.
+    A right side of at most ``broadcast_rows`` rows, and bounded bytes, is broadcast (both are
+    checked). A larger one is shuffled, and keys that are hot on the left are salted over
+    ``spread_by``.
     """
-    if right.count() <= broadcast_rows:
+    if is_small(right, broadcast_rows):
         return left.join(F.broadcast(right), key, "left")
     hot = hot_keys(left, [key], piece_rows)
     if not hot:

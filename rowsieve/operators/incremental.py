@@ -17,6 +17,7 @@ from rowsieve.operators.groups import (
     BROADCAST_ROWS,
     PIECE_ROWS,
     if_small,
+    is_small,
     lookup_join,
 )
 from rowsieve.operators.rules import RuleSet
@@ -49,16 +50,34 @@ def row_states(
 
     A row is *unchanged* when its fingerprint is cached as valid and it repeats no earlier
     key. Repeats look at all rows, user-skipped and cached ones included.
+
+    A cache small enough to be sent to every task is asked in the scan, before the rules: a row
+    it holds as valid has no row errors, so its cells are not parsed and no rule is worked out.
+    A larger cache meets the rows after the rules, on a narrow projection.
     """
     row_key = list(row_key)
-    typed = rules.with_parsed(with_fingerprint(df, exclude=row_key))
+    printed = with_fingerprint(df, exclude=row_key)
     keys = key_texts(df, rules.unique.columns) if rules.unique else {}
-    rows = typed.select(
-        *row_key,
-        "row_fp",
-        F.array_compact(rules.errors(typed)).alias("row_errors"),
-        *[text.alias(name) for name, text in keys.items()],
+    printed = printed.withColumns(keys)
+    valid = None if cache is None else _valid_entries(cache, rules, row_key)
+    # Fingerprints leave the key out, so rules on it must see every row.
+    asked_first = (
+        valid is not None
+        and not any(r.field in row_key for r in rules.row_rules)
+        and is_small(valid, broadcast_rows)
     )
+    if asked_first:
+        probe = _probe(row_key[:-1], F.col("row_fp"))
+        printed = printed.withColumn("probe", probe).join(F.broadcast(valid), "probe", "left")
+        unknown = F.col("is_cached").isNull()
+        cells = {c: F.when(unknown, F.col(c)) for c in df.columns if c not in row_key}
+        typed = rules.with_parsed(printed.withColumns(cells))
+        found = F.when(unknown, F.array_compact(rules.errors(typed)))
+        extra = ["is_cached"]
+    else:
+        typed, extra = rules.with_parsed(printed), []
+        found = F.array_compact(rules.errors(typed))
+    rows = typed.select(*row_key, "row_fp", found.alias("row_errors"), *keys, *extra)
     if rules.unique is not None:
         rows = with_previous_row(rows, list(keys), row_key, piece_rows)
     else:
@@ -70,7 +89,8 @@ def row_states(
     else:
         rows = rows.withColumn("is_skipped", F.lit(None).cast("boolean"))
 
-    rows = _with_cache_hit(rows, rules, cache, row_key, piece_rows, broadcast_rows)
+    if not asked_first:
+        rows = _with_cache_hit(rows, rules, valid, row_key, piece_rows, broadcast_rows)
     state = (
         F.when(F.col("is_skipped"), F.lit(USER_SKIPPED))
         .when(F.col("is_cached") & F.col("prev_row").isNull(), F.lit(UNCHANGED))
@@ -80,9 +100,10 @@ def row_states(
     if rules.unique is not None:
         entry = duplicate_entry(rules.unique)
         repeat = F.struct(*[value.alias(name) for name, value in entry.items()])
-        found = F.when(
-            F.col("prev_row").isNotNull(), F.concat(found, F.array(repeat))
-        ).otherwise(found)
+        repeats = F.when(F.col("row_errors").isNull(), F.array(repeat)).otherwise(
+            F.concat(found, F.array(repeat))
+        )
+        found = F.when(F.col("prev_row").isNotNull(), repeats).otherwise(found)
     return (
         rows.withColumn("state", state)
         .withColumn("errors", F.when(F.col("state") == CHECKED, found))
@@ -103,21 +124,25 @@ def _probe(scope: Sequence[str], fingerprint: Column) -> Column:
     return F.concat(F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in scope])), fingerprint)
 
 
+def _valid_entries(cache: DataFrame, rules: RuleSet, row_key: Sequence[str]) -> DataFrame:
+    """(probe, is_cached): what the cache holds as valid under these rules. Runs have caches of
+    their own: a hit needs the same scope, not only equal cells."""
+    kept = cache.filter((F.col("ruleset_hash") == rules.digest()) & F.col("is_valid"))
+    probe = _probe(list(row_key[:-1]), F.col("row_fp")).alias("probe")
+    return kept.select(probe, F.lit(True).alias("is_cached"))
+
+
 def _with_cache_hit(
     rows: DataFrame,
     rules: RuleSet,
-    cache: DataFrame | None,
+    valid: DataFrame | None,
     row_key: Sequence[str],
     piece_rows: int,
     broadcast_rows: int,
 ) -> DataFrame:
-    if cache is None:
+    if valid is None:
         return rows.withColumn("is_cached", F.lit(False))
-    # Runs have caches of their own: a hit needs the same scope, not only equal cells.
     scope = list(row_key[:-1])
-    valid = cache.filter((F.col("ruleset_hash") == rules.digest()) & F.col("is_valid")).select(
-        _probe(scope, F.col("row_fp")).alias("probe"), F.lit(True).alias("is_cached")
-    )
     if rules.unique is None:
         # Copies of one row share a fingerprint and may be many: salted lookup.
         probed = rows.withColumn("probe", _probe(scope, F.col("row_fp")))

@@ -240,3 +240,13 @@ def test_packaging_waits_for_the_review(spark):
         package.check_ready("RUNNING", none, df, ledger, rows_of(spark))
     package.check_ready("RUNNING", none, df, ledger, rows_of(spark, 0))
     package.check_ready("VALIDATING", none)
+
+
+def test_audit_reads_only_columns_that_fixes_name(spark, tmp_path):
+    table(spark, [row(), row(employee_id="EMP2")]).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    fixes = spark.createDataFrame([(0, 1, "dept", "HR")], "seq bigint, row_index bigint, field string, new_value string")
+    audit = corrections.fix_audit(df, fixes)
+    plan = audit._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<row_index:bigint,dept:string>" in plan
+    assert collect(audit, "field", "old_value", "new_value") == [("dept", row()["dept"], "HR")]

@@ -95,3 +95,5 @@ def test_only_small_sides_are_marked_for_broadcast(spark):
     small = if_small(df, 10)._jdf.queryExecution().logical().toString()
     large = if_small(df, 9)._jdf.queryExecution().logical().toString()
     assert "broadcast" in small.lower() and "broadcast" not in large.lower()
+    wide = df.select(F.lit("x" * 1000).alias("c"))
+    assert "broadcast" not in if_small(wide, 10, 5_000)._jdf.queryExecution().logical().toString().lower()

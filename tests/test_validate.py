@@ -189,6 +189,22 @@ def test_copies_without_a_unique_rule_use_the_salted_lookup(spark):
     assert states(again) == expected
 
 
+@pytest.mark.parametrize("seed", [5, 6])
+def test_a_cache_asked_first_gives_the_states_of_one_asked_last(spark, seed):
+    before, after = random_rows(80, seed), random_rows(80, seed)
+    for i, other in enumerate(random_rows(80, seed + 50)):
+        if i % 7 == 0:
+            after[i] = other
+    cache = incremental.cache_of(incremental.row_states(table(spark, before), RULES), RULES)
+    skipped = spark.createDataFrame([(3,), (14,)], "row_index bigint")
+    first = incremental.row_states(table(spark, after), RULES, skipped, cache)
+    last = incremental.row_states(table(spark, after), RULES, skipped, cache, broadcast_rows=0)
+    assert collect(first) == collect(last)
+    plan = first._jdf.queryExecution().optimizedPlan().toString()
+    # The cells that the rules read are masked above the join with the cache.
+    assert "is_cached" in plan[: plan.index("Join LeftOuter")]
+
+
 def test_invalidate_cache(spark):
     df = table(spark, distinct_rows(3))
     cache = incremental.cache_of(incremental.row_states(df, RULES), RULES)
