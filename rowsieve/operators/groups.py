@@ -67,14 +67,16 @@ def value_before(
     name: str,
     skip_nulls: bool = False,
     piece_rows: int = PIECE_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add ``name``: the value of the closest earlier row (by ``order``) with the same keys.
 
     Rows of equal order come in any order, but one. With ``skip_nulls`` the closest earlier
     non-null value is taken. Null keys form a group of their own. Up to ``piece_rows`` rows, which
-    bound any key, are one window; beyond that see :func:`ranged_pieces`.
+    bound any key, are one window; beyond that see :func:`ranged_pieces`. ``rows`` is their
+    number, counted if not given.
     """
-    rows = df.count()
+    rows = df.count() if rows is None else rows
     if rows <= piece_rows:
         window = Window.partitionBy(*keys).orderBy(order)
         return df.withColumn(name, _look_back(value, window, skip_nulls))

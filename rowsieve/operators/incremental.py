@@ -79,7 +79,8 @@ def row_states(
         found = F.array_compact(rules.errors(typed))
     rows = typed.select(*row_key, "row_fp", found.alias("row_errors"), *keys, *extra)
     if rules.unique is not None:
-        rows = with_previous_row(rows, list(keys), row_key, piece_rows)
+        # Counted on the table itself: neither rules nor the cache are asked for that.
+        rows = with_previous_row(rows, list(keys), row_key, piece_rows, df.count())
     else:
         rows = rows.withColumn("prev_row", F.lit(None).cast("long"))
 

@@ -55,11 +55,12 @@ def with_previous_row(
     keys: Sequence[str],
     row_key: Sequence[str],
     piece_rows: int = PIECE_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add ``prev_row``, the closest earlier row with the same keys; one shuffle by key."""
     *scope, index = row_key
     return value_before(
-        df, [*scope, *keys], index, F.col(index), "prev_row", piece_rows=piece_rows
+        df, [*scope, *keys], index, F.col(index), "prev_row", piece_rows=piece_rows, rows=rows
     )
 
 
