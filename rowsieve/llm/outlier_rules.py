@@ -38,6 +38,11 @@ FLOORS = {
     "root_repeats": 0.08,
 }
 _Z = list(FLOORS)
+#: Sums an estimate is made of.
+_SUMS = ["n", *[f"s{j}" for j in range(len(_Z))]]
+_SUMS += [f"s{j}_{k}" for j in range(len(_Z)) for k in range(j + 1)]
+#: Where the concentration steps begin.
+_STARTS = ("medians", "moments")
 #: Bins of a distance: 2 ** (1 / 16) apart, so the core is found to about 4 % of a distance.
 _BINS = 16
 
@@ -197,7 +202,7 @@ def _moments(rows: DataFrame) -> DataFrame:
         for j in range(len(_Z))
         for k in range(j + 1)
     ]
-    return rows.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), *sums)
+    return rows.groupBy("grp", "start").agg(F.count(F.lit(1)).alias("n"), *sums)
 
 
 def _core(rows: DataFrame, d2: Column, core: float, prior: int, groups: int) -> DataFrame:
@@ -208,18 +213,19 @@ def _core(rows: DataFrame, d2: Column, core: float, prior: int, groups: int) ->
     shuffle, the same on every run.
     """
     binned = rows.withColumn("bin", F.floor(F.log2(d2 + F.lit(1e-6)) * _BINS).cast("int"))
-    counts = binned.groupBy("grp", "bin").agg(F.count(F.lit(1)).alias("n"))
-    up = Window.partitionBy("grp").orderBy("bin")
-    all_of = Window.partitionBy("grp")
-    need = F.ceil(core * (F.sum("n").over(all_of) + prior)) - prior
+    counts = binned.groupBy("grp", "start", "bin").agg(F.count(F.lit(1)).alias("n"))
+    up = Window.partitionBy("grp", "start").orderBy("bin")
+    all_of = Window.partitionBy("grp", "start")
+    lent = F.when(F.col("grp.level") > 0, F.lit(prior)).otherwise(F.lit(0))  # all have no parent
+    need = F.ceil(core * (F.sum("n").over(all_of) + lent)) - lent
     edge = (
         counts.withColumn("upto", F.sum("n").over(up))
         .withColumn("need", need)
         .filter((F.col("upto") - F.col("n") < F.col("need")) & (F.col("need") > 0))
-        .groupBy("grp")
+        .groupBy("grp", "start")
         .agg(F.max("bin").alias("edge"))
     )
-    return binned.join(_sent(edge, groups), "grp").filter(F.col("bin") <= F.col("edge"))
+    return binned.join(_sent(edge, groups), ["grp", "start"]).filter(F.col("bin") <= F.col("edge"))
 
 
 def _sent(small: DataFrame, groups: int) -> DataFrame:
@@ -251,26 +257,52 @@ def _medians(rows: DataFrame, values: dict[str, Column]) -> DataFrame:
     )
 
 
+def levels(rows: DataFrame) -> DataFrame:
+    """Rows (lang_group, fine_group, statistics) once for each group they are in: all documents,
+    those of the language, those of the language and source. ``grp`` is (level, name)."""
+    member = lambda level, name: F.struct(F.lit(level).alias("level"), name.alias("name"))
+    groups = F.array(
+        member(0, F.lit("")), member(1, F.col("lang_group")), member(2, F.col("fine_group"))
+    )
+    return rows.select(F.explode(groups).alias("grp"), *_Z)
+
+
+def _leaning(own: DataFrame, parents: DataFrame, prior: int) -> DataFrame:
+    """Sums of every group that count ``prior`` documents like its parent's beside its own.
+
+    ``own`` holds sums by ``grp`` and ``start``, ``parents`` each group and the name of its parent.
+    A few rows a group; the languages and the whole are few.
+    """
+    starts = F.explode(F.array(*map(F.lit, _STARTS))).alias("start")
+    every = parents.select("grp", "parent", starts).join(own, ["grp", "start"], "left")
+    every = every.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in _SUMS})
+    done = above = every.filter("grp.level = 0").drop("parent")
+    for level in (1, 2):
+        share = above.select(
+            F.col("grp.name").alias("parent"), "start",
+            *[(prior * F.col(c) / F.col("n")).alias(f"p_{c}") for c in _SUMS],
+        )
+        here = every.filter(F.col("grp.level") == level).join(share, ["parent", "start"])
+        above = here.select("grp", "start", *[(F.col(c) + F.col(f"p_{c}")).alias(c) for c in _SUMS])
+        done = done.unionByName(above)
+    return done
+
+
 def robust_estimates(
-    rows: DataFrame,
-    core: float = CORE,
-    steps: int = STEPS,
-    parents: DataFrame | None = None,
-    prior: int = PRIOR,
+    rows: DataFrame, parents: DataFrame, core: float = CORE, steps: int = STEPS, prior: int = PRIOR
 ) -> DataFrame:
-    """Minimum-covariance-determinant estimates (means, inverse factor, sums) of each ``grp``.
-
-    Two starts are carried side by side: one from medians and median deviations, the other from
-    the estimate of the group's ``parent`` (without parents: from the mean and covariance of all).
-    Each takes ``steps`` concentration steps: distances under the current estimate, the nearest
-    documents (``_core``), their sums; then the start with the smaller determinant is taken. With
-    ``parents`` (rows must name their ``parent``) each group's sums count ``prior`` documents like
-    the parent's beside its own, so a small group is close to its parent and a group of any
-    size has an estimate. A step is two grouped sums over narrow rows and leaves one row a group.
+    """Minimum-covariance-determinant estimates (means, inverse factor) of each ``grp``.
+
+    ``rows`` is from :func:`levels`, ``parents`` names each group's parent. All groups of all levels
+    are worked out side by side, from two starts each: distances by medians and median
+    deviations, or by the mean and covariance of the whole group. Each takes ``steps``
+    concentration steps: distances under the current estimate, the nearest documents (``_core``),
+    their sums; then the start with the smaller determinant is taken. An estimate counts ``prior``
+    documents like the parent's beside the group's own, so a small group is close to its parent and
+    a group of any size has an estimate. A step is two grouped sums over narrow rows and leaves
+    one row a group and start in the shared folder.
     """
     d = len(_Z)
-    prior = prior if parents is not None else 0
-    sums = ["n"] + [f"s{j}" for j in range(d)] + [f"s{j}_{k}" for j in range(d) for k in range(j + 1)]
     scale = core / chi2_cdf(chi2_quantile(core, d), d + 2)
     mid = settle(_medians(rows, {f"m{j}": F.col(_Z[j]) for j in range(d)}), "medians")
     groups = mid.count()
@@ -282,49 +314,29 @@ def robust_estimates(
     for j in range(d):
         spread = F.greatest(1.4826 * F.col(f"d{j}"), F.lit(FLOORS[_Z[j]]))
         by_median = by_median + ((F.col(_Z[j]) - F.col(f"m{j}")) / spread) ** 2
-    if parents is None:
-        before = settle(_inverse_factor(_moments(rows), 1.0), "first-estimate").drop(*sums, "log_det")
-    else:
-        before = parents.withColumnRenamed("grp", "parent").drop("log_det")
-        family = settle(rows.select("grp", "parent").distinct(), "families").join(
-            _sent(before.select("parent", *sums), groups), "parent"
-        )
-        before = before.drop(*sums)
-    link = "grp" if parents is None else "parent"
-    named = [c for c in before.columns if c != link]
-    start = F.explode(F.array(F.lit("median"), F.lit("parent"))).alias("start")
+
+    def estimate_of(subset: DataFrame, scale: float) -> DataFrame:
+        own = settle(_moments(subset), "sums")
+        return _inverse_factor(_leaning(own, parents, prior), scale)
+
+    start = F.explode(F.array(*map(F.lit, _STARTS))).alias("start")
+    both = rows.select("grp", *_Z, start)
+    plain = estimate_of(both, 1.0)
     first = (
         off.join(_sent(dev, groups), "grp")
-        .withColumn("by_median", by_median)
-        .select(*rows.columns, "by_median")
-        .join(_sent(before.select(link, *named), groups), link)
-        .select("grp", *_Z, "by_median", _distance().alias("by_parent"), start)
-        .withColumn("grp", F.struct("grp", "start"))
+        .select("grp", *_Z, by_median.alias("by_median"), start)
+        .join(_sent(plain.drop(*_SUMS, "log_det"), 2 * groups), ["grp", "start"])
     )
-    both = rows.select("grp", *_Z, start).withColumn("grp", F.struct("grp", "start"))
-
-    def estimate_of(subset: DataFrame) -> DataFrame:
-        own = _moments(subset)
-        if parents is not None:
-            share = {c: F.lit(float(prior)) * F.col(c) / F.col("n") for c in sums}
-            base = family.select("grp", start, *sums).select(
-                F.struct("grp", "start").alias("grp"), *[share[c].alias(f"p_{c}") for c in sums]
-            )
-            own = base.join(own, "grp", "left").select(
-                "grp", *[(F.coalesce(F.col(c), F.lit(0)) + F.col(f"p_{c}")).alias(c) for c in sums]
-            )
-        return settle(_inverse_factor(own, scale), "estimate")
-
-    d2 = F.when(F.col("grp.start") == "median", F.col("by_median")).otherwise(F.col("by_parent"))
-    estimate = estimate_of(_core(first, d2, core, prior, 2 * groups))
+    d2 = F.when(F.col("start") == _STARTS[0], F.col("by_median")).otherwise(_distance())
+    estimate = estimate_of(_core(first, d2, core, prior, 2 * groups), scale)
     for _ in range(steps):
-        at = both.join(_sent(estimate.drop(*sums, "log_det"), 2 * groups), "grp")
-        estimate = estimate_of(_core(at, _distance(), core, prior, 2 * groups))
-    values = [c for c in estimate.columns if c != "grp"]
-    least = estimate.groupBy(F.col("grp.grp").alias("grp")).agg(
-        F.min_by(F.struct(*values), F.struct("log_det", "grp.start")).alias("best")
+        at = both.join(_sent(estimate.drop(*_SUMS, "log_det"), 2 * groups), ["grp", "start"])
+        estimate = estimate_of(_core(at, _distance(), core, prior, 2 * groups), scale)
+    values = [c for c in estimate.columns if c not in ("grp", "start", *_SUMS)]
+    least = estimate.groupBy("grp").agg(
+        F.min_by(F.struct(*values), F.struct("log_det", "start")).alias("best")
     )
-    return settle(least.select("grp", "best.*"), "best-estimate")
+    return settle(least.select("grp", "best.*"), "estimate")
 
 
 def judge(
@@ -344,18 +356,22 @@ def judge(
     those that pass the base rules. Repeated rows count each time; an empty table gives no rows.
     """
     stats = settle(_transformed(text_statistics(docs)), "statistics")
-    passed = stats.filter(~F.col("base_failed"))
-    fine = passed.select(F.col("fine_group").alias("grp"), F.col("lang_group").alias("parent"), *_Z)
-    fine = settle(fine, "judged")
-    lang = fine.select(F.col("parent").alias("grp"), F.lit("").alias("parent"), *_Z)
-    whole = fine.select(F.lit("").alias("grp"), *_Z)
-    estimate = robust_estimates(whole, core, steps)
-    for level in (lang, fine):
-        estimate = robust_estimates(level, core, steps, estimate, prior)
+    passed = stats.filter(~F.col("base_failed")).select("lang_group", "fine_group", *_Z)
+    families = settle(passed.select("lang_group", "fine_group").distinct(), "families")
+    named = lambda level, name: F.struct(F.lit(level).alias("level"), name.alias("name"))
+    pair = F.explode(
+        F.array(
+            F.struct(named(0, F.lit("")).alias("grp"), F.lit(None).cast("string").alias("parent")),
+            F.struct(named(1, F.col("lang_group")).alias("grp"), F.lit("").alias("parent")),
+            F.struct(named(2, F.col("fine_group")).alias("grp"), F.col("lang_group").alias("parent")),
+        )
+    )
+    parents = settle(families.select(pair.alias("x")).select("x.*").distinct(), "parents")
+    estimate = robust_estimates(levels(passed), parents, core, steps, prior)
     distance = F.when(~F.col("base_failed"), _distance())
     limit = chi2_quantile(1 - tail, len(_Z))
-    drop = [c for c in estimate.columns if c.startswith("s") or c in ("n", "log_det")]
-    known = _sent(estimate.drop(*drop).withColumnRenamed("grp", "fine_group"), estimate.count())
+    fine = estimate.filter("grp.level = 2").withColumn("fine_group", F.col("grp.name"))
+    known = _sent(fine.drop("grp", "log_det"), families.count())
     return (
         stats.join(known, "fine_group", "left")
         .withColumn("distance", distance)
