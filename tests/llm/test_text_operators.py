@@ -234,17 +234,21 @@ def test_outliers_of_small_groups_are_rejected(spark):
     assert {i for i, r in judged.items() if r["kept"]} == set(range(120))
 
 
-def test_every_statistic_alone_can_reject(spark):
+def test_each_statistic_can_reject_by_itself(spark):
     rng = random.Random(13)
     clean = _clean(rng, 300, lambda i: "a")
     lines = [corpus.sentence(rng, 4) for _ in range(15)]
     doubled = "\n".join(rng.sample(lines, 15) + rng.sample(lines, 13))  # 13 of 28 lines, few long windows
-    repeat = corpus.sentence(rng, 14)  # 28 of 102 words; 30 % would fail the base rules
-    windows = corpus.sentence(rng, 70) + (" " + repeat) * 2 + " " + corpus.sentence(rng, 4)
-    judged = {r["doc_id"]: r for r in outlier_rules.judge(
-        corpus.frame(spark, clean + [(900, doubled, "en", "a", 0), (901, windows, "en", "a", 0)])).collect()}
-    for i in (900, 901):
+    short = corpus.sentence(rng, 9)  # stands twice: 18 of 88 words, 1 of 9 lines
+    twice = "\n".join([short, *[corpus.sentence(rng, 10) for _ in range(7)], short])
+    symbols = " ".join(w + "$" for w in corpus.sentence(rng, 90).split())
+    words = " ".join(corpus.sentence(rng, 1) * 9 for _ in range(60))
+    length = corpus.sentence(rng, 20_000)
+    rows = [(900 + i, t, "en", "a", 0) for i, t in enumerate((doubled, symbols, words, length, twice))]
+    judged = {r["doc_id"]: r for r in outlier_rules.judge(corpus.frame(spark, clean + rows)).collect()}
+    for i in range(900, 904):
         assert not judged[i]["base_failed"] and not judged[i]["kept"], judged[i]
+    assert judged[904]["kept"] and judged[904]["n_repeat_words"] == 18, judged[904]
     assert sum(judged[i]["kept"] for i in range(300)) == 300
 
 
