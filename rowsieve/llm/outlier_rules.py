@@ -154,32 +154,36 @@ def _inverse_factor(moments: DataFrame, scale: float) -> DataFrame:
     diagonal. One small row a group, step by step so that no expression grows.
     """
     d = len(_Z)
-    out = moments
-    for j in range(d):
-        out = out.withColumn(f"m{j}", F.col(f"s{j}") / F.col("n"))
-    for j in range(d):
-        for k in range(j + 1):
-            cov = scale * (F.col(f"s{j}_{k}") / F.col("n") - F.col(f"m{j}") * F.col(f"m{k}"))
-            out = out.withColumn(f"c{j}_{k}", cov + F.lit(FLOORS[_Z[j]] ** 2 if j == k else 0.0))
-    for j in range(d):
-        for k in range(j + 1):
-            rest = F.col(f"c{j}_{k}")
-            for i in range(k):
-                rest = rest - F.col(f"l{j}_{i}") * F.col(f"l{k}_{i}")
-            # Rounding can push a variance that is all floor slightly below it.
-            least = FLOORS[_Z[j]] ** 2 / 4
-            value = F.sqrt(F.greatest(rest, F.lit(least))) if j == k else rest / F.col(f"l{k}_{k}")
-            out = out.withColumn(f"l{j}_{k}", value)
-    for j in range(d):
-        for k in range(j + 1):
-            if j == k:
-                value = 1 / F.col(f"l{j}_{j}")
-            else:
-                total = F.lit(0.0)
-                for i in range(k, j):
-                    total = total + F.col(f"l{j}_{i}") * F.col(f"f{i}_{k}")
-                value = -total / F.col(f"l{j}_{j}")
-            out = out.withColumn(f"f{j}_{k}", value)
+    lower = [(j, k) for j in range(d) for k in range(j + 1)]
+    out = moments.withColumns({f"m{j}": F.col(f"s{j}") / F.col("n") for j in range(d)})
+    made = {}
+    for j, k in lower:
+        cov = scale * (F.col(f"s{j}_{k}") / F.col("n") - F.col(f"m{j}") * F.col(f"m{k}"))
+        made[f"c{j}_{k}"] = cov + F.lit(FLOORS[_Z[j]] ** 2 if j == k else 0.0)
+    out = out.withColumns(made)
+
+    def rest(j: int, k: int) -> Column:
+        """c_jk less what the columns before k account for."""
+        value = F.col(f"c{j}_{k}")
+        for i in range(k):
+            value = value - F.col(f"l{j}_{i}") * F.col(f"l{k}_{i}")
+        return value
+
+    for k in range(d):
+        # Rounding can push a variance that is all floor slightly below it.
+        least = F.lit(FLOORS[_Z[k]] ** 2 / 4)
+        out = out.withColumn(f"l{k}_{k}", F.sqrt(F.greatest(rest(k, k), least)))
+        below = {f"l{j}_{k}": rest(j, k) / F.col(f"l{k}_{k}") for j in range(k + 1, d)}
+        out = out.withColumns(below) if below else out
+    for off in range(d):  # the inverse, diagonal by diagonal
+        made = {}
+        for j in range(off, d):
+            k = j - off
+            total = F.lit(0.0)
+            for i in range(k, j):
+                total = total + F.col(f"l{j}_{i}") * F.col(f"f{i}_{k}")
+            made[f"f{j}_{k}"] = (-total if off else F.lit(1.0)) / F.col(f"l{j}_{j}")
+        out = out.withColumns(made)
     names = [f"m{j}" for j in range(d)] + [f"f{j}_{k}" for j in range(d) for k in range(j + 1)]
     log_det = sum((-2 * F.log(F.col(f"f{j}_{j}")) for j in range(d)), F.lit(0.0))
     return out.select(*moments.columns, *names, log_det.alias("log_det"))
@@ -301,7 +305,7 @@ def robust_estimates(
     their sums; then the start with the smaller determinant is taken. An estimate counts ``prior``
     documents like the parent's beside the group's own, so a small group is close to its parent and
     a group of any size has an estimate. A step is two grouped sums over narrow rows and leaves
-    one row a group and start in the shared folder.
+    small tables, a row a group and start, in the shared folder.
     """
     d = len(_Z)
     scale = core / chi2_cdf(chi2_quantile(core, d), d + 2)
@@ -318,7 +322,9 @@ def robust_estimates(
 
     def estimate_of(subset: DataFrame, scale: float) -> DataFrame:
         own = settle(_moments(subset), "sums")
-        return _inverse_factor(_leaning(own, parents, prior), scale)
+        # Written sums again: the factor's steps then stand on a short plan.
+        leaning = settle(_leaning(own, parents, prior), "leaning-sums")
+        return settle(_inverse_factor(leaning, scale), "estimate")
 
     start = F.explode(F.array(*map(F.lit, _STARTS))).alias("start")
     both = rows.select("grp", *_Z, start)
