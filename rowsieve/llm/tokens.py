@@ -13,6 +13,9 @@ from itertools import islice
 _RARE_SPACE = re.compile(
     r"[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 )
+#: A capital and a mark that only its small letter is composed with (as j and a caron): the
+#: tokenizer composes before it lowers, so texts holding such pairs are encoded whole.
+_CAPITAL_MARK = re.compile("[A-Z][\u0300-\u036f]")
 #: What can close a word: a run of it is a piece of its own to the tokenizers. No apostrophe,
 #: which a word can go on behind.
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -97,6 +100,8 @@ class ChunkEncoder:
         if self.kind == "whole" or any(s in text for s in self.special):
             return None
         if self.kind == "word":
+            if not text.isascii() and _CAPITAL_MARK.search(text):
+                return None
             # Lower case of ASCII letters first: the tokenizer does the same.
             return text.encode("utf-8").lower().split()
         if not text:
@@ -142,8 +147,10 @@ class ChunkEncoder:
         """A chunk as the model gets it, its bytes written as the letters that stand for them, if
         it is one run of letters to the tokenizer; without the line break before it."""
         if self.kind == "word":
-            # Some capitals become a letter and a mark, which would join the punctuation.
-            text = unicodedata.normalize("NFC", word.decode("utf-8")).lower()
+            # Some capitals become a letter and a mark, which would join the punctuation. The
+            # tokenizer lowers each letter by itself, so a sigma that ends a word is like any other.
+            text = unicodedata.normalize("NFC", word.decode("utf-8"))
+            text = text.replace("\u03a3", "\u03c3").lower()
             lead = ""
         else:
             lead = "" if word[0] in "\n\r" else _BLANK
