@@ -37,8 +37,12 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs the documents; one row for each piece."""
-    return packing.pack_documents(docs, public_path("byte_bpe_50k.json"), END_ID)
+    """Packs the documents; one row for each piece, with its ids.
+
+    A document that the mixture took more than once is a row each time; ``row`` tells them apart,
+    and ``packing.joined_sequences`` makes the sequences from the pieces alone.
+    """
+    return packing.pack_documents(docs, public_path("byte_bpe_50k.json"), END_ID, with_ids=True)
 
 
 STAGES = [

@@ -19,40 +19,57 @@ from rowsieve.session import settle
 CAPACITY = 1024
 #: Pieces that share one window when ranks inside a length are given out, about.
 RANK_ROWS = 100_000
-_PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+_PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:
-    """Pieces (doc_id, piece, start, length, ids_crc32) of the encoded rows of ``docs``.
+def cut_pieces(
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int,
+    capacity: int = CAPACITY,
+    with_ids: bool = False,
+) -> DataFrame:
+    """Pieces (doc_id, row, piece, start, length, ids_crc32) of the encoded rows of ``docs``.
 
     Each row is its ids and ``end_id``. Longer rows than ``capacity`` are cut into full pieces
-    behind a first one that takes the remainder. Null texts are empty: the end id alone.
+    behind a first one that takes the remainder. Null texts are empty: the end id alone. ``row``
+    tells rows apart that share a doc_id; settle the pieces before they are used twice, as it is
+    given out by the scan. ``with_ids`` adds ``ids``, the piece's ids as little-endian unsigned
+    32-bit integers.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, end = encoder(tokenizer), struct.pack("<I", end_id)
         for batch in batches:
             rows: list[tuple] = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for name, ids in zip(batch.column(0).to_pylist(), tool.encode(texts)):
+            texts = [t or "" for t in batch.column(2).to_pylist()]
+            names, numbers = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for name, number, ids in zip(names, numbers, tool.encode(texts)):
                 ids += end
                 n = len(ids) // 4
                 at = 0
                 size = n if n <= capacity else n % capacity or capacity
                 piece = 0
                 while at < n:
-                    rows.append((name, piece, at, size, zlib.crc32(ids[4 * at : 4 * (at + size)])))
+                    part = ids[4 * at : 4 * (at + size)]
+                    made = (name, number, piece, at, size, zlib.crc32(part))
+                    rows.append((*made, part) if with_ids else made)
                     at, size, piece = at + size, capacity, piece + 1
-            cols = list(zip(*rows)) or [[]] * 5
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.record_batch(
-                [pa.array(c, k) for c, k in zip(cols, kinds)],
-                ["doc_id", "piece", "start", "length", "ids_crc32"],
-            )
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        cut, _PIECES
+            cols = list(zip(*rows)) or [[]] * len(names_out)
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names_out)
+
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+    names_out = ["doc_id", "row", "piece", "start", "length", "ids_crc32"]
+    schema = _PIECES
+    if with_ids:
+        kinds, names_out = [*kinds, pa.binary()], [*names_out, "ids"]
+        schema += ", ids binary"
+    numbered = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.monotonically_increasing_id().alias("row"),
+        "text",
     )
+    return numbered.mapInArrow(cut, schema)
 
 
 def best_fit_moves(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[pd.DataFrame, int]:
@@ -111,16 +128,17 @@ def best_fit_moves(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[pd
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, rank_rows: int = RANK_ROWS) -> DataFrame:
-    """Adds ``sequence_id`` and ``offset`` to settled pieces (doc_id, piece, length, …).
+    """Adds ``sequence_id`` and ``offset`` to settled pieces (doc_id, row, piece, length, …).
 
     The driver sees the number of pieces of each length, ``capacity`` numbers at most, and
     plans the rounds on them. Pieces get their rank inside their length in windows of about
     ``rank_rows`` rows: a hot length is dealt to many by a hash, whose counts are summed first.
-    Rows with equal ids and pieces are placed each by itself. An empty table stays empty.
+    Rows with equal ids and pieces are placed each by itself, and dealt by ``row`` as well, so
+    that an id on many rows is not one window. An empty table stays empty.
     """
     total = pieces.count()
     salts = max(8, -(-total // rank_rows))
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
+    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "row", "piece"), F.lit(salts)))
     counts = settle(salted.groupBy("length", "salt").agg(F.count(F.lit(1)).alias("n")), "lengths")
     by_length = {int(r[0]): int(r[1]) for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     moves, _ = best_fit_moves(by_length, capacity)
@@ -135,13 +153,15 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rank_rows: int = RANK_ROWS
     starts = counts.select(
         "length", "salt", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
     )
-    inside = Window.partitionBy("length", "salt").orderBy("doc_id", "piece")
+    inside = Window.partitionBy("length", "salt").orderBy("doc_id", "row", "piece")
     ranked = (
         salted.withColumn("inside", F.row_number().over(inside))
         .join(starts, ["length", "salt"])
         .withColumn("rank", F.col("before") + F.col("inside") - 1)
     )
-    names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    names = [c for c in ("doc_id", "row", "piece", "start", "length", "ids_crc32", "ids")
+             if c in pieces.columns]
+    schema = _PIECES + ", ids binary" * ("ids" in names)
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -158,15 +178,33 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rank_rows: int = RANK_ROWS
             yield frame[names].assign(sequence_id=seq, offset=off)
 
     return ranked.select(*names, "rank").mapInPandas(
-        place, f"{_PIECES}, sequence_id long, offset long"
+        place, f"{schema}, sequence_id long, offset long"
     )
 
 
 def pack_documents(
-    docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int,
+    capacity: int = CAPACITY,
+    with_ids: bool = False,
 ) -> DataFrame:
-    """Every piece of every document with its sequence and place there; texts are read once."""
-    return pack(settle(cut_pieces(docs, tokenizer, end_id, capacity), "pieces"), capacity)
+    """Every piece of every row with its sequence and place there; texts are read once."""
+    pieces = cut_pieces(docs, tokenizer, end_id, capacity, with_ids)
+    return pack(settle(pieces, "pieces"), capacity)
+
+
+def joined_sequences(packed: DataFrame) -> DataFrame:
+    """(sequence_id, ids): the sequences out of pieces packed ``with_ids``, ids as in a piece.
+
+    Pieces carry their ids, so rows may share a doc_id. A group is one sequence, ``capacity`` ids
+    at most. An empty table has no sequences.
+    """
+    parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))
+    joined = F.aggregate(
+        parts, F.lit(b""), lambda done, part: F.concat(done, part["ids"])
+    )
+    return packed.groupBy("sequence_id").agg(joined.alias("ids"))
 
 
 def sequence_ids(

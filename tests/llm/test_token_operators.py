@@ -50,6 +50,15 @@ def test_chunks_encode_like_whole_texts(path, texts):
     assert tool.encode(texts) == want
 
 
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_every_letter_alone_and_at_a_word_end(path):
+    tool = ChunkEncoder(path)
+    letters = [chr(c) for c in range(0x21, 0x530) if chr(c).isprintable()]
+    texts = [t for x in letters for t in (x, f"ab{x}", f"AB{x}. {x}b", f"{x}{x.upper()}", f"{x}\u0301,")]
+    want = [np.array(tool.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert tool.encode(texts) == want
+
+
 def test_both_tokenizers_are_cut_in_chunks():
     assert ENCODERS[BYTE].kind == "byte" and ENCODERS[WORD].kind == "word"
 
@@ -164,6 +173,7 @@ def test_packing_odd_tables(docs):
     twice = packing.pack_documents(docs.unionByName(docs), BYTE, 2).collect()
     seen = Counter((r["sequence_id"], r["offset"]) for r in twice)
     assert max(seen.values()) == 1
+    assert len({(r["row"], r["piece"]) for r in twice}) == len(twice)
     assert packing.pack_documents(docs.limit(0), BYTE, 2).count() == 0
 
 
@@ -348,6 +358,21 @@ def test_pipeline_stages_by_brute_force(spark):
             for r in rows:
                 ends[r["sequence_id"]] += r["length"]
             assert max(ends.values()) <= 1024 and len(ends) <= 1.02 * n / 1024 + 1
+            whole = defaultdict(list)
+            for r in rows:
+                whole[r["doc_id"], r["row"]].append((r["start"], bytes(r["ids"])))
+            got = Counter((k[0], b"".join(x for _, x in sorted(v))) for k, v in whole.items())
+            ids_column = columns.index("text")
+            want = Counter()
+            for r in data:
+                ids = tool.encode(r[ids_column] or "", add_special_tokens=False).ids + [2]
+                want[r[columns.index("doc_id")], np.array(ids, "<u4").tobytes()] += 1
+            assert got == want and max(want.values()) > 1
+            joined = {r["sequence_id"]: bytes(r["ids"]) for r in packing.joined_sequences(after).collect()}
+            assert {k: len(v) // 4 for k, v in joined.items()} == dict(ends)
+            for r in rows:
+                at = 4 * r["offset"]
+                assert joined[r["sequence_id"]][at : at + 4 * r["length"]] == bytes(r["ids"])
         before = after
 
 
