@@ -336,7 +336,7 @@ def review_sessions(
     ``actions`` holds ``run_id, ts``. A busy run is cut into pieces of ``piece_rows``, and
     counting is combined per task, so no task holds a whole run.
     """
-    pieces = {"piece_rows": piece_rows}
+    pieces = {"piece_rows": piece_rows, "rows": actions.count()}
     timeout = timeout_seconds * 1_000_000
     rows = actions.select("run_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
     seen = value_before(rows, ["run_id"], "at", F.col("at"), "before", **pieces)

@@ -1,7 +1,8 @@
 """Grouped look-back and lookups that survive one key holding a third of all rows.
 
 Look-back: a table that one task can hold is a plain window. A larger one is range-partitioned by
-key and order, so a key of any size is cut by rank; each piece hands its last value to the next.
+key and order, so a key of any size is cut by rank; each piece hands its last value to the next,
+inside a task and from task to task.
 Lookups: keys that a one-pass sketch finds too big for a task are salted; the sketch
 decides how work is spread, never which rows are kept.
 """
@@ -23,6 +24,8 @@ from rowsieve.session import settle
 
 # Rows one task orders; more are cut into pieces of about this many.
 PIECE_ROWS = 1_000_000
+# Smaller pieces than that are handed to at most so many tasks (or the shuffle partitions, if more).
+MOST_TASKS = 100
 # Keys tracked by the sketch; a key above roughly 1/2000 of all rows cannot be missed.
 TRACKED_KEYS = 10_000
 # Largest table that is sent whole to every executor, by rows and by bytes of its cells as text.
@@ -82,7 +85,7 @@ def value_before(
         return df.withColumn(name, _look_back(value, window, skip_nulls))
     pieces = settle(ranged_pieces(df, keys, order, value, name, skip_nulls, rows, piece_rows), "pieces")
 
-    # One row a piece: its first and last key, and the value it hands on.
+    # One row a task: its first and last key, and the value it hands on.
     boxed = F.struct(F.col("_value").alias("v"))
     place = F.struct("_key", order, "_tie")
     handed = F.when(F.col("_value").isNotNull(), place) if skip_nulls else place
@@ -90,12 +93,12 @@ def value_before(
         F.min("_key").alias("_first_key"),
         F.max_by(F.struct(F.col("_key").alias("k"), boxed.alias("b")), handed).alias("_tail"),
     )
-    # Keys rise from piece to piece, so a tail with another key than the first one here is over.
+    # Keys rise from task to task, so a tail with another key than the first one here is over.
     before = Window.orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     tail = F.last("_tail", ignorenulls=True).over(before)
     carry = ends.withColumn("_tail", tail).filter("_tail.k = _first_key")
     carry = carry.select("_piece", F.col("_first_key").alias("_carry_key"), F.col("_tail.b").alias("_carry"))
-    joined = pieces.join(F.broadcast(carry), "_piece", "left")  # a row a piece
+    joined = pieces.join(F.broadcast(carry), "_piece", "left")  # a row a task
     opens = F.col("_open") & (F.col("_key") == F.col("_carry_key"))
     found = F.when(opens, F.col("_carry.v")).otherwise(F.col(name))
     return joined.withColumn(name, found).select(*df.columns, name)
@@ -111,15 +114,20 @@ def ranged_pieces(
     rows: int,
     piece_rows: int,
 ) -> DataFrame:
-    """``df`` sorted by key and order over pieces of about ``piece_rows`` rows, with ``name`` as
-    far as a piece knows it.
-
-    Spark samples the ranges, so a piece is cut by rank: sparse, dense and equal order values
-    give pieces of one size, as rows of equal order are told apart by a hash of their cells
-    (only rows alike in everything stay together). Adds ``_piece``, the key as text ``_key``,
-    ``_tie``, ``_value`` and ``_open``: the rows whose value may lie in an earlier piece.
+    """``df`` sorted by key and order over tasks that go through pieces of at most ``piece_rows``
+    rows, with ``name`` as far as a task knows it.
+
+    Spark samples the ranges, so a task's share is cut by rank: sparse, dense and equal order
+    values give shares of one size, as rows of equal order are told apart by a hash of their cells
+    (only rows alike in everything stay together). There is a task a piece, as long as these are
+    few; small pieces share a task, which hands the value on from each to the next as they stream
+    by, so tasks follow the rows and never the number of pieces. Adds ``_piece``, the task's
+    number, the key as text ``_key``, ``_tie``, ``_value`` and ``_open``: the rows whose value may
+    lie in an earlier task.
     """
-    width = max(-(-rows // piece_rows), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    shuffled = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = max(MOST_TASKS, -(-rows // PIECE_ROWS))
+    width = max(min(-(-rows // piece_rows), most), shuffled)
     flat = [c for c, t in df.dtypes if "map<" not in t]
     made = df.withColumns(
         {
@@ -142,40 +150,42 @@ def ranged_pieces(
         carry = None  # the value that row hands on, as an array of one; None if there is none
         open_run = True  # still in the piece's first key, and nothing handed on yet
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            key, values = batch.column(at_key), batch.column(at_value)
-            first_key = key[0].as_py() if first_key is None else first_key
-            starts = np.ones(n, bool)
-            starts[1:] = pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
-            starts[0] = key[0].as_py() != last_key
-            if starts[0]:
-                carry = None
-            # Place of the row whose value is handed on: 0 the carried one, i + 1 row i.
-            given = pc.is_valid(values).to_numpy(zero_copy_only=False) if skip_nulls else np.ones(n, bool)
-            run = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
-            latest = np.maximum.accumulate(np.where(given, np.arange(1, n + 1), 0))
-            before = np.concatenate([[0], latest[:-1]])
-            carried = (run == 0) & (before == 0) & (not starts[0]) & (carry is not None)
-            known = before > run
-            from_row = np.where(known, before, 0)
-            pool = pa.concat_arrays([carry if carry is not None else values[:1], values])
-            found = pool.take(pa.array(from_row, mask=~(known | carried)))
-            is_open = ~(known | carried)
-            in_first = np.zeros(n, bool)
-            if open_run:
-                in_first = pc.equal(key, first_key).to_numpy(zero_copy_only=False)
-                open_run = bool(in_first[-1])
-            is_open &= in_first
-            cols = [*batch.columns, found, pa.array(is_open), pa.array([piece] * n, pa.int32())]
-            yield pa.RecordBatch.from_arrays(cols, names=schema.names)
-            # What the last row's key has handed on by now.
-            if latest[-1] > run[-1]:
-                carry = values[latest[-1] - 1 : latest[-1]]
-            elif run[-1] > 0 or starts[0]:
-                carry = None
-            last_key = key[n - 1].as_py()
+            found, is_open = [], []
+            for at in range(0, batch.num_rows, piece_rows):
+                part = batch.slice(at, piece_rows)
+                n = part.num_rows
+                key, values = part.column(at_key), part.column(at_value)
+                first_key = key[0].as_py() if first_key is None else first_key
+                starts = np.ones(n, bool)
+                starts[1:] = pc.not_equal(key[1:], key[:-1]).to_numpy(zero_copy_only=False)
+                starts[0] = key[0].as_py() != last_key
+                if starts[0]:
+                    carry = None
+                # Place of the row whose value is handed on: 0 the carried one, i + 1 row i.
+                given = pc.is_valid(values).to_numpy(zero_copy_only=False) if skip_nulls else np.ones(n, bool)
+                run = np.maximum.accumulate(np.where(starts, np.arange(n), 0))
+                latest = np.maximum.accumulate(np.where(given, np.arange(1, n + 1), 0))
+                before = np.concatenate([[0], latest[:-1]])
+                carried = (run == 0) & (before == 0) & (not starts[0]) & (carry is not None)
+                known = before > run
+                from_row = np.where(known, before, 0)
+                pool = pa.concat_arrays([carry if carry is not None else values[:1], values])
+                found.append(pool.take(pa.array(from_row, mask=~(known | carried))))
+                in_first = np.zeros(n, bool)
+                if open_run:
+                    in_first = pc.equal(key, first_key).to_numpy(zero_copy_only=False)
+                    open_run = bool(in_first[-1])
+                is_open.append(~(known | carried) & in_first)
+                # What the last row's key has handed on by now.
+                if latest[-1] > run[-1]:
+                    carry = values[latest[-1] - 1 : latest[-1]]
+                elif run[-1] > 0 or starts[0]:
+                    carry = None
+                last_key = key[n - 1].as_py()
+            if found:
+                pieces = pa.array(np.full(batch.num_rows, piece, np.int32))
+                cols = [*batch.columns, pa.concat_arrays(found), pa.array(np.concatenate(is_open)), pieces]
+                yield pa.RecordBatch.from_arrays(cols, names=schema.names)
 
     return ranged.mapInArrow(look_back, schema)
 

@@ -369,7 +369,7 @@ def review_sessions(spark, sf_dir: str) -> DataFrame:
 
 @query("review_sessions_hot", SESSIONS)
 def review_sessions_hot(spark, sf_dir: str) -> DataFrame:
-    """The same with every run above 20 actions cut into pieces of six hours."""
+    """The same in pieces of 20 actions, so every run above that is cut."""
     return session_rows(
         corrections.review_sessions(actions(spark, sf_dir), piece_rows=20)
     )
@@ -573,7 +573,7 @@ def run_transitions(spark, sf_dir: str) -> DataFrame:
 
 @query("run_transitions_hot", TRANSITIONS)
 def run_transitions_hot(spark, sf_dir: str) -> DataFrame:
-    """The same with every run above 20 rows cut into pieces."""
+    """The same in pieces of 20 rows, so every run above that is cut."""
     seen = runs.with_transitions(run_log(spark, sf_dir), piece_rows=20)
     return seen.drop("ts", "file_name", "props")
 

@@ -97,3 +97,14 @@ def test_only_small_sides_are_marked_for_broadcast(spark):
     assert "broadcast" in small.lower() and "broadcast" not in large.lower()
     wide = df.select(F.lit("x" * 1000).alias("c"))
     assert "broadcast" not in if_small(wide, 10, 5_000)._jdf.queryExecution().logical().toString().lower()
+
+
+def test_small_pieces_do_not_become_tasks(spark):
+    # A task for each piece of 20 rows made 2,500 tasks of these rows, and ever more of more rows.
+    df = spark.range(50_000).select(F.col("id").alias("i"), (F.col("id") % 700).alias("k"))
+    pieces = ranged_pieces(df, ["k"], "i", F.col("i"), "prev", False, 50_000, 20)
+    assert pieces.rdd.getNumPartitions() <= 100
+    got = value_before(df, ["k"], "i", F.col("i"), "prev", piece_rows=20)
+    assert got.count() == 50_000
+    want = F.when(F.col("i") >= 700, F.col("i") - 700)
+    assert got.filter(~F.col("prev").eqNullSafe(want)).count() == 0
