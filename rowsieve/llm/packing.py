@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,9 +20,25 @@ from rowsieve.session import settle
 CAPACITY = 1024
 #: Pieces that share one window when ranks inside a length are given out, about.
 RANK_ROWS = 100_000
+#: Bytes of text that are encoded and cut at a time, about.
+TEXT_BYTES = 1_000_000
 _PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
+def bounded(
+    batches: Iterator[pa.RecordBatch], text_at: int, most_bytes: int = TEXT_BYTES
+) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of about ``most_bytes`` of text, a row at least, so that
+    what is made of a slice stays small whatever Spark puts in a batch."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(text_at)), 0).to_numpy(zero_copy_only=False)
+        slices = np.cumsum(sizes.astype(np.int64)) // most_bytes
+        cuts = [0, *(np.flatnonzero(np.diff(slices)) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            if end > start:
+                yield batch.slice(start, end - start)
+
+
 def cut_pieces(
     docs: DataFrame,
     tokenizer: str,
@@ -40,10 +57,10 @@ def cut_pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool, end = encoder(tokenizer), struct.pack("<I", end_id)
-        for batch in batches:
+        for part in bounded(batches, 2):
             rows: list[tuple] = []
-            texts = [t or "" for t in batch.column(2).to_pylist()]
-            names, numbers = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            texts = [t or "" for t in part.column(2).to_pylist()]
+            names, numbers = part.column(0).to_pylist(), part.column(1).to_pylist()
             for name, number, ids in zip(names, numbers, tool.encode(texts)):
                 ids += end
                 n = len(ids) // 4
@@ -51,9 +68,9 @@ def cut_pieces(
                 size = n if n <= capacity else n % capacity or capacity
                 piece = 0
                 while at < n:
-                    part = ids[4 * at : 4 * (at + size)]
-                    made = (name, number, piece, at, size, zlib.crc32(part))
-                    rows.append((*made, part) if with_ids else made)
+                    cut_ids = ids[4 * at : 4 * (at + size)]
+                    made = (name, number, piece, at, size, zlib.crc32(cut_ids))
+                    rows.append((*made, cut_ids) if with_ids else made)
                     at, size, piece = at + size, capacity, piece + 1
             cols = list(zip(*rows)) or [[]] * len(names_out)
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names_out)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -385,3 +386,13 @@ def test_pipeline_runs_on_awkward_rows(spark, docs):
     assert current.count() > 0
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+def test_texts_are_cut_a_slice_of_a_batch_at_a_time():
+    # A batch's ids were all held at once, however long its texts were.
+    texts = ["a" * 400, None, "", "b" * 2_000, "c", "d" * 600] * 50
+    batch = pa.record_batch([pa.array(range(300)), pa.array(texts)], ["doc_id", "text"])
+    parts = list(packing.bounded(iter([batch, batch.slice(0, 0)]), 1, 1_000))
+    assert [v for p in parts for v in p.column(1).to_pylist()] == texts
+    held = [sum(len(t or "") for t in p.column(1).to_pylist()) for p in parts]
+    assert len(parts) > 90 and max(held) <= 3_000
