@@ -325,3 +325,19 @@ def test_packed_workbooks_round_trip(spark):
     assert collect(books, "path") == [(f"out-{i:08d}.xlsx",) for i in range(3)]
     back = ingest_workbooks(books).table.select(*df.columns)
     assert collect(back) == collect(df)
+
+
+def test_books_are_packed_by_many_small_tasks(spark):
+    # One task packed and read all books of a small exchange, so a batch held them all.
+    rows = spark.range(4_000).select(
+        (3_999 - F.col("id")).alias("row_index"),
+        F.when(F.col("id") % 3 > 0, F.concat(F.lit("a<"), "id")).alias("name"),
+        F.lit(None).cast("string").alias("none"),
+    )
+    books = pack_workbooks(rows, "b", rows_per_book=100).cache()
+    per_task = books.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+    assert books.count() == 40 and per_task <= 8
+    landed = ingest_workbooks(books).table
+    assert landed.columns == ["row_index", "name", "none"] and landed.count() == 4_000
+    want = F.when((3_999 - F.col("row_index")) % 3 > 0, F.concat(F.lit("a<"), (3_999 - F.col("row_index")).cast("string")))
+    assert landed.filter(~F.col("name").eqNullSafe(want) | F.col("none").isNotNull()).count() == 0
