@@ -1,10 +1,10 @@
 """Grouped look-back and lookups that survive one key holding a third of all rows.
 
-Look-back: a table that one task can hold is a plain window. A larger one is range-partitioned by
-key and order, so a key of any size is cut by rank; each piece hands its last value to the next,
-inside a task and from task to task.
-Lookups: keys that a one-pass sketch finds too big for a task are salted; the sketch
-decides how work is spread, never which rows are kept.
+Look-back: a table none of whose keys is too big for a task is a plain window. Any other is
+range-partitioned by key and order, so a key of any size is cut by rank; each piece hands its last
+value to the next, inside a task and from task to task.
+Lookups: keys too big for a task are salted. A one-pass sketch finds such keys; it decides how
+work is spread, never which rows are kept.
 """
 
 from __future__ import annotations
@@ -75,14 +75,20 @@ def value_before(
     """Add ``name``: the value of the closest earlier row (by ``order``) with the same keys.
 
     Rows of equal order come in any order, but one. With ``skip_nulls`` the closest earlier
-    non-null value is taken. Null keys form a group of their own. Up to ``piece_rows`` rows, which
-    bound any key, are one window; beyond that see :func:`ranged_pieces`. ``rows`` is their
-    number, counted if not given.
+    non-null value is taken. Null keys form a group of their own. As long as no key has more than
+    ``piece_rows`` rows this is a window, one shuffle by key; else see :func:`ranged_pieces`.
+    ``rows`` is their number, counted if not given.
     """
     rows = df.count() if rows is None else rows
     if rows <= piece_rows:
         window = Window.partitionBy(*keys).orderBy(order)
         return df.withColumn(name, _look_back(value, window, skip_nulls))
+    if not hot_keys(df, keys, piece_rows):
+        shuffled = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        width = -(-rows // PIECE_ROWS)
+        dealt = df.repartition(width, *keys) if width > shuffled else df
+        window = Window.partitionBy(*keys).orderBy(order, _tie(df))
+        return dealt.withColumn(name, _look_back(value, window, skip_nulls))
     pieces = settle(ranged_pieces(df, keys, order, value, name, skip_nulls, rows, piece_rows), "pieces")
 
     # One row a task: its first and last key, and the value it hands on.
@@ -128,11 +134,10 @@ def ranged_pieces(
     shuffled = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     most = max(MOST_TASKS, -(-rows // PIECE_ROWS))
     width = max(min(-(-rows // piece_rows), most), shuffled)
-    flat = [c for c, t in df.dtypes if "map<" not in t]
     made = df.withColumns(
         {
             "_key": F.to_json(F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])),
-            "_tie": F.xxhash64(*flat),
+            "_tie": _tie(df),
             "_value": value,
         }
     )
@@ -190,6 +195,11 @@ def ranged_pieces(
     return ranged.mapInArrow(look_back, schema)
 
 
+def _tie(df: DataFrame) -> Column:
+    """Tells rows of equal order apart."""
+    return F.xxhash64(*[c for c, t in df.dtypes if "map<" not in t])
+
+
 def _look_back(value: Column, window, skip_nulls: bool) -> Column:
     if not skip_nulls:
         return F.lag(value).over(window)

@@ -6,6 +6,7 @@ rows are scanned once and never shuffled.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -196,14 +197,20 @@ def invalidate_cache(
     the cache does: what one run fixes or skips leaves the entries of the others alone.
     """
     entry = [*row_key[:-1], "row_fp"]
-    if fixed is not None:
-        cache = cache.join(fixed.select(*entry).distinct(), entry, "left_anti")
+    # No fingerprint is empty. One that can be null would be worked out twice, to leave nulls out.
+    fingerprint = F.coalesce("row_fp", F.lit("")).alias("row_fp")
+    given = [rows for rows in (fixed, skipped) if rows is not None]
+    if not given:
+        return cache
+    old = [rows.select(*row_key[:-1], fingerprint) for rows in given]
+    # One join on the entry, as the cache was grouped: a run that is one value in each argument
+    # would be left out of the join's key, and the cache shuffled again.
+    cache = cache.join(functools.reduce(DataFrame.union, old).distinct(), entry, "left_anti")
     if skipped is not None:
-        marks = skipped.select(*entry).distinct()
-        bad = marks.withColumns(
+        bad = skipped.select(*entry).distinct().withColumns(
             {"is_valid": F.lit(False), "ruleset_hash": F.lit(rules.digest())}
         )
-        cache = cache.join(marks, entry, "left_anti").unionByName(bad)
+        cache = cache.unionByName(bad)
     return cache
 
 

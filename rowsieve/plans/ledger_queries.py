@@ -403,10 +403,10 @@ def cache_invalidate_multi_run(spark, sf_dir: str) -> DataFrame:
     runs = F.explode(F.array(F.lit("a"), F.lit("b"), F.lit("c")))
     many = x.withColumn("run_id", runs)
     cache = incremental.cache_of(incremental.row_states(many, RULES, row_key=key), RULES, key)
-    prints = with_fingerprint(x).select("row_index", "row_fp")
     good = accepted_fixes(sample_fixes(x), x)
-    fixed = prints.join(good.select("row_index"), "row_index", "left_semi")
-    skipped = prints.join(sample_skips(x), "row_index", "left_semi")
+    # Only the rows that are fixed or skipped need a fingerprint here.
+    fixed = with_fingerprint(x.join(good.select("row_index"), "row_index", "left_semi"))
+    skipped = with_fingerprint(x.join(sample_skips(x), "row_index", "left_semi"))
     kept = incremental.invalidate_cache(
         cache,
         RULES,

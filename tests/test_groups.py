@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from rowsieve.operators import groups
 from rowsieve.operators.groups import if_small, lookup_join, ranged_pieces, value_before
 from tests.helpers import collect
 
@@ -36,6 +37,20 @@ def test_value_before_equals_brute_force(spark, skip_nulls, piece_rows):
     assert collect(got, "i", "prev") == brute_force(rows, skip_nulls)
 
 
+def test_only_a_hot_key_is_cut_by_rank(spark, monkeypatch):
+    # Any table of more than a piece was ranged, written and joined, however small its keys were.
+    cut = []
+    monkeypatch.setattr(
+        groups, "ranged_pieces", lambda *args: cut.append(1) or ranged_pieces(*args)
+    )
+    rows = [(i, f"k{i % 40}" if i % 40 else None, i * 10) for i in range(400)]
+    df = spark.createDataFrame(rows, "i bigint, k string, v bigint").repartition(6)
+    got = value_before(df, ["k"], "i", F.col("v"), "prev", piece_rows=10)
+    assert collect(got, "i", "prev") == brute_force(rows, False) and not cut
+    got = value_before(df, ["k"], "i", F.col("v"), "prev", piece_rows=9)
+    assert collect(got, "i", "prev") == brute_force(rows, False) and cut
+
+
 @pytest.mark.parametrize("order", ["sparse", "dense", "equal"])
 def test_pieces_of_a_hot_key_have_one_size(spark, order):
     # Three quarters of the rows share a key; gaps of the order grow, are 1, or there are none.

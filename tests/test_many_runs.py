@@ -1,5 +1,7 @@
 """Many runs in one job, the cache log, auto-skips from a stream and reviews that wait."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +91,37 @@ def test_cache_of_many_runs_is_invalidated_by_run(spark):
     assert collect(left.filter("run_id = 'b'").groupBy("is_valid").count()) == [(False, 1), (True, 3)]
 
 
+def test_a_cache_of_many_runs_is_shuffled_once(spark, monkeypatch):
+    # With one run in each argument the cache was dealt out a second time, by fingerprint alone.
+    key = ("run_id", "row_index")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        rows = spark.range(40).selectExpr(
+            "if(id % 2 = 0, 'a', 'b') AS run_id", "id AS row_index", "true AS is_valid",
+            "sha2(cast(id AS string), 256) AS row_fp",
+        )
+        prints = rows.select("row_index", "row_fp").withColumn("run_id", F.lit("a"))
+        kept = incremental.invalidate_cache(
+            incremental.cache_of(rows, RULES, key),
+            RULES,
+            fixed=prints.filter("row_index < 10"),
+            skipped=prints.filter("row_index > 35").withColumn("run_id", F.lit("b")),
+            row_key=key,
+        )
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        found = {(r[0], r[1], r[2]) for r in kept.select("run_id", "row_fp", "is_valid").collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(row_fp" not in plan
+    # Nor are fingerprints worked out a second time to leave null ones out.
+    assert "isnotnull(sha2" not in plan.split("Union")[1]
+    fp = {i: hashlib.sha256(str(i).encode()).hexdigest() for i in range(40)}
+    want = {("ab"[i % 2], fp[i], True) for i in range(40)
+            if not (i % 2 == 0 and i < 10) and not (i % 2 and i > 35)}
+    assert found == want | {("b", fp[i], False) for i in range(36, 40)}
+
+
 def test_cache_log_versions_removals_and_compaction(spark, tmp_path):
     log = str(tmp_path / "log")
 
