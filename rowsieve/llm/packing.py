@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowsieve.llm.tokens import encoder
+from rowsieve.llm.tokens import encoder, release
 from rowsieve.session import settle
 
 CAPACITY = 1024
@@ -22,6 +22,8 @@ CAPACITY = 1024
 RANK_ROWS = 100_000
 #: Bytes of text that are encoded and cut at a time, about.
 TEXT_BYTES = 1_000_000
+#: Chunks that a worker remembers: ids of pieces need the memory that more of them would take.
+REMEMBER = 500_000
 _PIECES = "doc_id long, row long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -56,7 +58,7 @@ def cut_pieces(
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, end = encoder(tokenizer), struct.pack("<I", end_id)
+        tool, end = encoder(tokenizer, REMEMBER), struct.pack("<I", end_id)
         for part in bounded(batches, 2):
             rows: list[tuple] = []
             texts = [t or "" for t in part.column(2).to_pylist()]
@@ -178,25 +180,25 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rank_rows: int = RANK_ROWS
     )
     names = [c for c in ("doc_id", "row", "piece", "start", "length", "ids_crc32", "ids")
              if c in pieces.columns]
-    schema = _PIECES + ", ids binary" * ("ids" in names)
-
-    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            seq = np.zeros(len(frame), np.int64)
-            off = np.zeros(len(frame), np.int64)
-            lengths, ranks = frame["length"].to_numpy(), frame["rank"].to_numpy()
-            for length in np.unique(lengths):
-                rows = np.flatnonzero(lengths == length)
-                rank, each, first, filled = plan[int(length)]
-                at = np.searchsorted(rank, ranks[rows], side="right") - 1
-                inside = ranks[rows] - rank[at]
-                seq[rows] = first[at] + inside // each[at]
-                off[rows] = filled[at] + inside % each[at] * length
-            yield frame[names].assign(sequence_id=seq, offset=off)
-
-    return ranked.select(*names, "rank").mapInPandas(
-        place, f"{schema}, sequence_id long, offset long"
-    )
+
+    @F.pandas_udf("sequence_id long, offset long")
+    def place(lengths: pd.Series, ranks: pd.Series) -> pd.DataFrame:
+        release()  # the chunks that this worker remembers since it encoded
+        seq = np.zeros(len(lengths), np.int64)
+        off = np.zeros(len(lengths), np.int64)
+        for length in np.unique(lengths):
+            rows = np.flatnonzero(lengths == length)
+            rank, each, first, filled = plan[int(length)]
+            wanted = ranks.to_numpy()[rows]
+            at = np.searchsorted(rank, wanted, side="right") - 1
+            inside = wanted - rank[at]
+            seq[rows] = first[at] + inside // each[at]
+            off[rows] = filled[at] + inside % each[at] * length
+        return pd.DataFrame({"sequence_id": seq, "offset": off})
+
+    # Python sees two numbers a piece; its ids stay where they are.
+    placed = ranked.withColumn("place", place("length", "rank"))
+    return placed.select(*names, "place.sequence_id", "place.offset")
 
 
 def pack_documents(

@@ -19,6 +19,8 @@ _CAPITAL_MARK = re.compile("[A-Z][\u0300-\u036f]")
 #: What can close a word: a run of it is a piece of its own to the tokenizers. No apostrophe,
 #: which a word can go on behind.
 _TAIL = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Chunks that an encoder remembers, about: some 250 MB of them.
+REMEMBER = 1_200_000
 #: Last letter of the scripts (Latin, Greek, Cyrillic) whose letters no Unicode version disputes.
 _LETTERS = "\u052f"
 
@@ -46,7 +48,7 @@ class ChunkEncoder:
     is of another kind.
     """
 
-    def __init__(self, path: str, remember: int = 1_200_000):
+    def __init__(self, path: str, remember: int = REMEMBER):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -194,13 +196,20 @@ def _packed(ids: list[int]) -> bytes:
 _ENCODERS: dict[str, ChunkEncoder] = {}
 
 
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, remember: int = REMEMBER) -> ChunkEncoder:
     """The encoder of a file; one for each Python worker."""
     if path not in _ENCODERS:
         _ENCODERS[path] = ChunkEncoder(path)
+    _ENCODERS[path].remember = remember
     return _ENCODERS[path]
 
 
+def release() -> None:
+    """Gives up this worker's encoders: Spark keeps workers for other work, which needs their memory."""
+    while _ENCODERS:
+        _ENCODERS.popitem()[1].known.clear()
+
+
 def public_path(name: str) -> str:
     """Where a public tokenizer's file lies on this machine."""
     import public_tokenizers

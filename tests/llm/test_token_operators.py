@@ -15,7 +15,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from rowsieve.llm import mixing, nearest, packing, queries, token_counts, token_files
+from rowsieve.llm import mixing, nearest, packing, queries, token_counts, token_files, tokens
 from rowsieve.llm.tokens import ChunkEncoder, public_path
 from tests.llm import corpus
 
@@ -396,3 +396,22 @@ def test_texts_are_cut_a_slice_of_a_batch_at_a_time():
     assert [v for p in parts for v in p.column(1).to_pylist()] == texts
     held = [sum(len(t or "") for t in p.column(1).to_pylist()) for p in parts]
     assert len(parts) > 90 and max(held) <= 3_000
+
+
+def test_places_are_found_without_the_ids(docs):
+    # All columns went through Python, the ids of every piece with them.
+    pieces = packing.settle(packing.cut_pieces(docs, BYTE, 2, 64, with_ids=True), "pieces")
+    packed = packing.pack(pieces, 64)
+    plan = packed._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "place(length" in plan
+    assert packed.columns[-3:] == ["ids", "sequence_id", "offset"]
+
+
+def test_encoders_are_given_up():
+    # A worker that Spark kept for the placing held its chunks to the end.
+    tool = tokens.encoder(BYTE)
+    tool.encode(["some words"])
+    assert tool.known
+    tokens.release()
+    assert not tool.known and tokens.encoder(BYTE) is not tool
+    assert tokens.encoder(BYTE, packing.REMEMBER).remember < tokens.encoder(BYTE).remember
