@@ -7,6 +7,7 @@ import os
 import re
 import unicodedata
 from array import array
+from collections.abc import Callable, Iterable
 from itertools import islice
 
 #: White space other than space and line break: texts holding any of it are encoded whole.
@@ -34,6 +35,20 @@ def _byte_letters() -> list[str]:
 
 _BYTE_LETTERS = _byte_letters()
 _BLANK = _BYTE_LETTERS[0x20]
+_AS_LETTERS = dict(enumerate(_BYTE_LETTERS))
+
+
+class _Known(dict):
+    """Ids by chunk; a chunk met for the first time is learned on the spot, so that texts are gone
+    through once."""
+
+    def __init__(self, learn: Callable, items: Iterable = ()):
+        super().__init__(items)
+        self.learn = learn
+
+    def __missing__(self, chunk) -> bytes:
+        ids = self[chunk] = self.learn(chunk)
+        return ids
 
 
 class ChunkEncoder:
@@ -58,11 +73,11 @@ class ChunkEncoder:
         self.special = [t["content"] for t in parts.get("added_tokens") or []]
         self.kind = _kind(parts)
         self.remember = remember
-        self.known: dict = {}
+        self.known = _Known(self._learn)
         self.tails: dict = {}
         self.tail = _TAIL.encode() if self.kind == "word" else _TAIL
-        self.model = self.tokenizer.model
-        self.line = _packed(self.tokenizer.encode("\n", add_special_tokens=False).ids)
+        self.tokenize = self.tokenizer.model.tokenize
+        self.line = self._whole("\n")
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -77,25 +92,16 @@ class ChunkEncoder:
         return out + self._encode(step)
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [self._chunks(t) for t in texts]
-        get = self.known.get
-        parts = [None if c is None else list(map(get, c)) for c in chunks]
-        missing: set = set()
-        for c, p in zip(chunks, parts):
-            if p is not None and None in p:
-                missing.update(k for k, v in zip(c, p) if v is None)
-        fresh = self._learn(missing) if missing else {}
+        ids_of = self.known.__getitem__
         out = []
-        for text, c, p in zip(texts, chunks, parts):
-            if p is None:
-                out.append(_packed(self.tokenizer.encode(text, add_special_tokens=False).ids))
-            elif None in p:
-                out.append(b"".join([fresh[k] if v is None else v for k, v in zip(c, p)]))
+        for text in texts:
+            chunks = self._chunks(text)
+            if chunks is None:
+                out.append(self._whole(text))
             else:
-                out.append(b"".join(p))
+                out.append(b"".join(map(ids_of, chunks)))
         if len(self.known) > self.remember:
-            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
-        self.known.update(fresh)
+            self.known = _Known(self._learn, islice(self.known.items(), len(self.known) // 2, None))
         return out
 
     def _chunks(self, text: str) -> list | None:
@@ -115,40 +121,32 @@ class ChunkEncoder:
         # A chunk stands for itself behind a space; "\r" marks the first, which has none.
         return ("\r" + text).replace("\n", " \n").split(" ")
 
-    def _learn(self, chunks: set) -> dict:
-        """Ids of new chunks. A word's closing punctuation is looked up by itself, so a word is
+    def _learn(self, chunk) -> bytes:
+        """Ids of a new chunk. A word's closing punctuation is looked up by itself, so a word is
         encoded once, with or without it."""
-        whole, split, out = {}, {}, {}
-        for chunk in chunks:
-            word = chunk.rstrip(self.tail)
-            letters = self._letters(word) if word else None
-            if letters is None:
-                whole[chunk] = self._text(chunk)
-                continue
-            if word != chunk:
-                split[chunk] = word
-            if word not in self.known and word not in out:
-                ids = _packed([t.id for t in self.model.tokenize(letters)])
-                out[word] = self.line + ids if word[:1] == "\n" else ids
-        tails = {c[len(w) :] for c, w in split.items()} - self.tails.keys()
-        tails = {t: t if isinstance(t, str) else t.decode() for t in tails}
-        need = list({*whole.values(), *tails.values()})
-        found = self.tokenizer.encode_batch_fast(need, add_special_tokens=False)
-        ids = {t: _packed(e.ids) for t, e in zip(need, found)}
-        if len(self.tails) > 10_000:
-            self.tails = {c[len(w) :]: self.tails[c[len(w) :]] for c, w in split.items()
-                          if c[len(w) :] in self.tails}
-        self.tails.update({t: ids[text] for t, text in tails.items()})
-        out.update({c: ids[t] for c, t in whole.items()})
-        for chunk, word in split.items():
-            head = out[word] if word in out else self.known[word]
-            out[chunk] = head + self.tails[chunk[len(word) :]]
-        return out
+        word = chunk.rstrip(self.tail)
+        letters = self._letters(word) if word else None
+        if letters is None:
+            return self._whole(self._text(chunk))
+        if len(word) < len(chunk):
+            tail = chunk[len(word) :]
+            if tail not in self.tails:
+                if len(self.tails) >= 10_000:
+                    self.tails.clear()
+                self.tails[tail] = self._whole(tail if isinstance(tail, str) else tail.decode())
+            return self.known[word] + self.tails[tail]
+        ids = _packed([t.id for t in self.tokenize(letters)])
+        return self.line + ids if word[:1] == "\n" else ids
+
+    def _whole(self, text: str) -> bytes:
+        return _packed(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def _letters(self, word) -> str | None:
         """A chunk as the model gets it, its bytes written as the letters that stand for them, if
         it is one run of letters to the tokenizer; without the line break before it."""
         if self.kind == "word":
+            if word.isascii():
+                return word.decode() if word.isalpha() else None
             # Some capitals become a letter and a mark, which would join the punctuation. The
             # tokenizer lowers each letter by itself, so a sigma that ends a word is like any other.
             text = unicodedata.normalize("NFC", word.decode("utf-8"))
@@ -163,7 +161,7 @@ class ChunkEncoder:
             return lead + text
         if max(text) > _LETTERS:
             return None
-        return lead + "".join([_BYTE_LETTERS[b] for b in text.encode("utf-8")])
+        return lead + text.encode("utf-8").decode("latin-1").translate(_AS_LETTERS)
 
     def _text(self, chunk) -> str:
         if self.kind == "word":
@@ -207,7 +205,7 @@ def encoder(path: str, remember: int = REMEMBER) -> ChunkEncoder:
 def release() -> None:
     """Gives up this worker's encoders: Spark keeps workers for other work, which needs their memory."""
     while _ENCODERS:
-        _ENCODERS.popitem()[1].known.clear()
+        _ENCODERS.popitem()[1].known.clear()  # it and the encoder hold each other
 
 
 def public_path(name: str) -> str:

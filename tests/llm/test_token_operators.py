@@ -415,3 +415,16 @@ def test_encoders_are_given_up():
     tokens.release()
     assert not tool.known and tokens.encoder(BYTE) is not tool
     assert tokens.encoder(BYTE, packing.REMEMBER).remember < tokens.encoder(BYTE).remember
+
+
+@pytest.mark.parametrize("path", [BYTE, WORD])
+def test_a_word_is_learned_once_and_plain_ones_go_straight_to_the_model(path, monkeypatch):
+    # Every text was gone through twice, and each new word normalized, plain letters too.
+    tool, asked = ChunkEncoder(path), []
+    model = tool.tokenizer.model
+    tool.tokenize = lambda letters: asked.append(letters) or model.tokenize(letters)
+    monkeypatch.setattr(tokens, "unicodedata", None)
+    texts = ["pear plum pear, plum. pear", "plum, pear! Pear plum"]
+    want = [np.array(tool.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert tool.encode(texts) == want
+    assert len(asked) == len(set(asked)) and 2 <= len(asked) <= 5
